@@ -28,16 +28,18 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return counts.agg(F.max("n")).first()[0] or 0
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join per-group values to rows; NULL keys match each other."""
+    """Join per-group values to rows; NULL keys match each other.
+
+    Without keys ``small`` is one row of totals, added as literals.
+    """
+    if not keys:
+        totals = small.first()
+        return df.withColumns({
+            f.name: F.lit(None if totals is None else totals[f.name]).cast(f.dataType)
+            for f in small.schema.fields})
     renamed = small.select(*[F.col(k).alias(f"__{k}") if k in keys else F.col(k)
                              for k in small.columns])
-    if not keys:
-        return df.join(renamed, F.lit(True), how)
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
     return df.join(renamed, on, how).drop(*[f"__{k}" for k in keys])
 
