@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NEG_INF = float("-inf")
@@ -93,25 +93,35 @@ def normal_quantile_sql(u: str) -> str:
     )
 
 
-def normal_quantile(u: str | Column) -> Column:
-    """Standard normal quantile, sqrt(2) * erfinv(2u - 1)."""
-    u = col(u)
+def with_normal_quantile(df: DataFrame, u: str, name: str) -> DataFrame:
+    """Add the standard normal quantile sqrt(2) * erfinv(2u - 1) of column ``u``.
 
-    def poly(coefs, x):
+    Built in steps, so every intermediate value is computed once per row; the last one
+    goes through a generator, so that a later filter on it is not pushed into the steps.
+    """
+
+    def poly(coefs):
         out = F.lit(coefs[-1])
         for c in reversed(coefs[:-1]):
-            out = out * x + F.lit(c)
+            out = out * F.col("__t") + F.lit(c)
         return out
 
-    q = u - 0.5
-    s = F.lit(0.180625) - q * q
-    r = F.sqrt(-F.log(F.least(u, F.lit(1.0) - u)))
-    centre = q * poly(_CENTRE_NUM, s) / poly(_CENTRE_DEN, s)
-    mid = poly(_MID_NUM, r - 1.6) / poly(_MID_DEN, r - 1.6)
-    tail = poly(_TAIL_NUM, r - 5.0) / poly(_TAIL_DEN, r - 5.0)
-    return F.when(F.abs(q) <= 0.425, centre).otherwise(
-        F.signum(q) * F.when(r <= 5.0, mid).otherwise(tail)
+    def ratio(num, den):
+        return poly(num) / poly(den)
+
+    q = F.col("__q")
+    root = F.sqrt(-F.log(F.least(F.col(u), F.lit(1.0) - F.col(u))))
+    steps = (
+        df.withColumn("__q", F.col(u) - 0.5)
+        .withColumn("__r", F.when(F.abs(q) > 0.425, root))
+        .withColumn("__t", F.when(F.abs(q) <= 0.425, F.lit(0.180625) - q * q)
+                    .when(F.col("__r") <= 5.0, F.col("__r") - 1.6)
+                    .otherwise(F.col("__r") - 5.0))
     )
+    z = (F.when(F.abs(q) <= 0.425, q * ratio(_CENTRE_NUM, _CENTRE_DEN))
+         .when(F.col("__r") <= 5.0, F.signum(q) * ratio(_MID_NUM, _MID_DEN))
+         .otherwise(F.signum(q) * ratio(_TAIL_NUM, _TAIL_DEN)))
+    return steps.withColumn(name, F.explode(F.array(z))).drop("__q", "__r", "__t")
 
 
 # -- kernels and mean functions -------------------------------------------

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calib.functions.expr import normal_quantile
+from calib.functions.expr import with_normal_quantile
 from calib.operators.ordering import (
     WINDOW_ROWS, attach, number_rows, quantiles, with_previous,
 )
@@ -31,8 +31,8 @@ def rank_normalize(draws: DataFrame, by: Sequence[str] = BY, value: str = "value
     sizes = draws.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     u = (F.col("__rank") - 0.375) / (F.col("__n") + 0.25)
     u = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), u))
-    return (attach(ranked, sizes, by).withColumn("__u", u)
-            .withColumn(name, normal_quantile("__u")).drop("__rank", "__n", "__u"))
+    scored = with_normal_quantile(attach(ranked, sizes, by).withColumn("__u", u), "__u", name)
+    return scored.drop("__rank", "__n", "__u")
 
 
 def fold(draws: DataFrame, by: Sequence[str] = BY, value: str = "value", name: str = "folded",

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calib.functions.expr import hash_uniform, normal_quantile, rbf_kernel
+from calib.functions.expr import hash_uniform, rbf_kernel, with_normal_quantile
 from calib.operators.ordering import attach
 from calib.session import materialize
 
@@ -286,8 +286,9 @@ def search_hyperparameters(sets: DataFrame, n_params: int, n_candidates: int = 2
         for i, s in enumerate(spread):
             u = F.greatest(F.lit(2.0 ** -33), hash_uniform(
                 F.lit(str(seed)), F.lit(str(i)), F.col("qoi"), F.col("cand_id")))
+            rows = with_normal_quantile(rows.withColumn("__u", u), "__u", f"__z{i}").drop("__u")
             # The first candidate of a round is its centre.
-            z = F.when(F.col("cand_id") == first, F.lit(0.0)).otherwise(normal_quantile(u))
+            z = F.when(F.col("cand_id") == first, F.lit(0.0)).otherwise(F.col(f"__z{i}"))
             cells.append(F.get("centre", F.lit(i)) + z * F.lit(s * shrink ** round_))
         batch = score_candidates(
             rows.select("qoi", "cand_id", F.array(*cells).alias("log_hyper")), sets)
