@@ -73,10 +73,15 @@ def split_rhat(draws: DataFrame, by: Sequence[str] = BY, value: str = "value",
 
 
 def rank_split_rhat(draws: DataFrame, by: Sequence[str] = BY,
-                    window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """Larger of the rank-normalised split R-hat of the draws and of the folded draws."""
+                    window_rows: int = WINDOW_ROWS, ranked: DataFrame | None = None) -> DataFrame:
+    """Larger of the rank-normalised split R-hat of the draws and of the folded draws.
+
+    ``ranked`` may hand in the draws with their normal scores ``z``.
+    """
     by = list(by)
-    plain = split_rhat(rank_normalize(draws, by, window_rows=window_rows), by, "z", "rhat_rank")
+    if ranked is None:
+        ranked = rank_normalize(draws, by, window_rows=window_rows)
+    plain = split_rhat(ranked, by, "z", "rhat_rank")
     folded = rank_normalize(fold(draws, by, window_rows=window_rows), by, "folded",
                             window_rows=window_rows)
     folded = split_rhat(folded, by, "z", "rhat_folded")
@@ -192,10 +197,11 @@ def convergence_report(draws: DataFrame, run: Sequence[str] = (), param: str = "
                        min_steps: int = 20) -> DataFrame:
     """R-hat, tau, ESS per parameter and the verdict of the whole run."""
     by = [*run, param]
-    ranked = rank_normalize(draws, by)
+    ranked = materialize(
+        rank_normalize(draws.select(*by, "chain", "step", "value"), by), "ranked")
     ess = effective_sample_size(ranked, by, "z")
-    rhat = rank_split_rhat(draws, by)
-    steps = draws.groupBy(*by).agg((F.max("step") + 1).cast("long").alias("n_steps"))
+    rhat = rank_split_rhat(ranked.drop("z"), by, ranked=ranked)
+    steps = ranked.groupBy(*by).agg((F.max("step") + 1).cast("long").alias("n_steps"))
     rows = attach(attach(rhat, ess, by, "inner"), steps, by, "inner").select(
         *by, "n_steps", "n_draws", "rhat", "tau", "ess")
     rows = materialize(rows, "convergence")

@@ -82,14 +82,19 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Order, name: str = "r
     return joined.withColumn(name, place.cast("long")).select(*df.columns, name)
 
 
+def _window_total(df: DataFrame, keys: Sequence[str], order: Order, value: str, name: str
+                  ) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy(*[col(o) for o in order]).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn(name, F.sum(value).over(w))
+
+
 def running_total(df: DataFrame, keys: Sequence[str], order: Order, value: str,
                   name: str = "running", window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Inclusive cumulative sum of ``value`` inside each group under a total order."""
     keys = list(keys)
     if largest_group(df, keys) <= window_rows:
-        w = Window.partitionBy(*keys).orderBy(*[col(o) for o in order]).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(name, F.sum(value).over(w))
+        return _window_total(df, keys, order, value, name)
     table = _spread(df, keys, order)
     local = Window.partitionBy(*keys, "__part").orderBy("__place").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -111,7 +116,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     names = list(names or [f"q{p:g}" for p in probs])
     ties = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(
         F.count(F.lit(1)).alias("__c"))
-    ranked = running_total(ties, keys, ["__v"], "__c", "__upto", window_rows)
+    if largest_group(df, keys) <= window_rows:
+        ranked = _window_total(ties, keys, ["__v"], "__c", "__upto")
+    else:
+        ranked = running_total(ties, keys, ["__v"], "__c", "__upto", window_rows)
     ranked = attach(ranked, ties.groupBy(*keys).agg(F.sum("__c").alias("__n")), keys)
 
     def holds(rank: Column) -> Column:
