@@ -100,28 +100,26 @@ def with_normal_quantile(df: DataFrame, u: str, name: str) -> DataFrame:
     goes through a generator, so that a later filter on it is not pushed into the steps.
     """
 
-    def poly(coefs):
-        out = F.lit(coefs[-1])
-        for c in reversed(coefs[:-1]):
-            out = out * F.col("__t") + F.lit(c)
-        return out
-
-    def ratio(num, den):
-        return poly(num) / poly(den)
+    # One fold over the branch's coefficients keeps the generated code short enough
+    # for the JIT compiler.
+    def poly(centre, mid, tail):
+        highest_first = [vec(list(reversed(c))) for c in (centre, mid, tail)]
+        coefs = F.when(F.col("__b") == 0, highest_first[0]).when(
+            F.col("__b") == 1, highest_first[1]).otherwise(highest_first[2])
+        return F.aggregate(coefs, F.lit(0.0), lambda acc, c: acc * F.col("__t") + c)
 
     q = F.col("__q")
     root = F.sqrt(-F.log(F.least(F.col(u), F.lit(1.0) - F.col(u))))
     steps = (
         df.withColumn("__q", F.col(u) - 0.5)
         .withColumn("__r", F.when(F.abs(q) > 0.425, root))
-        .withColumn("__t", F.when(F.abs(q) <= 0.425, F.lit(0.180625) - q * q)
-                    .when(F.col("__r") <= 5.0, F.col("__r") - 1.6)
-                    .otherwise(F.col("__r") - 5.0))
+        .withColumn("__b", F.when(F.abs(q) <= 0.425, 0).when(F.col("__r") <= 5.0, 1).otherwise(2))
+        .withColumn("__t", F.when(F.col("__b") == 0, F.lit(0.180625) - q * q)
+                    .otherwise(F.col("__r") - F.when(F.col("__b") == 1, 1.6).otherwise(5.0)))
     )
-    z = (F.when(F.abs(q) <= 0.425, q * ratio(_CENTRE_NUM, _CENTRE_DEN))
-         .when(F.col("__r") <= 5.0, F.signum(q) * ratio(_MID_NUM, _MID_DEN))
-         .otherwise(F.signum(q) * ratio(_TAIL_NUM, _TAIL_DEN)))
-    return steps.withColumn(name, F.explode(F.array(z))).drop("__q", "__r", "__t")
+    scale = F.when(F.col("__b") == 0, q).otherwise(F.signum(q))
+    z = scale * poly(_CENTRE_NUM, _MID_NUM, _TAIL_NUM) / poly(_CENTRE_DEN, _MID_DEN, _TAIL_DEN)
+    return steps.withColumn(name, F.explode(F.array(z))).drop("__q", "__r", "__b", "__t")
 
 
 # -- kernels and mean functions -------------------------------------------

@@ -24,15 +24,20 @@ BY = ("param",)
 
 
 def rank_normalize(draws: DataFrame, by: Sequence[str] = BY, value: str = "value",
-                   name: str = "z", window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """Normal scores of ordinal ranks; ties go by step, then chain."""
+                   name: str = "z", window_rows: int = WINDOW_ROWS, rank: str | None = None
+                   ) -> DataFrame:
+    """Normal scores of ordinal ranks; ties go by step, then chain.
+
+    ``rank`` names a column that keeps the rank, with ``<rank>_of`` for the group size.
+    """
     by = list(by)
-    ranked = number_rows(draws, by, [value, "step", "chain"], "__rank", window_rows)
-    sizes = draws.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    u = (F.col("__rank") - 0.375) / (F.col("__n") + 0.25)
+    r = rank or "__rank"
+    ranked = number_rows(draws, by, [value, "step", "chain"], r, window_rows)
+    sizes = draws.groupBy(*by).agg(F.count(F.lit(1)).alias(f"{r}_of"))
+    u = (F.col(r) - 0.375) / (F.col(f"{r}_of") + 0.25)
     u = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), u))
     scored = with_normal_quantile(attach(ranked, sizes, by).withColumn("__u", u), "__u", name)
-    return scored.drop("__rank", "__n", "__u")
+    return scored.drop("__u") if rank else scored.drop("__u", r, f"{r}_of")
 
 
 def fold(draws: DataFrame, by: Sequence[str] = BY, value: str = "value", name: str = "folded",
@@ -45,11 +50,15 @@ def fold(draws: DataFrame, by: Sequence[str] = BY, value: str = "value", name: s
         name, F.abs(F.col(value) - F.col("__median"))).drop("__median")
 
 
-def split_halves(draws: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+def step_counts(draws: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    return draws.groupBy(*by).agg((F.max("step") + 1).alias("__steps"))
+
+
+def split_halves(draws: DataFrame, by: Sequence[str] = BY, steps: DataFrame | None = None
+                 ) -> DataFrame:
     """Add ``half`` 0/1; the middle step of an odd count is left out."""
     by = list(by)
-    steps = draws.groupBy(*by).agg((F.max("step") + 1).alias("__steps"))
-    out = attach(draws, steps, by)
+    out = attach(draws, step_counts(draws, by) if steps is None else steps, by)
     h = F.floor(F.col("__steps") / 2)
     h = F.when(h < 2, F.raise_error(F.lit("Need at least 4 samples per chain")).cast("long")
                ).otherwise(h)
@@ -58,10 +67,10 @@ def split_halves(draws: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 
 def split_rhat(draws: DataFrame, by: Sequence[str] = BY, value: str = "value",
-               name: str = "rhat") -> DataFrame:
+               name: str = "rhat", steps: DataFrame | None = None) -> DataFrame:
     """Split R-hat per group."""
     by = list(by)
-    halves = split_halves(draws, by).groupBy(*by, "chain", "half").agg(
+    halves = split_halves(draws, by, steps).groupBy(*by, "chain", "half").agg(
         F.count(F.lit(1)).alias("__n"), F.avg(value).alias("__mean"),
         F.var_samp(value).alias("__var"))
     pooled = halves.groupBy(*by).agg(
@@ -72,19 +81,32 @@ def split_rhat(draws: DataFrame, by: Sequence[str] = BY, value: str = "value",
     return pooled.select(*by, F.sqrt(ratio).alias(name))
 
 
+def ranked_draws(draws: DataFrame, by: Sequence[str] = BY, window_rows: int = WINDOW_ROWS
+                 ) -> DataFrame:
+    """Draws with normal scores ``z`` and ranks, stored for several uses."""
+    return materialize(
+        rank_normalize(draws.select(*by, "chain", "step", "value"), by, window_rows=window_rows,
+                       rank="rank"), "ranked")
+
+
 def rank_split_rhat(draws: DataFrame, by: Sequence[str] = BY,
                     window_rows: int = WINDOW_ROWS, ranked: DataFrame | None = None) -> DataFrame:
     """Larger of the rank-normalised split R-hat of the draws and of the folded draws.
 
-    ``ranked`` may hand in the draws with their normal scores ``z``.
+    The lower median is read off the ranks, so only two global orderings are made.
+    ``ranked`` may hand in the result of ``ranked_draws``.
     """
     by = list(by)
     if ranked is None:
-        ranked = rank_normalize(draws, by, window_rows=window_rows)
-    plain = split_rhat(ranked, by, "z", "rhat_rank")
-    folded = rank_normalize(fold(draws, by, window_rows=window_rows), by, "folded",
-                            window_rows=window_rows)
-    folded = split_rhat(folded, by, "z", "rhat_folded")
+        ranked = ranked_draws(draws, by, window_rows)
+    steps = step_counts(ranked, by)
+    plain = split_rhat(ranked, by, "z", "rhat_rank", steps)
+    middle = ranked.where(F.col("rank") == F.floor((F.col("rank_of") + 1) / 2)).select(
+        *by, F.col("value").alias("__median"))
+    folded = attach(ranked.select(*by, "chain", "step", "value"), middle, by).select(
+        *by, "chain", "step", F.abs(F.col("value") - F.col("__median")).alias("value"))
+    folded = rank_normalize(folded, by, window_rows=window_rows)
+    folded = split_rhat(folded, by, "z", "rhat_folded", steps)
     return attach(plain, folded, by, "inner").withColumn(
         "rhat", F.greatest("rhat_rank", "rhat_folded"))
 
@@ -197,10 +219,9 @@ def convergence_report(draws: DataFrame, run: Sequence[str] = (), param: str = "
                        min_steps: int = 20) -> DataFrame:
     """R-hat, tau, ESS per parameter and the verdict of the whole run."""
     by = [*run, param]
-    ranked = materialize(
-        rank_normalize(draws.select(*by, "chain", "step", "value"), by), "ranked")
+    ranked = ranked_draws(draws, by)
     ess = effective_sample_size(ranked, by, "z")
-    rhat = rank_split_rhat(ranked.drop("z"), by, ranked=ranked)
+    rhat = rank_split_rhat(ranked, by, ranked=ranked)
     steps = ranked.groupBy(*by).agg((F.max("step") + 1).cast("long").alias("n_steps"))
     rows = attach(attach(rhat, ess, by, "inner"), steps, by, "inner").select(
         *by, "n_steps", "n_draws", "rhat", "tau", "ess")

@@ -172,7 +172,8 @@ def as_array(curves: DataFrame, keys: Sequence[str], value: str = "value") -> Da
 
 
 def from_array(arrays: DataFrame, keys: Sequence[str], array: str = "y") -> DataFrame:
-    return arrays.select(*keys, F.posexplode(array).alias("bin", "value"))
+    return arrays.select(*keys, F.posexplode_outer(array).alias("bin", "value")).where(
+        F.col("bin").isNotNull())
 
 
 def smooth_gaussian(curves: DataFrame, keys: Sequence[str], sigma: float = 3.0) -> DataFrame:
@@ -189,7 +190,8 @@ def smooth_savgol(curves: DataFrame, keys: Sequence[str], n_bins: int) -> DataFr
 def curve_peaks(curves: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Local maxima of each curve with height and prominence."""
     arrays = as_array(curves, keys)
-    return arrays.select(*keys, F.inline(peaks(F.col("y"))))
+    return arrays.select(*keys, F.inline_outer(peaks(F.col("y")))).where(
+        F.col("bin").isNotNull())
 
 
 def effective_observations(curves: DataFrame, keys: Sequence[str], tolerance: float,
@@ -263,7 +265,8 @@ def interpolate(points: DataFrame, keys: Sequence[str], grid: Sequence[float],
     first, last = F.col("__i") == 1, F.col("__i") == F.col("__n")
     inside = F.filter(cells, lambda c: F.when(first, c["x"] < x1).otherwise(
         (c["x"] >= x0) & (c["x"] < x1)) | (last & (c["x"] >= x1)))
-    out = rows.select(*keys, "__x", "__y", "prev___x", "prev___y", "__i", F.inline(inside))
+    out = rows.select(*keys, "__x", "__y", "prev___x", "prev___y", "__i", F.inline_outer(inside)).where(
+        F.col("bin").isNotNull())
     between = y0 + (y1 - y0) / (x1 - x0) * (F.col("x") - x0)
     value = F.when(F.col("x") >= x1, y1).when(first, y1).otherwise(between)
     return out.select(*keys, "bin", "x", value.alias("value"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from calib.functions.expr import col, hash_order
 from calib.session import materialize
 
-WINDOW_ROWS = 2_000_000
+WINDOW_ROWS = 500_000
 BLOCK = 65_536
 
 Order = Sequence[str | Column]
@@ -104,41 +104,121 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Order, value: str,
         *df.columns, name)
 
 
+SKETCH = 10_000
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
               names: Sequence[str] | None = None, interpolate: bool = True,
               window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Exact quantiles per group, one column per probability.
 
     Linear interpolation between order statistics, or the lower one when
-    ``interpolate`` is false.  Equal values are merged before any ordering.
+    ``interpolate`` is false.  Equal values are merged before any ordering.  Large
+    groups are first narrowed with mergeable sketches to the values around the wanted
+    ranks, so neither a full sort nor a shuffle of all rows is needed.
     """
     keys = list(keys)
     names = list(names or [f"q{p:g}" for p in probs])
-    ties = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(
-        F.count(F.lit(1)).alias("__c"))
-    if largest_group(df, keys) <= window_rows:
+    if not keys:
+        one = df.withColumn("__all", F.lit(0))
+        return quantiles(one, ["__all"], value, probs, names, interpolate, window_rows).drop("__all")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("__i"), F.lit(float(p)).alias("__p"))
+                       for i, p in enumerate(probs)])
+    targets = sizes.select(*keys, F.inline(wanted), "__n")
+    place = (F.col("__n") - 1) * F.col("__p")
+    low = F.floor(place)
+    targets = targets.select(*keys, "__i", low.alias("__low"),
+                             F.least(low + 1, F.col("__n") - 1).alias("__high"),
+                             (place - low).alias("__t"))
+    if largest_group(rows, keys) <= window_rows:
+        ties = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
         ranked = _window_total(ties, keys, ["__v"], "__c", "__upto")
+        picked = _picked(ranked, targets, keys, len(probs))
     else:
-        ranked = running_total(ties, keys, ["__v"], "__c", "__upto", window_rows)
-    ranked = attach(ranked, ties.groupBy(*keys).agg(F.sum("__c").alias("__n")), keys)
-
-    def holds(rank: Column) -> Column:
-        return (F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank)
-
-    picks, outs = [], []
-    for i, (p, name) in enumerate(zip(probs, names)):
-        place = (F.col("__n") - 1) * F.lit(float(p))
-        low = F.floor(place)
-        high = F.least(low + 1, F.col("__n") - 1)
-        picks += [F.max(F.when(holds(low), F.col("__v"))).alias(f"__lo{i}")]
-        if interpolate:
-            picks += [F.max(F.when(holds(high), F.col("__v"))).alias(f"__hi{i}"),
-                      F.max(place - low).alias(f"__t{i}")]
-            lo, hi, t = F.col(f"__lo{i}"), F.col(f"__hi{i}"), F.col(f"__t{i}")
-            outs.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * t).alias(name))
-        else:
-            outs.append(F.col(f"__lo{i}").alias(name))
-    return ranked.groupBy(*keys).agg(*picks).select(*keys, *outs)
+        picked = _narrowed(rows, targets, keys, probs, window_rows)
+    lo, hi, t = F.col("__lo"), F.col("__hi"), F.col("__t")
+    result = F.when(lo == hi, lo).otherwise(lo + (hi - lo) * t) if interpolate else lo
+    return picked.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("__i") == i, result)).alias(n) for i, n in enumerate(names)])
+
+
+def _holds(rank: Column) -> Column:
+    """Whether a run of equal values (count __c, ending at __upto) covers a 0-based rank."""
+    return (F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank)
+
+
+def _picked(ranked: DataFrame, targets: DataFrame, keys: Sequence[str], n_probs: int
+            ) -> DataFrame:
+    """(keys, __i, __lo, __hi, __t) from ranked distinct values."""
+    packed = targets.groupBy(*keys).agg(F.array_sort(F.collect_list(
+        F.struct("__i", "__low", "__high", "__t"))).alias("__targets"))
+    rows = attach(ranked, packed, keys)
+    picks = []
+    for i in range(n_probs):
+        goal = F.get("__targets", F.lit(i))
+        picks.append(F.struct(
+            F.lit(i).alias("__i"),
+            F.max(F.when(_holds(goal["__low"]), F.col("__v"))).alias("__lo"),
+            F.max(F.when(_holds(goal["__high"]), F.col("__v"))).alias("__hi"),
+            F.max(goal["__t"]).alias("__t")))
+    return rows.groupBy(*keys).agg(F.array(*picks).alias("__a")).select(*keys, F.inline("__a"))
+
+
+def _narrowed(rows: DataFrame, targets: DataFrame, keys: Sequence[str],
+              probs: Sequence[float], window_rows: int) -> DataFrame:
+    """Order statistics of large groups from the values near each wanted rank.
+
+    A sketch brackets every rank; rows below the bracket are counted, rows inside it
+    are kept.  The bracket is checked against the exact counts, and the groups for
+    which it failed or stayed too wide are ordered in full.
+    """
+    eps = 1.0 / SKETCH
+    edges = [min(max(p + d * 3 * eps, 0.0), 1.0) for p in probs for d in (-1, 1)]
+    sketch = rows.groupBy(*keys).agg(
+        F.percentile_approx("__v", edges, SKETCH).alias("__e"),
+        F.min("__v").alias("__min"), F.max("__v").alias("__max"))
+    brackets = []
+    for i, p in enumerate(probs):
+        left = F.col("__min") if p - 3 * eps <= 0 else F.get("__e", F.lit(2 * i))
+        right = F.col("__max") if p + 3 * eps >= 1 else F.get("__e", F.lit(2 * i + 1))
+        brackets.append(F.struct(F.lit(i).alias("__i"), left.alias("__left"),
+                                 right.alias("__right")))
+    sketch = materialize(sketch.select(*keys, F.array(*brackets).alias("__b")), "brackets")
+    marked = attach(rows, sketch, keys)
+    below = marked.groupBy(*keys).agg(F.array(*[F.struct(
+        F.lit(i).alias("__i"),
+        F.count_if(F.col("__v") < F.get("__b", F.lit(i))["__left"]).alias("__below"))
+        for i in range(len(probs))]).alias("__a")).select(*keys, F.inline("__a"))
+    inside = F.filter("__b", lambda b: (F.col("__v") >= b["__left"]) & (F.col("__v") <= b["__right"]))
+    near = marked.select(*keys, "__v", F.explode_outer(F.transform(
+        inside, lambda b: b["__i"])).alias("__i")).where(F.col("__i").isNotNull())
+    near = materialize(near.groupBy(*keys, "__i", "__v").agg(F.count(F.lit(1)).alias("__c")), "near")
+    by = [*keys, "__i"]
+    local = running_total(near, by, ["__v"], "__c", "__in", window_rows)
+    ranked = attach(attach(local, below, by), targets, by).withColumn(
+        "__upto", F.col("__below") + F.col("__in"))
+    picked = materialize(ranked.groupBy(*by).agg(
+        F.max(F.when(_holds(F.col("__low")), F.col("__v"))).alias("__lo"),
+        F.max(F.when(_holds(F.col("__high")), F.col("__v"))).alias("__hi"),
+        F.max("__t").alias("__t")), "picked")
+    failed = targets.select(*by).exceptAll(
+        picked.where(F.col("__lo").isNotNull() & F.col("__hi").isNotNull()).select(*by))
+    failed = materialize(failed.select(*keys).distinct(), "failed")
+    if failed.isEmpty():
+        return picked
+    # NULL-safe semi join keeps groups whose key is NULL.
+    again = attach(
+        rows, failed.withColumn("__again", F.lit(True)), keys).where("__again").drop("__again")
+    ties = again.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    ranked = running_total(ties, keys, ["__v"], "__c", "__upto", window_rows)
+    redone = _picked(ranked, targets, keys, len(probs))
+    kept = attach(picked, failed.withColumn("__again", F.lit(True)), keys).where(
+        F.col("__again").isNull()).drop("__again")
+    redone = attach(redone, failed.withColumn("__again", F.lit(True)), keys).where(
+        "__again").drop("__again")
+    return kept.unionByName(redone)
 
 
 def with_previous(df: DataFrame, keys: Sequence[str], step: str, values: Sequence[str],

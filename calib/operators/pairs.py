@@ -96,7 +96,7 @@ def pair_join(a: DataFrame, b: DataFrame, keys: Sequence[str], max_distance: flo
         *[_neighbours(n, i, L).alias(f"__n{k}")
           for k, (n, i, L) in enumerate(zip(counts, index, LENGTHS))])
     for k in range(3):
-        left = left.withColumn(f"__c{k}", F.explode(f"__n{k}")).drop(f"__n{k}")
+        left = left.withColumn(f"__c{k}", F.explode_outer(f"__n{k}")).drop(f"__n{k}")
     cell = [*keys, "__c0", "__c1", "__c2"]
 
     crowded = right.groupBy(*cell).agg(F.count(F.lit(1)).alias("__m")).where(

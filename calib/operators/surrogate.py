@@ -83,7 +83,8 @@ def kernel_table(sets: DataFrame, hyper: DataFrame) -> DataFrame:
         "qoi", "member", "xs", "ids", "lengths", "width", "noise",
         F.posexplode("xs").alias("p", "x"))
     row = F.transform("xs", lambda o: rbf_kernel(F.col("x"), o, F.col("lengths"), F.col("width")))
-    cells = each.select("qoi", "member", "ids", "noise", "p", F.posexplode(row).alias("q", "k"))
+    cells = each.select("qoi", "member", "ids", "noise", "p",
+                        F.posexplode_outer(row).alias("q", "k"))
     return cells.select(
         "qoi", "member", F.get("ids", F.col("p")).alias("i"), F.get("ids", F.col("q")).alias("j"),
         F.when(F.col("p") == F.col("q"), F.col("k") + F.col("noise")).otherwise(F.col("k")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from calib.operators.curves import fill_bins
 from calib.operators.ordering import number_rows
+from calib.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -55,13 +56,13 @@ def line_key_text(sep: str = "|") -> str:
 # -- draws: one chain per user, one draw per event --------------------------
 
 def event_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chain, step, param, value), cut to the shortest chain."""
+    """(chain, step, param, value), cut to the shortest chain; stored, as draws are."""
     events = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("chain"), "ts", "event_id", F.lit("value").alias("param"), "value")
     shortest = events.groupBy("chain").count().agg(F.min("count")).first()[0]
     rows = number_rows(events, ["chain"], ["ts", "event_id"], "step")
-    return rows.where(F.col("step") <= shortest).select(
-        "chain", (F.col("step") - 1).alias("step"), "param", "value")
+    return materialize(rows.where(F.col("step") <= shortest).select(
+        "chain", (F.col("step") - 1).alias("step"), "param", "value"), "draws")
 
 
 EVENT_DRAWS = """
@@ -85,8 +86,9 @@ def line_draws_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     shortest = lines.groupBy("l_suppkey").count().agg(F.min("count")).first()[0]
     order = [c for c in LINE_KEY if c != "l_suppkey"]
     rows = number_rows(lines, ["l_suppkey"], order, "step")
-    return rows.where(F.col("step") <= shortest).select(
-        F.col("l_suppkey").alias("chain"), (F.col("step") - 1).alias("step"), *LINE_PARAMS)
+    return materialize(rows.where(F.col("step") <= shortest).select(
+        F.col("l_suppkey").alias("chain"), (F.col("step") - 1).alias("step"), *LINE_PARAMS),
+        "draws")
 
 
 def line_draws(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -302,8 +302,10 @@ SELECT param, {r('mean')} AS mean, {r('std')} AS std, {r('b')} AS median, {r('c
        {r('b - a')} AS lower, {r('greatest(x.rhat, y.rhat)')} AS rhat
 FROM s JOIN rhat_a x USING (param) JOIN rhat_b y USING (param)""")
 def flagship_posterior_report(spark, sf_dir):
-    rows = prepared(spark, sf_dir)
-    draws = line_draws(spark, sf_dir).where(F.col("param").isin(*PREPARED_PARAMS))
+    wide = line_draws_wide(spark, sf_dir)
+    rows = summary.prepare_samples(
+        wide.select("chain", "step", *PREPARED_PARAMS), PREPARED_PARAMS, 20, 2)
+    draws = summary.to_long(wide, PREPARED_PARAMS, ["chain", "step"])
     report = (summary.posterior_summary(rows, PREPARED_PARAMS)
               .join(summary.credible_intervals(rows, PREPARED_PARAMS), "param")
               .join(chains.rank_split_rhat(draws).select("param", "rhat"), "param"))

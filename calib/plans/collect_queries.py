@@ -12,7 +12,7 @@ from calib.plans.base import (
     reference_curves, rounded, table,
 )
 
-from calib.session import scratch_dir
+from calib.session import materialize, scratch_dir
 from calib.sources import sinks, tables, text
 
 HARTREE = f"{text.HARTREE_TO_EV!r}::DOUBLE"
@@ -326,7 +326,7 @@ def s12_specs(spark, sf_dir):
         F.lit("]\ncharge_constraints:\n- selection: all\n  target: "), s(size / 10.0),
         F.lit("\n  scope: system\n  implicit: charge 1\n  coefficients: {charge 1: "), s(size / 50.0),
         F.lit(", charge 2: "), s(size / 50.0 * 2), F.lit("}\n")).alias("value"))
-    documents = tables.yaml_to_json(files).withColumnRenamed("path", "campaign")
+    documents = materialize(tables.yaml_to_json(files).withColumnRenamed("path", "campaign"))
     bounds, constraints, terms = tables.specs_tables(documents)
     return (terms.join(constraints, ["campaign", "cid"]).join(bounds, ["campaign", "param"])
             .select("campaign", "param", "coef", "implicit", "target", "lower", "upper"))

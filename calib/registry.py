@@ -14,6 +14,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calib.session import materialize
+
 QOI_COLUMNS = ("qoi", "label", "bin", "value")
 Routine = Callable[..., DataFrame]
 _ROUTINES: dict[str, Routine] = {}
@@ -55,6 +57,8 @@ def run_routines(frames: DataFrame, routines: Mapping[str | Routine, Mapping[str
         parts.append(rows.withColumn("__routine", F.lit(i)))
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if len(parts) > 1:
+        # Curves are small; stored once, they are not computed again after the check.
+        merged = materialize(merged, "qoi")
         shared = merged.groupBy("qoi").agg(
             F.count_distinct("__routine").alias("n")).where("n > 1").limit(20).collect()
         if shared:

@@ -45,7 +45,9 @@ def read_files(spark: SparkSession, paths: str | Sequence[str], pattern: str | N
 
 def file_lines(files: DataFrame) -> DataFrame:
     """(path, line_no, line) from whole files."""
-    return files.select("path", F.posexplode(_lines(F.col("value"))).alias("line_no", "line"))
+    return files.select(
+        "path", F.posexplode_outer(_lines(F.col("value"))).alias("line_no", "line")).where(
+        F.col("line_no").isNotNull())
 
 
 def _lines(text: Column) -> Column:
@@ -121,9 +123,13 @@ def extxyz_frames(files: DataFrame) -> DataFrame:
 
 
 def frame_atoms(frames: DataFrame) -> DataFrame:
-    """One row per atom: (path, atom, symbol, x, y, z, fx, fy, fz)."""
-    return frames.select("path", F.posexplode("atoms").alias("atom", "a")).select(
-        "path", "atom", "a.*")
+    """One row per atom: (path, atom, symbol, x, y, z, fx, fy, fz).
+
+    The outer generator keeps the optimiser from adding a filter that would parse
+    the text a second time; empty frames are removed afterwards.
+    """
+    return frames.select("path", F.posexplode_outer("atoms").alias("atom", "a")).where(
+        F.col("atom").isNotNull()).select("path", "atom", "a.*")
 
 
 def last_frame(files: DataFrame) -> DataFrame:
@@ -173,8 +179,9 @@ def force_arrays(files: DataFrame) -> DataFrame:
 
 def forces(files: DataFrame) -> DataFrame:
     """(path, atom, fx, fy, fz), atoms numbered from 0."""
-    return force_arrays(files).select("path", F.posexplode("forces").alias("atom", "f")).select(
-        "path", "atom", "f.*")
+    return force_arrays(files).select(
+        "path", F.posexplode_outer("forces").alias("atom", "f")).where(
+        F.col("atom").isNotNull()).select("path", "atom", "f.*")
 
 
 def compound_frames(snapshots: DataFrame, trajectories: DataFrame, logs: DataFrame) -> DataFrame:
