@@ -51,7 +51,7 @@ def stack_vectors(curves: DataFrame, keys: Sequence[str]) -> DataFrame:
 def align(samples: DataFrame, reference: DataFrame) -> DataFrame:
     """Sample values next to reference values; the reference decides what is used."""
     ref = reference.select(*CELL, F.col("value").alias("reference"))
-    return samples.join(ref, CELL)
+    return attach(samples, ref, CELL, "inner")
 
 
 def schema_mismatches(samples: DataFrame, reference: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def schema_mismatches(samples: DataFrame, reference: DataFrame) -> DataFrame:
     wanted = reference.groupBy("qoi").agg(F.count(F.lit(1)).alias("expected"))
     ref = reference.select(*CELL, F.lit(1).alias("__known"))
     used = samples.join(blocks, ["qoi", "system_index"], "left_semi")
-    seen = used.join(ref, CELL, "left").groupBy("sample_id", "qoi").agg(
+    seen = attach(used, ref, CELL).groupBy("sample_id", "qoi").agg(
         F.count("__known").alias("matched"),
         F.count_if(F.col("__known").isNull()).alias("extra"))
     rows = attach(seen, wanted, ["qoi"])

@@ -19,6 +19,7 @@ from calib.session import materialize
 
 WINDOW_ROWS = 500_000
 BLOCK = 65_536
+LOCAL_ROWS = 10_000
 
 Order = Sequence[str | Column]
 
@@ -28,18 +29,31 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return counts.agg(F.max("n")).first()[0] or 0
 
 
+def local_if_small(df: DataFrame, rows: int = LOCAL_ROWS) -> DataFrame:
+    """``df`` as a broadcast table when it has at most ``rows`` rows, else unchanged.
+
+    The planner does not know the size of an aggregate before it runs and would shuffle
+    the large side of a join with it; counting first avoids that.
+    """
+    head = df.limit(rows + 1).toArrow()
+    if head.num_rows > rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
+
+
 def attach(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join per-group values to rows; NULL keys match each other.
 
-    Without keys ``small`` is one row of totals, added as literals.
+    A small table is broadcast after its rows have been counted; a large one is joined
+    as Spark sees fit.  Without keys ``small`` is one row of totals, added as literals.
     """
     if not keys:
         totals = small.first()
         return df.withColumns({
             f.name: F.lit(None if totals is None else totals[f.name]).cast(f.dataType)
             for f in small.schema.fields})
-    renamed = small.select(*[F.col(k).alias(f"__{k}") if k in keys else F.col(k)
-                             for k in small.columns])
+    renamed = local_if_small(small.select(*[
+        F.col(k).alias(f"__{k}") if k in keys else F.col(k) for k in small.columns]))
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
     return df.join(renamed, on, how).drop(*[f"__{k}" for k in keys])
 

@@ -195,7 +195,7 @@ def nearest_element(masses: DataFrame, elements: DataFrame, key: Sequence[str],
         F.explode(F.array_distinct(F.array(
             F.floor((F.col("mass") - tolerance) / width),
             F.floor((F.col("mass") + tolerance) / width)))).alias("__b"))
-    rows = masses.withColumn("__b", F.floor(F.col("mass") / width)).join(spread, "__b", "left")
+    rows = attach(masses.withColumn("__b", F.floor(F.col("mass") / width)), spread, ["__b"])
     gap = F.abs(F.col("mass") - F.col("__em"))
     best = F.min_by("element", F.when(gap <= tolerance, F.struct(gap, "element")))
     found = F.min(gap) <= tolerance

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +14,7 @@ from calib.functions.expr import (
 )
 from calib.operators.design import Specs, parameter_array, within_bounds, with_implicit
 from calib.operators.ordering import attach, number_rows, running_total
-from calib.operators.surrogate import Model, predict_batch
+from calib.operators.surrogate import Model, list_matrix, predict_batch
 
 NAN_SCORE = -1e10
 
@@ -28,8 +28,9 @@ def log_likelihood(pred: DataFrame, ref: DataFrame, n_eff: DataFrame, sigma: Dat
     """
     keys = list(keys)
     diff = F.col("value") - F.col("reference")
-    mse = pred.join(ref.select("qoi", "pos", F.col("value").alias("reference")), ["qoi", "pos"]
-                    ).groupBy(*keys, "qoi").agg(F.avg(diff * diff).alias("mse"))
+    both = attach(pred, ref.select("qoi", "pos", F.col("value").alias("reference")),
+                  ["qoi", "pos"], "inner")
+    mse = both.groupBy(*keys, "qoi").agg(F.avg(diff * diff).alias("mse"))
     on = [k for k in [*keys, "qoi"] if k in sigma.columns]
     rows = attach(attach(mse, n_eff, ["qoi"]), sigma, on)
     score = (F.col("n_eff") * F.col("mse") / (F.col("sigma") * F.col("sigma")) * -0.5
@@ -45,7 +46,7 @@ def log_prior(theta: DataFrame, priors: DataFrame, keys: Sequence[str] = ("theta
               ) -> DataFrame:
     """Sum of the prior log densities per key; long theta (keys, param, value)."""
     dens = prior_logpdf(F.col("kind"), F.col("value"), F.col("a"), F.col("b"))
-    return theta.join(priors.select("param", "kind", "a", "b"), "param").groupBy(*keys).agg(
+    return attach(theta, priors.select("param", "kind", "a", "b"), ["param"], "inner").groupBy(*keys).agg(
         F.sum(dens).alias("log_prior"))
 
 
@@ -81,15 +82,18 @@ def score_posterior(theta: DataFrame, params: Sequence[str], models: Mapping[str
     qois = sorted(models)
     known = {q: (models[q], np.asarray(reference[q], dtype=float)) for q in qois}
 
-    def mse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch["__x"].tolist(), dtype=float).reshape(len(batch), -1)
-            out = batch.drop(columns="__x")
+            at = batch.schema.get_field_index("__x")
+            x = list_matrix(batch.column(at), len(params))
+            names = [n for n in batch.schema.names if n != "__x"]
+            columns = [batch.column(n) for n in names]
             for k, q in enumerate(qois):
                 members, ref = known[q]
                 y = np.mean([predict_batch(m, x) for m in members], axis=0)
-                out[f"__mse{k}"] = ((y - ref) ** 2).mean(axis=1)
-            yield out
+                names.append(f"__mse{k}")
+                columns.append(pa.array(((y - ref) ** 2).mean(axis=1)))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = theta
     ok = F.lit(True)
@@ -104,7 +108,7 @@ def score_posterior(theta: DataFrame, params: Sequence[str], models: Mapping[str
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields
                        if f.name != "__x")
     schema += "".join(f", __mse{k} double" for k in range(len(qois)))
-    scored = rows.mapInPandas(mse, schema)
+    scored = rows.mapInArrow(mse, schema)
 
     total, cols = F.lit(0.0), []
     for k, q in enumerate(qois):

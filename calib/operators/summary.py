@@ -111,38 +111,37 @@ def robust_standardize(df: DataFrame, keys: Sequence[str], value: str, name: str
 # length are shuffled, whatever the number of draws.
 
 def _grid_sums(points: DataFrame, columns: Sequence[str], grid: np.ndarray,
-               kernel: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """sum over rows of weights^T kernel(x, grid); the last columns are the weights.
+               kernel: Callable[[np.ndarray, np.ndarray], np.ndarray],
+               weights: Sequence[str] = ()) -> np.ndarray:
+    """Sums over rows of weight * kernel(x, grid), one row of sums per weight column.
 
-    ``columns`` = [x..., w...]; x has as many columns as ``grid``.
+    Without weights every row counts once, and equal rows of a batch are merged.
     """
-    dim = grid.shape[1]
-    n_weights = len(columns) - dim
-    size = len(grid) * n_weights
+    dim, n_sums = len(columns), max(len(weights), 1)
+    size = len(grid) * n_sums
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((n_weights, len(grid)))
+        total = np.zeros((n_sums, len(grid)))
         rows = max(1, CHUNK // len(grid))
         seen = False
         for batch in batches:
             data = batch.to_numpy(dtype=float)
-            for at in range(0, len(data), rows):
-                part = data[at:at + rows]
-                total += part[:, dim:].T @ kernel(part[:, :dim], grid)
+            if weights:
+                x, w = data[:, :dim], data[:, dim:]
+            else:
+                x, counts = np.unique(data, axis=0, return_counts=True)
+                w = counts[:, None].astype(float)
+            for at in range(0, len(x), rows):
+                total += w[at:at + rows].T @ kernel(x[at:at + rows], grid)
                 seen = True
         if seen:
             yield pd.DataFrame({"i": np.arange(size), "s": total.ravel()})
 
-    parts = points.select(*columns).mapInPandas(sums, "i int, s double")
-    rows = parts.groupBy("i").agg(F.sum("s").alias("s")).collect()
+    parts = points.select(*columns, *weights).mapInPandas(sums, "i int, s double")
     out = np.zeros(size)
-    for r in rows:
+    for r in parts.groupBy("i").agg(F.sum("s").alias("s")).collect():
         out[r["i"]] = r["s"]
-    return out.reshape(n_weights, len(grid))
-
-
-def _tied(df: DataFrame, params: Sequence[str]) -> DataFrame:
-    return df.groupBy(*params).agg(F.count(F.lit(1)).cast("double").alias("__w"))
+    return out.reshape(n_sums, len(grid))
 
 
 def kde_grid(df: DataFrame, param: str, n_points: int = 400,
@@ -152,7 +151,7 @@ def kde_grid(df: DataFrame, param: str, n_points: int = 400,
                             F.var_samp(param)).first()
     grid = np.linspace(float(lo), float(hi), n_points)
     h = float(np.sqrt(var)) * n ** (-1.0 / 5.0)
-    sums = _grid_sums(_tied(df, [param]), [param, "__w"], grid[:, None],
+    sums = _grid_sums(df, [param], grid[:, None],
                       lambda x, g: np.exp(-0.5 * ((x - g.T) / h) ** 2))
     return grid, sums[0] / (n * h * np.sqrt(2 * np.pi))
 
@@ -180,7 +179,7 @@ def kde_2d(df: DataFrame, x: str, y: str, n_points: int = 100) -> DataFrame:
         d2 = (p[:, :1] - g[:, 0]) ** 2 + (p[:, 1:] - g[:, 1]) ** 2
         return np.exp(-0.5 * d2)
 
-    sums = _grid_sums(_tied(df, [x, y]), [x, y, "__w"], grid, kernel)[0]
+    sums = _grid_sums(df, [x, y], grid, kernel)[0]
     density = sums / (n * 2 * np.pi * np.sqrt(np.linalg.det(cov)))
     rows = [(i, j, float(gx[i]), float(gy[j]), float(density[i * n_points + j]))
             for i in range(n_points) for j in range(n_points)]
@@ -212,8 +211,8 @@ def responsibilities(df: DataFrame, param: str, scores: Sequence[str], n_points:
     n, sd, lo, hi = df.agg(F.count(param), F.stddev_pop(param), F.min(param),
                            F.max(param)).first()
     h = max(n ** -0.2 * sd, (hi - lo) / 100.0, 1e-8)
-    sums = _grid_sums(df.withColumn("__one", F.lit(1.0)), [param, *scores, "__one"],
-                      grid[:, None], lambda x, g: np.exp(-0.5 * ((x - g.T) / h) ** 2))
+    sums = _grid_sums(df.withColumn("__one", F.lit(1.0)), [param], grid[:, None],
+                      lambda x, g: np.exp(-0.5 * ((x - g.T) / h) ** 2), [*scores, "__one"])
     local = sums[:-1] / np.maximum(sums[-1], 1e-12)
     baseline = (local * density).sum(axis=1, keepdims=True) / density.sum()
     shifted = (local - baseline) / temperature

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,12 @@ def kernel_matrix(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, width: floa
     return width * width * np.exp(-0.5 * np.maximum(d2, 0.0))
 
 
+def list_matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
+    """Rows of an Arrow list column of one length as a matrix; NULL becomes NaN."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1 if width is None and len(column) else width or 0)
+
+
 def predict_batch(model: Model, x: np.ndarray) -> np.ndarray:
     mean = model.mean(x) if callable(model.mean) else model.mean
     return mean + kernel_matrix(x, model.x, model.lengths, model.width) @ model.alpha
@@ -167,21 +174,25 @@ def predict(queries: DataFrame, key: str, models: dict[str, list[Model]],
         F.lit(0.0) if stochastic_seed is None
         else hash_uniform(F.lit(str(stochastic_seed)), F.col(key))).alias("__u"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _stack(batch["params"])
-            if not len(x):
+            if not batch.num_rows:
                 continue
+            x = list_matrix(batch.column(1))
+            u = batch.column(2).to_numpy(zero_copy_only=False)
             for qoi, members in models.items():
                 y = np.array([predict_batch(m, x) for m in members])
                 if stochastic_seed is None:
                     y = y.mean(axis=0)
                 else:
-                    pick = (batch["__u"].to_numpy() * len(members)).astype(int)
-                    y = y[pick, np.arange(len(x))]
-                yield pd.DataFrame({key: batch[key], "qoi": qoi, "values": list(y)})
-
-    arrays = rows.mapInPandas(run, f"`{key}` {kind}, qoi string, values array<double>")
+                    y = y[(u * len(members)).astype(int), np.arange(len(x))]
+                width = y.shape[1]
+                values = pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(x) + 1) * width, pa.int32()), pa.array(y.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([qoi] * len(x)), values], [key, "qoi", "values"])
+
+    arrays = rows.mapInArrow(run, f"`{key}` {kind}, qoi string, values array<double>")
     return arrays.select(key, "qoi", F.posexplode("values").alias("pos", "value"))
 
 
@@ -238,6 +249,10 @@ def score_candidates(candidates: DataFrame, sets: DataFrame) -> DataFrame:
 
     Training arrays (already checked for size) travel with the tasks.
     """
+    size = F.size("xs") * (F.size(F.get("xs", F.lit(0))) + F.size(F.get("ys", F.lit(0))))
+    total = sets.agg(F.sum(size.cast("long"))).first()[0] or 0
+    if total > MAX_MODEL_VALUES:
+        raise ValueError(f"training sets hold {total} numbers, more than {MAX_MODEL_VALUES}")
     data = {r["qoi"]: (_stack(r["xs"]), _stack(r["ys"])) for r in sets.collect()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

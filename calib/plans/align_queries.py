@@ -98,9 +98,9 @@ def p13_stacked_position(spark, sf_dir):
 
 @query("p13_stacked_vectors", f"""
 WITH {BLOCKS},
-p AS (SELECT *, (system_index * 2 + CASE label WHEN 'AM' THEN 0 ELSE 1 END) * 30 + bin AS pos
+p AS (SELECT *, row_number() OVER (PARTITION BY sample_id, qoi ORDER BY system_index, label, bin) AS place
       FROM blocks WHERE qoi <> 'error')
-SELECT sample_id, qoi, count(*)::INTEGER AS n, {r('sum(value * (pos + 1))', 4)} AS weighted FROM p GROUP BY ALL""")
+SELECT sample_id, qoi, count(*)::INTEGER AS n, {r('sum(value * place)', 4)} AS weighted FROM p GROUP BY ALL""")
 def p13_stacked_vectors(spark, sf_dir):
     rows = align.with_position(blocks(spark, sf_dir).where("qoi <> 'error'"),
                                reference(spark, sf_dir))

@@ -334,7 +334,7 @@ def s12_specs(spark, sf_dir):
 
 @query("k2_dataset_round_trip", f"""
 WITH {EVENT_CURVES}
-SELECT label AS qoi, sample_id::INTEGER AS sample_index, bin AS pos, {r('value')} AS value FROM curves""")
+SELECT label AS qoi, sample_id, bin AS pos, {r('value')} AS value FROM curves""")
 def k2_dataset_round_trip(spark, sf_dir):
     data = event_curves(spark, sf_dir).select("sample_id", F.col("label").alias("qoi"), F.col("bin").alias("pos"), "value")
     ref = reference_curves(spark, sf_dir).select(F.col("label").alias("qoi"), F.col("bin").alias("pos"), "value")
@@ -342,7 +342,22 @@ def k2_dataset_round_trip(spark, sf_dir):
     layout = ref.select("qoi").distinct().withColumns({
         "labels": F.array(F.lit("all")), "values_per_label": F.lit(30), "nuisance": F.lit(None).cast("double")})
     path = fresh(spark, "datasets")
-    sinks.write_datasets(sinks.dataset_rows(params, data, ref, layout), path)
+    sinks.write_dataset(params, data, ref, layout, path)
+    samples, _ = tables.read_dataset(spark, path)
+    return rounded(samples.select("qoi", "sample_id", F.posexplode("outputs").alias("pos", "value")))
+
+
+@query("s8_dataset_scan", f"""
+WITH {EVENT_CURVES}
+SELECT label AS qoi, sample_id::INTEGER AS sample_index, bin AS pos, {r('value')} AS value FROM curves""")
+def s8_dataset_scan(spark, sf_dir):
+    data = event_curves(spark, sf_dir).select("sample_id", F.col("label").alias("qoi"), F.col("bin").alias("pos"), "value")
+    ref = reference_curves(spark, sf_dir).select(F.col("label").alias("qoi"), F.col("bin").alias("pos"), "value")
+    params = data.select("sample_id").distinct().withColumn("params", F.array(F.col("sample_id").cast("double")))
+    layout = ref.select("qoi").distinct().withColumns({
+        "labels": F.array(F.lit("all")), "values_per_label": F.lit(30), "nuisance": F.lit(None).cast("double")})
+    path = fresh(spark, "objects")
+    sinks.write_objects(sinks.dataset_objects(params, data, ref, layout), path)
     return rounded(tables.dataset_values(tables.read_datasets(spark, path)))
 
 

@@ -37,25 +37,49 @@ def write_extxyz(frames: DataFrame, path: str, mode: str = "errorifexists") -> N
     extxyz_text(frames, ()).write.mode(mode).text(path)
 
 
-def dataset_rows(params: DataFrame, values: DataFrame, reference: DataFrame, layout: DataFrame
-                 ) -> DataFrame:
-    """One dataset object per QoI from its tables.
+MAX_DATASET_VALUES = 20_000_000
+
+
+def _vector(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Values per key in position order; a vector has the length of one QoI."""
+    cells = F.array_sort(F.collect_list(F.struct("pos", "value")))
+    return df.groupBy(*keys).agg(cells.alias("v")).select(*keys, F.col("v.value").alias("v"))
+
+
+def write_dataset(params: DataFrame, values: DataFrame, reference: DataFrame, layout: DataFrame,
+                  path: str, mode: str = "errorifexists") -> None:
+    """Datasets as JSON rows: one per QoI and sample, and one per QoI for its reference.
 
     ``params``: sample_id, params; ``values``: sample_id, qoi, pos, value; ``reference``: qoi,
     pos, value; ``layout``: qoi, labels, values_per_label, nuisance.
     """
-    vector = lambda df, keys: df.groupBy(*keys).agg(F.array_sort(F.collect_list(
-        F.struct("pos", "value"))).alias("v")).select(*keys, F.col("v.value").alias("v"))
-    rows = vector(values, ["qoi", "sample_id"]).join(params, "sample_id")
+    rows = _vector(values, ["qoi", "sample_id"]).withColumnRenamed("v", "outputs").join(
+        params, "sample_id")
+    rows.write.mode(mode).partitionBy("qoi").json(f"{path}/samples")
+    ref = _vector(reference, ["qoi"]).withColumnRenamed("v", "outputs_ref").join(layout, "qoi")
+    ref.write.mode(mode).json(f"{path}/reference")
+
+
+def dataset_objects(params: DataFrame, values: DataFrame, reference: DataFrame,
+                    layout: DataFrame) -> DataFrame:
+    """One whole dataset object per QoI, for tools that read a dataset as one document.
+
+    An object is one row, so the number of values per QoI is checked first; use
+    ``write_dataset`` beyond the limit.
+    """
+    top = values.groupBy("qoi").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if top > MAX_DATASET_VALUES:
+        raise ValueError(f"{top} values are too many for one object; use write_dataset")
+    rows = _vector(values, ["qoi", "sample_id"]).join(params, "sample_id")
     packed = rows.groupBy("qoi").agg(F.array_sort(F.collect_list(
         F.struct("sample_id", "params", "v"))).alias("r"))
-    ref = vector(reference, ["qoi"]).withColumnRenamed("v", "outputs_ref")
+    ref = _vector(reference, ["qoi"]).withColumnRenamed("v", "outputs_ref")
     return packed.join(ref, "qoi").join(layout, "qoi").select(
         F.col("qoi").alias("name"), F.col("r.params").alias("inputs"), F.col("r.v").alias("outputs"),
         "outputs_ref", "labels", "values_per_label", "nuisance")
 
 
-def write_datasets(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_objects(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     rows.withColumn("qoi", F.col("name")).write.mode(mode).partitionBy("qoi").json(path)
 
 

@@ -37,10 +37,9 @@ SYMBOLS = (
 def read_files(spark: SparkSession, paths: str | Sequence[str], pattern: str | None = None
                ) -> DataFrame:
     """Whole text files under ``paths``, also in sub-folders."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    found = spark.read.text(paths, wholetext=True, recursiveFileLookup=True,
+                            pathGlobFilter=pattern)
+    return found.select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def file_lines(files: DataFrame) -> DataFrame:
