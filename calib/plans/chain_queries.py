@@ -268,6 +268,18 @@ def a13_posterior_summary(spark, sf_dir):
     return rounded(summary.posterior_summary(prepared(spark, sf_dir), PREPARED_PARAMS))
 
 
+@query("x4_sample_transform", f"""
+WITH {LINE_DRAWS_WIDE},
+kept AS (SELECT chain, step, ln(l_extendedprice) AS log_price FROM wide WHERE step >= 20 AND (step - 20) % 2 = 0),
+edges AS (SELECT quantile_cont(log_price, 0.005) AS a, quantile_cont(log_price, 0.995) AS b FROM kept)
+SELECT chain, step, {r('log_price')} AS log_price FROM kept, edges WHERE log_price BETWEEN a AND b""")
+def x4_sample_transform(spark, sf_dir):
+    wide = line_draws_wide(spark, sf_dir).select("chain", "step", "l_extendedprice")
+    to_log = lambda df: df.select(
+        "chain", "step", F.log("l_extendedprice").alias("log_price"))
+    return rounded(summary.prepare_samples(wide, ["l_extendedprice"], 20, 2, transform=to_log))
+
+
 @query("a14_robust_standardize", f"""
 SELECT event_id, {r('(value - q2) / CASE WHEN q3 - q1 > 1e-12 THEN q3 - q1 WHEN sd > 1e-12 THEN sd ELSE 1 END')} AS score
 FROM events JOIN (

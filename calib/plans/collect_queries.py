@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from calib.operators import groups, jobs, ordering
+from calib.operators import groups, jobs, ordering, summary
 from calib.plans.base import (
     ATOMS, EVENT_CURVES, EVENT_DRAWS, REFERENCE_CURVES, atoms, event_curves, event_draws, query, r,
     reference_curves, rounded, table,
@@ -638,3 +638,46 @@ SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS
        {r('count(*) / 86400.0::DOUBLE', 8)} AS rate FROM events GROUP BY ALL""")
 def w13_throughput(spark, sf_dir):
     return rounded(jobs.throughput(table(spark, sf_dir, "events"), ["event_type"], 86400), 8)
+
+
+# -- sinks, written and read back ------------------------------------------
+
+@query("k3_raw_export", f"""
+WITH {EVENT_CURVES} SELECT sample_id, label, bin::BIGINT AS bin, {r('value', 3)} AS value FROM curves""")
+def k3_raw_export(spark, sf_dir):
+    path = fresh(spark, "raw")
+    sinks.write_raw(event_curves(spark, sf_dir), path, decimals=3)
+    return rounded(spark.read.schema("sample_id long, label string, bin long, value double").json(path), 3)
+
+
+@query("k4_summary_sink", f"""
+SELECT 'l_quantity' AS param, {r('avg(l_quantity)')} AS mean, {r('stddev_pop(l_quantity)')} AS std FROM lineitem
+UNION ALL SELECT 'l_tax', {r('avg(l_tax)')}, {r('stddev_pop(l_tax)')} FROM lineitem""")
+def k4_summary_sink(spark, sf_dir):
+    path = fresh(spark, "summary")
+    sinks.write_summary(summary.posterior_summary(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_tax"]), path)
+    return rounded(spark.read.schema("param string, mean double, std double").json(path))
+
+
+@query("k5_draws_append", f"""
+WITH {EVENT_DRAWS} SELECT 'run-' || step % 3 AS run_id, chain, step, param, value FROM draws""")
+def k5_draws_append(spark, sf_dir):
+    path = fresh(spark, "appended")
+    draws = event_draws(spark, sf_dir).withColumn(
+        "run_id", F.concat(F.lit("run-"), s(F.col("step") % 3)))
+    # Two saves of one chain file, as a sampler would make at its progress marks.
+    sinks.append_draws(draws.where("step < 20"), path)
+    sinks.append_draws(draws.where("step >= 20"), path)
+    return tables.read_draws(spark, path)
+
+
+@query("k7_energy_map", f"""
+WITH p AS (SELECT (p_partkey % 30 + 1)::VARCHAR AS number, p_partkey, p_retailprice FROM part)
+SELECT number, {r('-arg_max(p_retailprice, p_partkey)')} AS energy_ev FROM p GROUP BY number""")
+def k7_energy_map(spark, sf_dir):
+    path = fresh(spark, "energies")
+    energies = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 30 + 1).alias("number")).agg(
+        (-F.max_by("p_retailprice", "p_partkey")).alias("energy_ev"))
+    sinks.write_atom_energies(energies, path)
+    keyed = spark.read.text(path).select(F.from_json("value", "map<string,double>").alias("m"))
+    return rounded(keyed.select(F.explode("m").alias("number", "energy_ev")))

@@ -160,3 +160,11 @@ def test_export(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(30)], "id long, p double")
     r = posterior.export_rows(df, ["id"], ["id", "p"], 5, 1).first()
     assert len(r["p"]) == 5 and [float(i) for i in r["id"]] == r["p"]
+
+
+def test_pluggable_likelihood(spark):
+    theta = spark.createDataFrame([(0, 0.5), (1, -0.5)], "id long, t double")
+    got = posterior.score_posterior(
+        theta, ["t"], {}, {}, {}, [("t", "uniform", -1.0, 1.0)],
+        likelihood=lambda df: -F.col("t") * F.col("t")).orderBy("id").collect()
+    assert [round(r["log_posterior"], 9) for r in got] == [round(-0.25 - math.log(2), 9)] * 2
