@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from calib.functions.expr import col, hash_order
 from calib.session import materialize
 
-WINDOW_ROWS = 500_000
+WINDOW_ROWS = 1_000_000
 BLOCK = 65_536
 LOCAL_ROWS = 10_000
 
