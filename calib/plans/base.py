@@ -46,13 +46,6 @@ def r(sql: str, digits: int = 6) -> str:
     return f"(round({sql}, {digits}) + 0.0::DOUBLE)"
 
 
-def line_key_text(sep: str = "|") -> str:
-    """SQL text naming a lineitem row, the same in both engines."""
-    return ("concat_ws('|', cast(l_orderkey AS string), cast(l_linenumber AS string), "
-            "cast(l_partkey AS string), cast(l_suppkey AS string), "
-            "cast(cast(l_shipdate AS date) AS string))")
-
-
 # -- draws: one chain per user, one draw per event --------------------------
 
 def event_draws(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from calib.operators import curves, ordering, posterior, surrogate
 from calib.plans.base import LINE_KEY, query, r, rounded, table
-from calib.plans.design_queries import ID, KEYS
+from calib.plans.design_queries import ID
 
 QOIS = ("F", "O", "P")
 HYPER = [(q, 0, [0.8, 1.2], 1.0, 0.05) for q in QOIS] + [(q, 1, [1.5, 0.6], 0.8, 0.1) for q in QOIS]
