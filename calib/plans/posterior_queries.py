@@ -370,3 +370,26 @@ def g14_export_rows(spark, sf_dir):
     wide = posterior.export_rows(orders, ["o_orderkey"], ["o_totalprice", "o_custkey"], 40, 2)
     return wide.select(F.posexplode(F.arrays_zip("o_totalprice", "o_custkey")).alias("pos", "c")).select(
         "pos", "c.o_totalprice", "c.o_custkey")
+
+
+@query("x3_callable_mean", f"""
+WITH RECURSIVE {TRAINING}, {_gp_sql()}, {CUSTOMERS}, {_predict_sql('qs', 'c_custkey')}
+SELECT c_custkey, qoi, pos, {r('value - mean + 0.1 * x1')} AS value
+FROM pred JOIN mean USING (qoi) JOIN qs USING (c_custkey)""")
+def x3_callable_mean(spark, sf_dir):
+    # The weights are those of the constant mean; only the mean of the prediction changes.
+    models = surrogate.collect_models(fitted(spark, sf_dir), {q: lambda x: 0.1 * x[:, :1] for q in QOIS})
+    return rounded(surrogate.predict(customer_queries(spark, sf_dir), "c_custkey", models))
+
+
+@query("x6_custom_likelihood", f"""
+WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount * 20 - 1 AS x1, l_tax * 30 - 1 AS x2,
+                  l_quantity / 50 - 1 AS ls FROM lineitem),
+p AS (SELECT *, {LOG_PRIOR} AS lp FROM t)
+SELECT l_orderkey, l_linenumber, l_partkey,
+       CASE WHEN isinf(lp) THEN lp ELSE {r('lp - x1 * x1')} END AS log_posterior FROM p""")
+def x6_custom_likelihood(spark, sf_dir):
+    scores = posterior.score_posterior(
+        theta(spark, sf_dir), ["x1", "x2"], {}, {}, {}, PRIORS,
+        likelihood=lambda df: -F.col("x1") * F.col("x1"))
+    return _rounded_inf(scores.select(*ID, "log_posterior"), ["log_posterior"])

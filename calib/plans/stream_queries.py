@@ -87,6 +87,16 @@ def r6_throughput_stream(spark, sf_dir):
     return rounded(rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), 8)
 
 
+@query("x1_named_routine", f"""
+WITH {_profile_ctes(60, 6.0, "mass > 0.5", "resname = 'SOL' AND element = 'O'")},
+{_smooth_sql('profile', 'label', 60)}
+SELECT 'rdf' AS qoi, label, bin, {r('value')} AS value FROM smooth""")
+def x1_named_routine(spark, sf_dir):
+    return rounded(registry.run_routines(atoms(spark, sf_dir), [
+        ("rdf", dict(solute="resname = 'MOL'", solvent="resname = 'SOL' AND element = 'O'",
+                     r_range=(0.0, 6.0), n_bins=60))]))
+
+
 @query("x2_routine_merge", f"""
 WITH {_profile_ctes(60, 6.0, "mass > 0.5", "resname = 'SOL' AND element = 'O'")},
 {_smooth_sql('profile', 'label', 60)}, {BONDS}, {TRIPLES},
