@@ -62,7 +62,7 @@ def shingles(texts: list[bytes], known: WordHash, width: int) -> list[np.ndarray
         if n >= width:
             out.append(np.unique(rolled[start:end - width + 1]))
         elif n:
-            out.append(np.array([xxhash.xxh64_intdigest(hashes[start:end].tobytes(), seed=n)],
+            out.append(np.array([xxhash.xxh64_intdigest(hashes[start:end].tobytes(), seed=int(n))],
                                 np.uint64))
         else:
             out.append(np.zeros(0, np.uint64))
@@ -190,7 +190,7 @@ def _settle(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         links = _verified(materialize(pairs, "pairs"), sets, percent)
         near = links.join(labels.withColumnsRenamed({"node": "a", "root": "ra"}), "a").join(
             labels.withColumnsRenamed({"node": "b", "root": "rb"}), "b")
-        moved = components(near, "ra", "rb").withColumnsRenamed({"node": "root", "root": "to"})
+        moved = components(near, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("to"))
         labels = materialize(labels.join(moved, "root", "left").select(
             "node", F.coalesce("to", "root").alias("root")), "labels")
         buckets = materialize(active.where("NOT at_once").select("token", "node", "n").join(
