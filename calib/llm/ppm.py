@@ -4,9 +4,9 @@ The model reads a text as its lower-cased words, one space between them, and an
 symbol.  Training counts, by grouped aggregation over all training texts, how often each
 byte follows each context of the longest order; the shorter contexts are sums of those
 counts, and together they form the trie.  A byte is coded in the longest context that has
-been seen.  A byte not seen there costs an escape (as many counts as the context has
-different bytes), and the next shorter context is used with the bytes of the longer one
-excluded.  Below the empty context all bytes left are equally likely.
+been seen.  Each different byte of a context gives half a count to the escape, which a
+byte not seen there costs; the next shorter context is then used with the bytes of the
+longer one excluded.  Below the empty context all bytes left are equally likely.
 
 The trie goes to the tasks as a broadcast.  Its nodes are counted first, and the order is
 the largest up to ``order`` whose trie has at most ``NODES`` nodes; order 2 always fits,
@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from calib.llm.blocks import as_bytes, bounded_batches, slices
 from calib.session import materialize
 
-ORDER = 4
+ORDER = 5
 LEAST_ORDER = 2
-NODES = 3_000_000
+NODES = 6_000_000
 TOP_WORDS = 300_000
 HELD = 300_000
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never uses
@@ -127,12 +127,12 @@ class ByteModel:
             if not len(level.codes):
                 continue
             new = np.where(known, level.kinds[ctx] - gone_kinds, 0)
-            whole = np.where(known, level.totals[ctx] - gone + new, 0)
-            use = open_ & known & (whole > 0)
+            whole = np.where(known, level.totals[ctx] - gone, 0)
+            use = open_ & (new > 0)
             hit = use & seen
             miss = use & ~seen
-            out[hit] += np.log10(level.counts[node[hit]] / whole[hit])
-            out[miss] += np.log10(new[miss] / whole[miss])
+            out[hit] += np.log10((level.counts[node[hit]] - 0.5) / whole[hit])
+            out[miss] += np.log10(0.5 * new[miss] / whole[miss])
             open_ &= ~hit
             gone = np.where(known, level.below[ctx], 0)
             gone_kinds = np.where(known, level.kinds[ctx], 0)
