@@ -38,6 +38,7 @@ WORD_DIM, GRAM_DIM, HIDDEN = 8, 12, 8
 SAMPLE, LONGEST = 2500, 20_000
 GRAM_SIZES = (3, 4)
 RECENT = 200_000
+LEAST_STEPS, MOST_EPOCHS = 150, 60
 
 
 def gram_ids(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -266,8 +267,8 @@ class Words:
         x = np.concatenate([net.p["word"][self.ids[k]], total / n[:, None]], 1)
         return x.astype(np.float32), grams, owner
 
-    def odds(self, labels: np.ndarray) -> np.ndarray:
-        """Per row, summed log-odds of the word and its n-grams to occur in toxic texts."""
+    def odds(self, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-odds to occur in toxic texts, by word bucket, by n-gram bucket, and per row."""
         def logs(ids_of: list[np.ndarray], size: int) -> np.ndarray:
             hit = np.full((2, size), 0.5)
             for ids, y in zip(ids_of, labels):
@@ -275,16 +276,16 @@ class Words:
             share = hit / (np.bincount(labels.astype(int), minlength=2)[:, None] + 1)
             # A rare input proves little: the odds shrink with the texts that hold it.
             return np.log(share[1] / share[0]) * np.minimum(1, hit.sum(0) / 20)
-        own = logs(self.texts, len(self.words) + 1)
+        by_word = logs([self.ids[t - 1] for t in self.texts], WORDS)
         grams_of = [self.grams[np.repeat(self.starts[t - 1], self.sizes[t - 1]) + np.arange(
             self.sizes[t - 1].sum()) - np.repeat(np.cumsum(self.sizes[t - 1]) - self.sizes[t - 1],
                                                  self.sizes[t - 1])] for t in self.texts]
         by_gram = logs(grams_of, GRAMS)
         most = np.maximum.reduceat(by_gram[self.grams], self.starts) if len(self.words) else np.zeros(0)
-        return own + np.concatenate([[0.0], most])
+        return by_word, by_gram, np.concatenate([[0.0], by_word[self.ids] + most])
 
 
-def train(texts: list[bytes], labels: np.ndarray, seed: int = 1, epochs: int = 6, batch: int = 256,
+def train(texts: list[bytes], labels: np.ndarray, seed: int = 1, epochs: int = 8, batch: int = 256,
           rate: float = 0.01) -> Network:
     """A network from labelled texts."""
     net = Network.new(seed)
@@ -294,12 +295,17 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 1, epochs: int = 6
     sizes = np.array([len(w) for w in windows])
     stacked = np.concatenate(windows)
     starts = np.cumsum(sizes) - sizes
-    odds = data.odds(labels)
+    by_word, by_gram, odds = data.odds(labels)
+    # One dimension of each embedding starts at the log-odds, so that few labels suffice.
+    net.p["word"][:, 0] = by_word
+    net.p["gram"][:, 0] = by_gram
     guess = np.sort(odds[stacked], 1)[:, -3:].sum(1)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
-    for epoch in range(epochs):
-        if epoch >= 2:
+    # Small samples are read more often, so that the network sees enough batches.
+    again = -(-LEAST_STEPS * batch // max(len(texts), 1))
+    for epoch in range(max(epochs, min(again, MOST_EPOCHS))):
+        if epoch >= 2 and epoch % 2 == 0:
             rows = np.arange(1, len(data.words) + 1)
             gates = np.concatenate([net.gates(np.zeros((1, WORD_DIM + GRAM_DIM), np.float32))] + [
                 net.gates(data.inputs(net, rows[k:k + 50_000])[0])
