@@ -12,8 +12,9 @@
 The posterior adds the logs.  A text is rejected when it holds no letters, or when the
 best language has a posterior below ``least``.
 
-The text model is fitted on at most ``sample`` labelled rows per language, drawn by hash
-from those of at most ``longest`` characters; all other counts cover all rows.
+The text model is fitted on about ``sample`` labelled rows per language, twice as many in
+all at most, drawn by hash from those of at most ``longest`` characters, for the LANGUAGES
+most frequent languages; all other counts cover all rows.
 
 Defined cases: NULL and empty texts are decided by the other evidence and rejected;
 NULL or unknown declared languages give no evidence; rows without host have the prior of
@@ -35,6 +36,8 @@ from calib.session import materialize
 
 SLOTS = 1 << 16
 SAMPLE, LONGEST = 500, 20_000
+LANGUAGES = 256
+SEED = 3
 OVERLAP = 3.0
 LEAST = 0.6
 STRENGTH = 10.0      # rows that a level's parent counts for
@@ -83,17 +86,23 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> TextModel:
-    """A text model from rows (doc_id, text, lang)."""
+    """A text model from rows (doc_id, text, lang); without any, it knows no language."""
     known = labelled.where((F.length("text") <= longest) & F.col("lang").isNotNull())
-    languages = [r["lang"] for r in known.groupBy("lang").count().orderBy(
-        F.desc("count"), "lang").limit(256).collect()]
-    languages.sort()
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(
+        F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    languages = sorted(counts)
     table = np.zeros((SLOTS, len(languages)))
-    for k, lang in enumerate(languages):
-        rows = known.where(F.col("lang") == lang).orderBy(
-            F.xxhash64("doc_id"), "doc_id").limit(sample).select("text").toArrow()
-        slots, _ = trigram_slots(as_bytes(rows.column("text").combine_chunks()))
-        table[:, k] = np.bincount(slots, minlength=SLOTS)
+    if languages:
+        # Each language keeps about ``sample`` of its rows, by the hash of their ids.
+        share = F.create_map(*[x for lang in languages for x in (
+            F.lit(lang), F.lit(sample / counts[lang]))])
+        draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
+        rows = known.where(draw < F.try_element_at(share, F.col("lang"))).select("lang", "text").limit(
+            2 * sample * len(languages)).toArrow()
+        of_row = np.array([languages.index(x) for x in rows.column("lang").to_pylist()], np.int64)
+        slots, sizes = trigram_slots(as_bytes(rows.column("text").combine_chunks())) if len(of_row) else (
+            np.zeros(0, np.int64), of_row)
+        np.add.at(table, (slots, np.repeat(of_row, sizes)), 1)
     # Smoothed towards the trigrams of all languages, so that rare ones decide little.
     common = (table.sum(1) + 0.5) / (table.sum() + 0.5 * SLOTS)
     table = (table + 50.0 * common[:, None] * 20) / (table.sum(0) + 1000.0)
