@@ -6,9 +6,8 @@ are at most q.centre + |q| radius, and no more than any bound of the nodes above
 Leaves are visited from the highest bound down, until the next bound lies below the k-th
 score known so far; that score starts from the one other shards have found.
 
-Components become floor(scale * x) as whole numbers.  Products are exact in double
-precision while they stay below 2^53; beyond, they are computed with Python integers and
-held in 64 bits.
+Components become floor(scale * x) as whole numbers.  Products are exact while they stay
+below 2^53; larger ones are rounded as doubles are, and end at the limits of a long.
 
 Defined cases: vectors that are NULL, empty, or hold NULL or non-finite components take
 no part; equal scores go to the smaller id; a query with fewer candidates returns them
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from calib.llm.search import search, usable
 
 LEAF = 128
-EXACT = 2.0 ** 53
+MOST = float((1 << 63) - 1024)
 
 
 def build(rows: np.ndarray, leaf: int = LEAF) -> list[tuple[np.ndarray, list[tuple[np.ndarray, float]]]]:
@@ -64,15 +63,6 @@ def leaf_bounds(queries: np.ndarray, leaves: list) -> np.ndarray:
     return out
 
 
-def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    top = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * rows.shape[1]
-    if top < EXACT:
-        return queries @ rows.T
-    exact = np.array([[int(x) for x in q] for q in queries], object) @ np.array(
-        [[int(x) for x in r] for r in rows], object).T
-    return exact.astype(np.float64)
-
-
 def best_products(q_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, ids: np.ndarray,
                   rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of query and row, and scores, of the k best rows (in id order) per query."""
@@ -91,7 +81,7 @@ def best_products(q_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, id
         for leaf in np.unique(leaf_of[open_]):
             q = open_[leaf_of[open_] == leaf]
             at = leaves[leaf][0]
-            found = products(queries[q], rows[at])
+            found = queries[q] @ rows[at].T
             found = np.where(ids[at][None, :] == q_ids[q][:, None], -np.inf, found)
             better = (found >= limit[q][:, None]).any(1)
             q, found = q[better], found[better]
@@ -116,4 +106,5 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int
             F.transform(f"`{vec}`", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
 
     found = search(whole(vectors), whole(queries), k, best_products, largest=True)
-    return found.withColumn("score", F.col("score").cast("long"))
+    held = F.greatest(F.least("score", F.lit(MOST)), F.lit(-MOST))
+    return found.withColumn("score", held.cast("long"))
