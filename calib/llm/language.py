@@ -86,7 +86,7 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> TextModel:
-    """A text model from rows (doc_id, text, lang); without any, it knows no language."""
+    """A text model from rows (doc_id, text, lang); without any, no text is accepted."""
     known = labelled.where((F.length("text") <= longest) & F.col("lang").isNotNull())
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(
         F.desc("count"), "lang").limit(LANGUAGES).collect()}
@@ -113,20 +113,18 @@ def with_likelihood(rows: DataFrame, model: TextModel, *keep: str) -> DataFrame:
     """``keep`` columns of rows (text, ...), the log-likelihoods ``ll``, whether letters occur."""
     bounded_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    inner = [f"__{k}" for k in range(len(keep))]
-    source = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, inner)], "text",
-                         F.col("text").rlike(r"\p{L}").alias("letters"))
-    schema = source.select(*inner, "letters", F.array(F.lit(0.0)).alias("ll")).schema
+    source = rows.select(*keep, "text", F.col("text").rlike(r"\p{L}").alias("letters"))
+    schema = source.select(*keep, "letters", F.array(F.lit(0.0)).alias("ll")).schema
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             ll = shared.value.log_likelihood(as_bytes(batch.column("text")))
             n = np.full(len(ll), ll.shape[1], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in inner], batch.column("letters"),
-                 list_array(ll.ravel(), n, pa.float64())], [*inner, "letters", "ll"])
+                [*[batch.column(c) for c in keep], batch.column("letters"),
+                 list_array(ll.ravel(), n, pa.float64())], [*keep, "letters", "ll"])
 
-    return source.mapInArrow(emit, schema).toDF(*keep, "letters", "ll")
+    return source.mapInArrow(emit, schema)
 
 
 def softmax(logs: Column) -> Column:
@@ -164,12 +162,17 @@ def identify(rows: DataFrame, model: TextModel, *keep: str, least: float = LEAST
     Text and declared language are read once; only likelihoods and keys are shuffled.
     """
     size = len(model.languages)
+    if not size:
+        return rows.select(*[F.col(f"`{c}`") for c in keep], F.lit(None).cast("string").alias("lang"),
+                           F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
     names = F.array(*[F.lit(x) for x in model.languages])
     keys = ["k_host", "k_domain", "k_suffix"]
-    host = F.coalesce(F.col("host"), F.lit(""))
-    rows = rows.withColumns(dict(zip(keys, host_levels(host)))).withColumn(
-        "k_declared", F.lower(F.substring_index(F.coalesce("declared", F.lit("")), "-", 1)))
-    own = with_likelihood(rows, model, *keep, *keys, "k_declared").withColumn("post", softmax(F.col("ll")))
+    inner = [f"__{k}" for k in range(len(keep))]
+    rows = rows.select(
+        *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, inner)], "text",
+        *[c.alias(k) for k, c in zip(keys, host_levels(F.coalesce(F.col("host"), F.lit(""))))],
+        F.lower(F.substring_index(F.coalesce("declared", F.lit("")), "-", 1)).alias("k_declared"))
+    own = with_likelihood(rows, model, *inner, *keys, "k_declared").withColumn("post", softmax(F.col("ll")))
     own = materialize(own, "likelihoods")
     sums = materialize(_sums(own, [*keys, "k_declared"], size), "sums").withColumnRenamed("mass", "post")
     whole = sums.agg(*[F.sum(F.get("post", F.lit(k))).alias(f"m{k}") for k in range(size)]).first()
@@ -201,7 +204,7 @@ def identify(rows: DataFrame, model: TextModel, *keep: str, least: float = LEAST
                      for k in range(size)])
     done = fused.withColumn("__p", softmax(logs)).withColumn("posterior", F.array_max("__p"))
     return done.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *[F.col(n).alias(c) for c, n in zip(keep, inner)],
         F.get(names, F.array_position("__p", F.col("posterior")).cast("int") - 1).alias("lang"),
         "posterior", (F.col("letters") & (F.col("posterior") >= least)).alias("accepted"))
 
