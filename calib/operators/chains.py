@@ -60,7 +60,7 @@ def split_halves(draws: DataFrame, by: Sequence[str] = BY, steps: DataFrame | No
     by = list(by)
     out = attach(draws, step_counts(draws, by) if steps is None else steps, by)
     h = F.floor(F.col("__steps") / 2)
-    h = F.when(h < 2, F.raise_error(F.lit("Need at least 4 samples per chain")).cast("long")
+    h = F.when(h < 2, F.raise_error(F.lit("a chain needs four steps to be halved")).cast("long")
                ).otherwise(h)
     half = F.when(F.col("step") < h, 0).when(F.col("step") >= F.col("__steps") - h, 1)
     return out.withColumn("half", half).where(F.col("half").isNotNull()).drop("__steps")

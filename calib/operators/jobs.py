@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calib.operators.ordering import attach
@@ -99,14 +99,22 @@ def completed_runs(frames: DataFrame, targets: DataFrame, keys: Sequence[str]) -
 
 def throughput(marks: DataFrame, keys: Sequence[str], seconds: int, total: int | None = None
                ) -> DataFrame:
-    """Steps per second in each time window, and the time left at that rate.
+    """Steps per second in each time window; with ``total``, also the time left.
 
-    ``marks``: keys, ts; one row per step.
+    ``marks``: keys, ts; one row per step.  The time left at the end of a window follows
+    from the mean pace since the first step: elapsed / done * (total - done), 0 when done.
     """
-    win = F.window("ts", f"{seconds} seconds")
-    rows = marks.groupBy(*keys, win.alias("w")).agg(F.count(F.lit(1)).alias("steps"))
-    out = rows.select(*keys, F.col("w.start").alias("window_start"), "steps",
-                      (F.col("steps") / float(seconds)).alias("rate"))
+    keys = list(keys)
+    rows = marks.groupBy(*keys, F.window("ts", f"{seconds} seconds").alias("w")).agg(
+        F.count(F.lit(1)).alias("steps"), F.min("ts").alias("__first"), F.max("ts").alias("__last"))
+    rate = (F.col("steps") / float(seconds)).alias("rate")
     if total is None:
-        return out
-    return out.withColumn("eta_seconds", F.try_divide(F.lit(float(total)) - F.col("steps"), "rate"))
+        return rows.select(*keys, F.col("w.start").alias("window_start"), "steps", rate)
+    so_far = Window.partitionBy(*keys).orderBy("w").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"done": F.sum("steps").over(so_far), "__begin": F.min("__first").over(so_far)})
+    elapsed = F.unix_micros(F.col("__last").cast("timestamp")) - F.unix_micros(
+        F.col("__begin").cast("timestamp"))
+    left = F.greatest(F.lit(total) - F.col("done"), F.lit(0))
+    return rows.select(*keys, F.col("w.start").alias("window_start"), "steps", rate, "done",
+                       (elapsed / 1e6 / F.col("done") * left).alias("eta_seconds"))

@@ -112,11 +112,14 @@ def _stack(v) -> np.ndarray:
     return np.array([np.asarray(row, dtype=float) for row in v], dtype=float)
 
 
-def solve_weights(sets: DataFrame, hyper: DataFrame, mean: DataFrame | None = None) -> DataFrame:
+def solve_weights(sets: DataFrame, hyper: DataFrame, mean: DataFrame | None = None,
+                  means: dict[str, Callable] | None = None) -> DataFrame:
     """Weights (K + noise I)^-1 (y - mean), one row per (qoi, member).
 
     ``hyper``: qoi, member, lengths, width, noise.  ``mean``: qoi, mean (array per QoI
-    of the curve length, or of length one).  Models are solved in parallel.
+    of the curve length, or of length one).  A function in ``means`` takes the place of
+    a QoI's constant mean; hand the same ones to ``collect_models``.  Models are solved
+    in parallel.
     """
     models = sets.join(hyper, "qoi")
     models = (models.withColumn("mean", F.array(F.lit(0.0))) if mean is None
@@ -126,7 +129,9 @@ def solve_weights(sets: DataFrame, hyper: DataFrame, mean: DataFrame | None = No
         for batch in batches:
             out = []
             for r in batch.itertuples():
-                x, y = _stack(r.xs), _stack(r.ys) - np.asarray(r.mean, dtype=float)
+                x = _stack(r.xs)
+                own = (means or {}).get(r.qoi)
+                y = _stack(r.ys) - (own(x) if own else np.asarray(r.mean, dtype=float))
                 k = kernel_matrix(x, x, np.asarray(r.lengths, dtype=float), r.width)
                 k = _positive_definite(k + r.noise * np.eye(len(x)))
                 out.append(np.linalg.solve(k, y).tolist())
@@ -283,7 +288,7 @@ def search_hyperparameters(sets: DataFrame, n_params: int, n_candidates: int = 2
 
     Each round draws normal candidates around the best so far with a shrinking
     spread; all QoIs and candidates of a round are one job.  All scored candidates
-    come back, with ``best`` marking the winner of each QoI.
+    come back, with ``best`` marking the one winner of each QoI that has a finite score.
     """
     spark = sets.sparkSession
     qois = sorted(r["qoi"] for r in sets.select("qoi").collect())
@@ -310,14 +315,17 @@ def search_hyperparameters(sets: DataFrame, n_params: int, n_candidates: int = 2
             rows.select("qoi", "cand_id", F.array(*cells).alias("log_hyper")), sets)
         batch = materialize(batch.withColumn("score", F.col("loo") + hyper_log_prior(n_params)),
                             "candidates")
+        if scored is not None:
+            # Its centre is the best of the rounds before, which has been scored.
+            batch = batch.where(F.col("cand_id") != first)
         scored = batch if scored is None else scored.unionByName(batch)
         top = scored.where(~F.isnan("score") & (F.abs("score") != float("inf"))).groupBy(
-            "qoi").agg(F.min_by("log_hyper", F.struct(-F.col("score"), "cand_id")).alias("h"))
-        centres.update({r["qoi"]: list(r["h"]) for r in top.collect()})
+            "qoi").agg(F.min_by(F.struct("log_hyper", "cand_id"),
+                                F.struct(-F.col("score"), "cand_id")).alias("h")).collect()
+        centres.update({r["qoi"]: list(r["h"]["log_hyper"]) for r in top})
     winner = F.lit(False)
-    for q, h in centres.items():
-        winner = winner | ((F.col("qoi") == q) & (F.col("log_hyper") == F.array(
-            *[F.lit(float(v)) for v in h])))
+    for r in top:
+        winner = winner | ((F.col("qoi") == r["qoi"]) & (F.col("cand_id") == r["h"]["cand_id"]))
     return scored.withColumn("best", winner)
 
 

@@ -274,10 +274,10 @@ def judged(spark, sf_dir):
 
 @query("p5_record_issues", """
 SELECT o_custkey::VARCHAR AS campaign, 's' || o_orderkey AS sample_id, CASE o_orderkey % 9
-  WHEN 0 THEN 'record must be a mapping' WHEN 1 THEN 'completed sample is missing ''params'''
-  WHEN 2 THEN '''outputs'' must be a list' WHEN 3 THEN 'all outputs must be mappings'
-  WHEN 4 THEN 'each output must define ''system_id''' WHEN 5 THEN 'unexpected number of outputs'
-  WHEN 6 THEN 'completed outputs must all define trajectory files' END AS issue
+  WHEN 0 THEN 'the record is no map' WHEN 1 THEN 'a completed sample without params'
+  WHEN 2 THEN 'outputs are no list' WHEN 3 THEN 'an output is no map'
+  WHEN 4 THEN 'an output without system' WHEN 5 THEN 'outputs do not match the systems'
+  WHEN 6 THEN 'an output without trajectory' END AS issue
 FROM orders WHERE o_orderkey % 9 <> 8""")
 def p5_record_issues(spark, sf_dir):
     return judged(spark, sf_dir).select("campaign", "sample_id", "issue")
@@ -640,6 +640,19 @@ def w13_throughput(spark, sf_dir):
     return rounded(jobs.throughput(table(spark, sf_dir, "events"), ["event_type"], 86400), 8)
 
 
+@query("w13_time_left", f"""
+WITH w AS (SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS steps,
+                  min(ts) AS a, max(ts) AS b FROM events GROUP BY ALL),
+c AS (SELECT *, sum(steps) OVER o::BIGINT AS done, min(a) OVER o AS t0 FROM w
+      WINDOW o AS (PARTITION BY event_type ORDER BY window_start))
+SELECT event_type, window_start, steps, {r('steps / 86400.0::DOUBLE', 8)} AS rate, done,
+       {r('(epoch_us(b) - epoch_us(t0)) / 1e6::DOUBLE / done * greatest(5000 - done, 0)', 3)} AS eta_seconds
+FROM c""")
+def w13_time_left(spark, sf_dir):
+    rows = jobs.throughput(table(spark, sf_dir, "events"), ["event_type"], 86400, total=5000)
+    return rounded(rounded(rows, 8, ["rate"]), 3, ["eta_seconds"])
+
+
 # -- sinks, written and read back ------------------------------------------
 
 @query("k3_raw_export", f"""

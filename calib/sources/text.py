@@ -7,7 +7,7 @@ off by ``quarantine`` rather than dropped.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +19,6 @@ HARTREE_TO_EV = 27.211386245988
 BOHR_TO_ANGSTROM = 0.529177210903
 FORCE_UNIT = HARTREE_TO_EV / BOHR_TO_ANGSTROM
 
-NUMBER = r"[-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:[Ee][-+]?\d+)?"
-ENERGY = rf"(?m)ENERGY\| Total FORCE_EVAL .*?({NUMBER})\s*$"
-PIPE_FORCE = (rf"(?m)^\s*FORCES\|\s+\d+\s+({NUMBER})\s+({NUMBER})\s+({NUMBER})\s+"
-              rf"{NUMBER}\s*$")
-TABLE_FORCE = (rf"(?m)^[ \t]*\d+[ \t]+\d+[ \t]+\S+[ \t]+({NUMBER})[ \t]+({NUMBER})[ \t]+"
-               rf"({NUMBER})[ \t]*$")
-
 # Element symbols by atomic number.
 SYMBOLS = (
     "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se "
@@ -58,6 +51,20 @@ def _words(line: Column) -> Column:
     return F.split(F.trim(line), r"\s+")
 
 
+def _number(word: Column) -> Column:
+    """A word as a number, or NULL; words such as NaN are no numbers."""
+    return F.when(word.rlike("[0-9]"), word.try_cast("double"))
+
+
+def _field(head: Column, name: str) -> Column:
+    """The value of ``name=value`` in a header line; quotes around a value are taken off."""
+    pair = r'([^\s="]+)=("[^"]*"|\S+)'
+    keys = F.regexp_extract_all(head, F.lit(pair), F.lit(1))
+    values = F.regexp_extract_all(head, F.lit(pair), F.lit(2))
+    value = F.get(values, (F.array_position(keys, name) - 1).cast("int"))
+    return _nonempty(F.regexp_replace(value, '"', ""))
+
+
 def number_table(lines: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Numeric columns from whitespace-separated lines; blank and ``#`` lines are skipped.
 
@@ -102,9 +109,9 @@ def extxyz_frames(files: DataFrame) -> DataFrame:
         "n", F.trim(F.get("lines", F.lit(0))).cast("int")).withColumn(
         "head", F.get("lines", F.lit(1)))
     head = F.col("head")
-    lattice = F.transform(_words(F.regexp_extract(head, r'Lattice="([^"]+)"', 1)),
-                          lambda v: v.cast("double"))
-    lattice = F.when(head.rlike(r'Lattice="[^"]+"'), F.when(
+    cell = _field(head, "Lattice")
+    lattice = F.transform(_words(cell), lambda v: v.cast("double"))
+    lattice = F.when(cell.isNotNull(), F.when(
         F.size(lattice) != 9, F.raise_error(F.lit("a Lattice field needs 9 values")).cast(
             "array<double>")).otherwise(lattice))
     rows = rows.withColumn("raw", F.transform(F.slice("lines", 3, F.greatest("n", F.lit(0))), _atom))
@@ -115,10 +122,8 @@ def extxyz_frames(files: DataFrame) -> DataFrame:
         F.transform("raw", lambda a: F.struct(
             a["symbol"].alias("symbol"), a["x"].alias("x"), a["y"].alias("y"), a["z"].alias("z"),
             force(a, "fx"), force(a, "fy"), force(a, "fz"))).alias("atoms"),
-        _nonempty(F.regexp_extract(head, rf"\benergy=({NUMBER})", 1)).cast("double").alias("energy"),
-        lattice.alias("lattice"),
-        _nonempty(F.regexp_extract(head, r'pbc="([^"]+)"', 1)).alias("pbc"),
-        _nonempty(F.regexp_extract(head, r'source="([^"]+)"', 1)).alias("source"))
+        _number(_field(head, "energy")).alias("energy"), lattice.alias("lattice"),
+        _field(head, "pbc").alias("pbc"), _field(head, "source").alias("source"))
 
 
 def frame_atoms(frames: DataFrame) -> DataFrame:
@@ -152,24 +157,38 @@ def extxyz_comment(files: DataFrame) -> DataFrame:
 
 def energies(files: DataFrame) -> DataFrame:
     """(path, energy_ev): first total energy of each log; NULL when there is none."""
-    found = _nonempty(F.regexp_extract("value", ENERGY, 1)).cast("double")
-    return files.select("path", (found * F.lit(HARTREE_TO_EV)).alias("energy_ev"))
+    totals = F.filter(_lines(F.col("value")), lambda x: F.trim(x).startswith("ENERGY|")
+                      & F.contains(x, F.lit("Total FORCE_EVAL")))
+    found = F.filter(F.transform(totals, lambda x: _number(F.element_at(_words(x), -1))),
+                     lambda v: v.isNotNull())
+    return files.select("path", (F.get(found, F.lit(0)) * F.lit(HARTREE_TO_EV)).alias("energy_ev"))
+
+
+def _force_rows(lines: Column, usable: Callable[[Column], Column], at: int) -> Column:
+    """Forces from the lines of six words that are ``usable``, components from place ``at``."""
+    def row(line: Column) -> Column:
+        w = _words(line)
+        return F.when((F.size(w) == 6) & usable(w), F.struct(*[
+            (_number(F.get(w, F.lit(at + k))) * F.lit(FORCE_UNIT)).alias(f"f{n}")
+            for k, n in enumerate("xyz")]))
+
+    return F.filter(F.transform(lines, row), lambda f: f["fx"].isNotNull() & f["fy"].isNotNull()
+                    & f["fz"].isNotNull())
 
 
-def _force_rows(text: Column, pattern: str) -> Column:
-    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2, 3)]
-    return F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "xyz")]), lambda r: F.struct(
-        *[(r[k].cast("double") * F.lit(FORCE_UNIT)).alias(f"f{k}") for k in "xyz"]))
+def _whole(word: Column) -> Column:
+    return word.rlike("^[0-9]+$")
 
 
 def force_arrays(files: DataFrame) -> DataFrame:
     """(path, forces ARRAY<STRUCT>): piped rows, else the last non-empty force table."""
-    piped = _force_rows(F.col("value"), PIPE_FORCE)
+    piped = _force_rows(_lines(F.col("value")), lambda w: (F.get(w, F.lit(0)) == "FORCES|") & _whole(w[1])
+                        & _number(w[5]).isNotNull(), 2)
     blocks = F.split("value", r"(?m)^\s*ATOMIC FORCES\b")
     blocks = F.transform(F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0))),
                          lambda b: F.split(b, r"(?m)^\s*SUM OF ATOMIC FORCES\b")[0])
-    tables = F.filter(F.transform(blocks, lambda b: _force_rows(b, TABLE_FORCE)),
-                      lambda t: F.size(t) > 0)
+    tables = F.filter(F.transform(blocks, lambda b: _force_rows(
+        _lines(b), lambda w: _whole(w[0]) & _whole(w[1]), 3)), lambda t: F.size(t) > 0)
     rows = files.select("path", piped.alias("piped"), tables.alias("tables"))
     best = F.when(F.size("piped") > 0, F.col("piped")).otherwise(
         F.try_element_at("tables", F.lit(-1)))

@@ -16,22 +16,22 @@ def files(spark, **named):
     return spark.createDataFrame(list(named.items()), "path string, value string")
 
 
-ENERGY = " ENERGY| Total FORCE_EVAL ( QS ) energy [a.u.]:                -0.500000\n"
+ENERGY = " ENERGY| Total FORCE_EVAL ( QS ) energy [a.u.]:                -3.250000\n"
 
 
 def test_energy(spark):
     got = text.energies(files(spark, a=f"x\n{ENERGY}tail\n", b="nothing")).orderBy("path").collect()
-    assert math.isclose(got[0]["energy_ev"], -0.5 * 27.211386245988) and got[1]["energy_ev"] is None
+    assert math.isclose(got[0]["energy_ev"], -3.25 * 27.211386245988) and got[1]["energy_ev"] is None
 
 
 def test_piped_and_table_forces(spark):
     unit = 27.211386245988 / 0.529177210903
-    piped = " FORCES| Atom x y z\n FORCES| 1 0.1 0.2 -0.3 0.0\n"
+    piped = " FORCES| Atom x y z\n FORCES| 1 0.4 -0.7 0.9 1.2\n"
     table = lambda v: (f" ATOMIC FORCES in [a.u.]\n\n # Atom Kind Element X Y Z\n      1      1      H   {v}   0.0   0.0\n"
                        f" SUM OF ATOMIC FORCES   {v} 0.0 0.0 {v}\n")
     got = {r["path"]: r for r in text.forces(files(
         spark, p=piped, t=table(0.1) + table(0.2), e=table(0.3) + " ATOMIC FORCES\n SUM OF ATOMIC FORCES\n")).collect()}
-    assert math.isclose(got["p"]["fz"], -0.3 * unit)
+    assert math.isclose(got["p"]["fz"], 0.9 * unit)
     assert math.isclose(got["t"]["fx"], 0.2 * unit)
     assert math.isclose(got["e"]["fx"], 0.3 * unit)
 
@@ -54,7 +54,7 @@ def test_frames_and_forces_rule(spark):
 def test_last_frame_and_compound(spark):
     trj = "1\ni = 0\nH 0 0 0\n1\ni = 1\nH 0.1 0.2 0.3\n"
     run = lambda v: spark.createDataFrame([("r", v)], "run string, value string")
-    log = ENERGY + " FORCES| 1 0.1 0.2 -0.3 0.0\n"
+    log = ENERGY + " FORCES| 1 0.4 -0.7 0.9 1.2\n"
     got = text.compound_frames(run('1\nLattice="5 0 0 0 5 0 0 0 5"\nH 0 0 0\n'), run(trj), run(log)).first()
     a = got["atoms"][0]
     assert (a["x"], a["y"], a["z"]) == (0.1, 0.2, 0.3) and got["source"] == "sp" and got["issue"] is None
@@ -86,9 +86,9 @@ def test_general_number_text(spark, x):
 
 def test_atom_energies(spark):
     snap = spark.createDataFrame([("1", "1\n\nH 0 0 0"), ("2", "1\n\nCa 0 0 0")], "run string, value string")
-    log = spark.createDataFrame([("1", ENERGY), ("2", ENERGY.replace("-0.5", "-1.2"))], "run string, value string")
+    log = spark.createDataFrame([("1", ENERGY), ("2", ENERGY.replace("-3.25", "-6.5"))], "run string, value string")
     got = {r["number"]: r["energy_ev"] for r in text.atom_energies(snap, log).collect()}
-    assert set(got) == {1, 20} and math.isclose(got[1], -0.5 * text.HARTREE_TO_EV)
+    assert set(got) == {1, 20} and math.isclose(got[1], -3.25 * text.HARTREE_TO_EV)
     with pytest.raises(Exception, match="unsupported element"):
         text.atom_energies(snap.withColumn("value", F.lit("1\n\nXx 0 0 0")), log).collect()
 
@@ -123,9 +123,9 @@ def test_record_issues_and_missing_files(spark):
     judged = tables.judge_records(tables.campaign_records(df), there)
     got = {r["sample_id"]: r for r in judged.collect()}
     assert got["s1"]["issue"] is None and [o["system_id"] for o in got["s1"]["outputs"]] == ["a", "b"]
-    assert got["s2"]["issue"] == "missing trajectory file(s): gone" and "s4" not in got
-    assert got["s3"]["issue"] == "record must be a mapping"
-    with pytest.raises(ValueError, match="missing trajectory"):
+    assert got["s2"]["issue"] == "trajectories not found: gone" and "s4" not in got
+    assert got["s3"]["issue"] == "the record is no map"
+    with pytest.raises(ValueError, match="trajectories not found"):
         tables.require_clean(judged)
 
 
@@ -147,9 +147,9 @@ def test_dataset_issues(spark, tmp_path):
 def test_job_counts(spark):
     ids = lambda *v: spark.createDataFrame([(i,) for i in v], "job_id long")
     queue = lambda *v: spark.createDataFrame(list(v), "raw_id string, state string")
-    got = jobs.job_state_counts(ids(101, 102, 103, 104), queue(("101", "PD"), ("102", "R"), ("103", "CG"))).first()
+    got = jobs.job_state_counts(ids(7001, 7002, 7003, 7004), queue(("7001", "PD"), ("7002", "R"), ("7003", "CG"))).first()
     assert got.asDict() == dict(submitted=4, pending=1, running=2, finished=1, active=3, unknown=0)
-    got = jobs.job_state_counts(ids(101, 102), queue(("101_1", "R"), ("102", "R"))).first()
+    got = jobs.job_state_counts(ids(7001, 7002), queue(("7001_1", "R"), ("7002", "R"))).first()
     assert (got["active"], got["finished"]) == (2, 0)
     got = jobs.job_state_counts(ids(1), queue(("x", "R"), ("1", "ODD"), ("99", "R"))).first()
     assert (got["unknown"], got["running"]) == (2, 0)
