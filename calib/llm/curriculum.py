@@ -34,6 +34,7 @@ from calib.session import materialize
 WEIGHTS = (5, 2, 1)
 MOST = 3
 FILLS = 3
+SEED = 7
 #: Per place in WEIGHTS, (time, relative weight): heavy sources fade, light ones rise.
 SCHEDULES = (
     ((0.0, 1.3), (0.5, 1.1), (1.0, 0.5)),
@@ -128,7 +129,7 @@ def _filled(rows: DataFrame, most: int) -> DataFrame:
 
 
 def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST,
-             schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, seed: int = 7,
+             schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, seed: int = SEED,
              key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Per row: doc_id, source, size, source_size, target, copies, taken, positions."""
     sized = materialize(docs.select(
@@ -136,7 +137,9 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MO
         F.col(f"`{source}`").cast("string").alias("source"),
         word_count(F.col(f"`{text}`").cast("string")).alias("size")), "sizes")
     targets = materialize(source_targets(sized, weights, most), "targets")
-    drawn = sized.withColumn("__draw", F.xxhash64(F.lit(seed), "doc_id"))
+    digest = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(
+        F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 15)
+    drawn = sized.withColumn("__draw", F.conv(digest, 16, 10).cast("long"))
     run = running_total(drawn, ["source"], ["__draw", "doc_id", "size"], "size", "__end")
     rows = run.alias("d").join(targets.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select(
         "d.doc_id", "d.source", "d.size", "d.__end", "s.place", "s.source_size", "s.target")

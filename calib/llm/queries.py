@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 from calib.llm import (
     balltree, blocks, collision, curriculum, jaccard, language, line_dedup, pieces, ppm, secrets,
-    toxicity,
+    toxicity, twins,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+POSITION_DIGITS = 6
+SQL: dict[str, str] = {
+    "op7_secrets": twins.secrets_sql(), "op8_ball_tree": twins.BALL_TREE,
+    "op9_ngram_jaccard": twins.JACCARD, "op10_curriculum": twins.curriculum_sql(POSITION_DIGITS),
+}
 
 
 def query(fn):
@@ -68,7 +72,8 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = curriculum.mix_plan(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", "positions")
+    return plan.select("doc_id", "size", "source_size", "target", "taken", F.transform(
+        "positions", lambda p: F.round(p, POSITION_DIGITS)).alias("positions"))
 
 
 @query
