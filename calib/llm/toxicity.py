@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calib.llm.blocks import as_bytes, bounded_batches, mixed, slices
+from calib.llm.blocks import as_bytes, bounded_batches, mixed, ranges, slices
 
 WINDOW, STRIDE = 32, 16
 WORDS, GRAMS = 1 << 13, 1 << 14
@@ -243,12 +243,13 @@ def _backward(net: Network, x: np.ndarray, ids: np.ndarray, y: np.ndarray
 
 
 class Words:
-    """The different words of the training texts with their hashed inputs; row 0 is padding."""
+    """The different words of the training texts with their hashed inputs, from row 1 on."""
 
-    def __init__(self, texts: list[list[bytes]]):
-        self.words = sorted({w for t in texts for w in t})
-        row = {w: k + 1 for k, w in enumerate(self.words)}
-        self.texts = [np.array([row[w] for w in t], np.int64) for t in texts]
+    def __init__(self, texts: list[bytes]):
+        row: dict[bytes, int] = {}
+        self.texts = [np.array([row.setdefault(w, len(row) + 1) for w in t.lower().split()], np.int64)
+                      for t in texts]
+        self.words = list(row)
         self.ids = word_ids(self.words)
         self.grams, self.sizes = gram_ids(self.words) if self.words else (
             np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -259,8 +260,7 @@ class Words:
         k = rows - 1
         n = self.sizes[k]
         owner = np.repeat(np.arange(len(k)), n)
-        grams = self.grams[np.repeat(self.starts[k], n) + np.arange(n.sum()) - np.repeat(
-            np.cumsum(n) - n, n)]
+        grams = self.grams[np.repeat(self.starts[k], n) + ranges(n)]
         total = np.zeros((len(k), GRAM_DIM), np.float32)
         for j in range(GRAM_DIM):
             total[:, j] = np.bincount(owner, net.p["gram"][grams, j], len(k))
@@ -269,17 +269,16 @@ class Words:
 
     def odds(self, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log-odds to occur in toxic texts, by word bucket, by n-gram bucket, and per row."""
-        def logs(ids_of: list[np.ndarray], size: int) -> np.ndarray:
+        def logs(ids_of: Iterable[np.ndarray], size: int) -> np.ndarray:
             hit = np.full((2, size), 0.5)
             for ids, y in zip(ids_of, labels):
                 hit[int(y)][np.unique(ids)] += 1
             share = hit / (np.bincount(labels.astype(int), minlength=2)[:, None] + 1)
             # A rare input proves little: the odds shrink with the texts that hold it.
             return np.log(share[1] / share[0]) * np.minimum(1, hit.sum(0) / 20)
-        by_word = logs([self.ids[t - 1] for t in self.texts], WORDS)
-        grams_of = [self.grams[np.repeat(self.starts[t - 1], self.sizes[t - 1]) + np.arange(
-            self.sizes[t - 1].sum()) - np.repeat(np.cumsum(self.sizes[t - 1]) - self.sizes[t - 1],
-                                                 self.sizes[t - 1])] for t in self.texts]
+        by_word = logs((self.ids[t - 1] for t in self.texts), WORDS)
+        grams_of = (self.grams[np.repeat(self.starts[t - 1], self.sizes[t - 1]) + ranges(
+            self.sizes[t - 1])] for t in self.texts)
         by_gram = logs(grams_of, GRAMS)
         most = np.maximum.reduceat(by_gram[self.grams], self.starts) if len(self.words) else np.zeros(0)
         return by_word, by_gram, np.concatenate([[0.0], by_word[self.ids] + most])
@@ -290,7 +289,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 1, epochs: int = 8
     """A network from labelled texts."""
     net = Network.new(seed)
     rng = np.random.default_rng(seed)
-    data = Words([t.lower().split() for t in texts])
+    data = Words(texts)
     windows = [cut(t) for t in data.texts]
     sizes = np.array([len(w) for w in windows])
     stacked = np.concatenate(windows)
