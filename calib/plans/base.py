@@ -46,42 +46,49 @@ def r(sql: str, digits: int = 6) -> str:
     return f"(round({sql}, {digits}) + 0.0::DOUBLE)"
 
 
-# -- draws: one chain per user, one draw per event --------------------------
+# -- draws: rows in order, dealt to chains of one length ---------------------
+
+CHAINS = 64
+
+
+def dealt(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """All rows as (chain, step, ...): dealt in turn to as many chains as divide their number."""
+    n = rows.count()
+    chains = max(k for k in range(1, CHAINS + 1) if n % k == 0)
+    place = F.col("__place") - 1
+    return number_rows(rows, [], order, "__place").withColumns({
+        "chain": place % chains, "step": F.floor(place / chains)}).drop("__place")
+
 
 def event_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chain, step, param, value), cut to the shortest chain; stored, as draws are."""
+    """(chain, step, param, value) of all events; stored, as draws are."""
     events = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("chain"), "ts", "event_id", F.lit("value").alias("param"), "value")
-    shortest = events.groupBy("chain").count().agg(F.min("count")).first()[0]
-    rows = number_rows(events, ["chain"], ["ts", "event_id"], "step")
-    return materialize(rows.where(F.col("step") <= shortest).select(
-        "chain", (F.col("step") - 1).alias("step"), "param", "value"), "draws")
+        "ts", "event_id", F.lit("value").alias("param"), "value")
+    return materialize(dealt(events, ["ts", "event_id"]).select(
+        "chain", "step", "param", "value"), "draws")
 
 
-EVENT_DRAWS = """
-draws AS (
-  SELECT chain, step, 'value' AS param, value FROM (
-    SELECT user_id AS chain, value,
-           row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step
-    FROM events)
-  WHERE step < (SELECT min(n) FROM (SELECT count(*) AS n FROM events GROUP BY user_id)))
+def _dealt_sql(source: str, columns: str, order: str) -> str:
+    return f"""
+  SELECT p % k AS chain, p // k AS step, {columns} FROM (
+    SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS p FROM {source}),
+    (SELECT max(d) AS k FROM range(1, {CHAINS + 1}) t(d), (SELECT count(*) AS n FROM {source}) WHERE n % d = 0)"""
+
+
+EVENT_DRAWS = f"""
+draws AS ({_dealt_sql('events', "'value' AS param, value", 'ts, event_id')})
 """
 
 
-# -- draws: one chain per supplier, three parameters with many ties ---------
+# -- draws: line items with three parameters, many ties ----------------------
 
 LINE_PARAMS = ("l_quantity", "l_discount", "l_extendedprice")
 
 
 def line_draws_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chain, step, l_quantity, l_discount, l_extendedprice), cut to the shortest chain."""
+    """(chain, step, l_quantity, l_discount, l_extendedprice) of all line items."""
     lines = table(spark, sf_dir, "lineitem").select(*LINE_KEY, *LINE_PARAMS)
-    shortest = lines.groupBy("l_suppkey").count().agg(F.min("count")).first()[0]
-    order = [c for c in LINE_KEY if c != "l_suppkey"]
-    rows = number_rows(lines, ["l_suppkey"], order, "step")
-    return materialize(rows.where(F.col("step") <= shortest).select(
-        F.col("l_suppkey").alias("chain"), (F.col("step") - 1).alias("step"), *LINE_PARAMS),
-        "draws")
+    return materialize(dealt(lines, LINE_KEY).select("chain", "step", *LINE_PARAMS), "draws")
 
 
 def line_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,14 +96,8 @@ def line_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_draws_wide(spark, sf_dir).select("chain", "step", F.inline(F.array(*pairs)))
 
 
-LINE_DRAWS_WIDE = """
-wide AS (
-  SELECT chain, step, l_quantity, l_discount, l_extendedprice FROM (
-    SELECT l_suppkey AS chain, l_quantity, l_discount, l_extendedprice,
-           row_number() OVER (PARTITION BY l_suppkey
-             ORDER BY l_orderkey, l_linenumber, l_partkey, l_shipdate) - 1 AS step
-    FROM lineitem)
-  WHERE step < (SELECT min(n) FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey)))
+LINE_DRAWS_WIDE = f"""
+wide AS ({_dealt_sql('lineitem', ', '.join(LINE_PARAMS), ', '.join(LINE_KEY))})
 """
 
 LINE_DRAWS = LINE_DRAWS_WIDE + """,
