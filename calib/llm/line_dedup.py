@@ -31,10 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calib.llm.blocks import as_bytes, keyed_text, list_array, slices
+from calib.operators.ordering import local_if_small, number_rows
 from calib.session import materialize
 
 MIN_WORDS = 5
 WHOLE = -1
+ASKED_SENT = 300_000
 _PLACE = "doc_id long, line int, hi long, lo long"
 
 
@@ -86,7 +88,8 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
 
 def _variants(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, line, hi, lo, words, whole, dels) of the wanted lines (doc_id, line, hi, lo)."""
-    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "hi", "lo")).alias("asked"))
+    asked = local_if_small(materialize(wanted.groupBy("doc_id").agg(
+        F.collect_list(F.struct("line", "hi", "lo")).alias("asked")), "asked"), ASKED_SENT)
     left, right = docs.alias("d"), asked.alias("w")
     source = left.join(right, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select(
         "d.doc_id", "d.text", "w.asked")
@@ -143,37 +146,30 @@ def _without(words: str, place: str) -> Column:
 
 
 def _dropped(table: DataFrame) -> DataFrame:
-    """(hi, lo) of the classes with an earlier class within one edit."""
-    own = F.struct("doc_id", "line", "hi", "lo").alias("own")
-    variants = materialize(
-        table.select(F.col("whole").alias("key"), F.lit(WHOLE).alias("place"), own).unionByName(
-            table.select(own, F.posexplode("dels").alias("place", "key"))), "variants")
-    firsts = variants.groupBy("key", "place").agg(F.min("own").alias("own"))
-    firsts = materialize(firsts, "firsts")
-    whole = firsts.where(F.col("place") == WHOLE).select(
-        "key", F.col("own").alias("other"), F.col("place").alias("place2"))
-    cut = firsts.where(F.col("place") != WHOLE).groupBy("key").agg(
-        F.min(F.struct("own", "place")).alias("c")).select(
-        "key", F.col("c.own").alias("other"), F.col("c.place").alias("place2"))
-    same = firsts.where(F.col("place") != WHOLE).select(
-        "key", "place", F.col("own").alias("other"), F.col("place").alias("place2"))
+    """``rank`` of the lines with an earlier line within one edit.
+
+    ``table`` holds (rank, words, whole, dels); a smaller rank is earlier.
+    """
+    variants = table.select(F.col("whole").alias("key"), F.lit(WHOLE).alias("place"), "rank").unionByName(
+        table.select(F.posexplode("dels").alias("place", "key"), "rank"))
+    joint = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    variants = materialize(variants.join(joint, "key", "left_semi"), "variants")
+    firsts = materialize(variants.groupBy("key", "place").agg(F.min("rank").alias("rank")), "firsts")
     is_whole = F.col("place") == WHOLE
-    pairs = variants.where(~is_whole).join(same, ["key", "place"]).select(
-        "own", "place", "other", "place2")
-    pairs = pairs.unionByName(variants.where(~is_whole).join(whole, "key").select(
-        "own", "place", "other", "place2"))
-    pairs = pairs.unionByName(variants.where(is_whole).join(cut, "key").select(
-        "own", "place", "other", "place2"))
-    pairs = pairs.where(F.struct(F.col("other.doc_id"), F.col("other.line")) <
-                        F.struct(F.col("own.doc_id"), F.col("own.line")))
-    words = table.select("hi", "lo", "words")
-    for end in ("own", "other"):
-        pairs = pairs.join(
-            words.select(F.col("hi").alias("h"), F.col("lo").alias("l"),
-                         F.col("words").alias(f"words_{end}")),
-            (F.col(f"{end}.hi") == F.col("h")) & (F.col(f"{end}.lo") == F.col("l"))).drop("h", "l")
-    same_words = _without("words_own", "place") == _without("words_other", "place2")
-    return pairs.where(same_words).select("own.hi", "own.lo").distinct()
+    other = [F.col("rank").alias("other"), F.col("place").alias("place2")]
+    whole = firsts.where(is_whole).select("key", *other)
+    same = firsts.where(~is_whole).select("key", "place", *other)
+    cut = firsts.where(~is_whole).groupBy("key").agg(F.min(F.struct("rank", "place")).alias("c")).select(
+        "key", F.col("c.rank").alias("other"), F.col("c.place").alias("place2"))
+    names = ["rank", "place", "other", "place2"]
+    pairs = variants.where(~is_whole).join(same, ["key", "place"]).select(*names).unionByName(
+        variants.where(~is_whole).join(whole, "key").select(*names)).unionByName(
+        variants.where(is_whole).join(cut, "key").select(*names)).where("other < rank")
+    for end in ("rank", "other"):
+        pairs = pairs.join(table.select(
+            F.col("rank").alias(end), F.col("words").alias(f"words_{end}")), end)
+    same_words = _without("words_rank", "place") == _without("words_other", "place2")
+    return pairs.where(same_words).select("rank").distinct()
 
 
 def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -181,14 +177,18 @@ def kept_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = _lines(docs, min_words)
     classes = materialize(lines.groupBy("hi", "lo").agg(
         F.min(F.struct("doc_id", "line", "halves")).alias("f")).select("hi", "lo", "f.*"), "classes")
-    halves = classes.select(F.explode("halves").alias("half"), "hi", "lo")
+    halves = classes.select(F.explode("halves").alias("half"), "lo")
     shared = halves.groupBy("half").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where(
         "a <> b").select("half")
-    able = halves.join(shared, "half", "left_semi").select("hi", "lo").distinct()
-    wanted = classes.join(able, ["hi", "lo"], "left_semi").select("doc_id", "line", "hi", "lo")
-    table = materialize(_variants(docs, wanted, min_words), "table")
-    gone = _dropped(table)
-    return classes.join(gone, ["hi", "lo"], "left_anti").groupBy("doc_id").agg(
+    able = halves.join(shared, "half", "left_semi").select("lo").distinct()
+    wanted = classes.select("doc_id", "line", "hi", "lo").join(able, "lo", "left_semi")
+    table = materialize(_variants(docs, wanted, min_words).dropDuplicates(["hi", "lo"]), "table")
+    ranked = number_rows(table.select("doc_id", "line", "hi", "lo"), [], ["doc_id", "line", "hi", "lo"],
+                         "rank", window_rows=0)
+    table = materialize(table.join(ranked.select("hi", "lo", "rank"), ["hi", "lo"]), "ranked")
+    gone = table.join(_dropped(table.select("rank", "words", "whole", "dels")), "rank", "left_semi")
+    return classes.select("doc_id", "line", "hi", "lo").join(
+        gone.select("hi", "lo"), ["hi", "lo"], "left_anti").groupBy("doc_id").agg(
         F.collect_list("line").alias("kept"))
 
 
