@@ -1,18 +1,20 @@
 """Documents linked by the Jaccard similarity of their word shingles, and their groups.
 
 Multiple-global-order filtering: under any total order of all shingles, two sets whose
-similarity reaches the threshold share one of the first n - ceil(t n) + 1 shingles of
-each.  Three orders are used, each a random one in which shingles that are frequent in a
-sample of documents come last.  Candidates must share a prefix shingle under every one
-of them, and only those that do are verified on the whole sets.
+similarity reaches the threshold share l of the first n - ceil(t n) + l shingles of each,
+for every l.  Three orders are used, each a random one in which shingles that are frequent
+in a sample of documents come last, and l grows slowly with n, so that a shared passage
+alone makes no candidate.  Candidates must share their l prefix shingles under every one
+of the orders, and only those that do are verified on the whole sets.
 
-Exact copies of a set are one class.  The first order removes the classes that share
-nothing; whole sets are kept only for the rest.  The second and third remove more, and
-filter the pairs that the first one gives.
+Exact copies of a set are one class.  The first order removes the classes that share too
+little with all others together; whole sets are kept only for the rest.  The second and
+third remove more, and filter the pairs that the first one gives.  Of its shared prefix
+shingles a class leaves out the l - 1 most frequent ones before pairs are formed.
 
 Groups of near copies are never expanded into all pairs.  In each round a bucket (the
-classes that share a prefix shingle) pairs a few leaders with all its members of other
-groups; a leader has then met the whole bucket and leaves it.  Verified links merge
+classes that share a prefix shingle) pairs one leader, later LEADERS, with all its members
+of other groups; a leader has then met the whole bucket and leaves it.  Verified links merge
 groups, and a bucket with one group left is settled.  Few remaining pairs of a bucket
 are tested at once.  The rounds end when all buckets are settled, so no link between
 different groups is missed.
@@ -30,20 +32,23 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calib.llm.blocks import (
     MIX_1, WordHash, as_bytes, keyed_text, list_array, mixed, slices, word_hashes,
 )
 from calib.llm.links import components
+from calib.operators.ordering import local_if_small
 from calib.session import materialize
 
 SAMPLE_DOCS = 4096
 FREQUENT = 200_000
-LEADERS = 4
+LEADERS = 32
 PAIRS_AT_ONCE = 32
 ORDERS = 3
+SHARE = 16  # one more prefix shingle must be shared for every so many of a set
+NODES_SENT = 500_000
 TOP = np.uint64(1 << 63)
 
 
@@ -79,7 +84,7 @@ def prefix(values: np.ndarray, percent: int, order: int, frequent: np.ndarray) -
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
         rank = np.where(frequent[at] == values, rank | TOP, rank)
-    size = n - -(-percent * n // 100) + 1
+    size = n - -(-percent * n // 100) + 1 + n // SHARE
     return values[np.argsort(rank, kind="stable")[:size]]
 
 
@@ -150,9 +155,38 @@ def _whole(docs: DataFrame, width: int, percent: int, frequent: Broadcast) -> Da
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """The postings whose shingle occurs at two nodes or more."""
-    tokens = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    return postings.join(tokens.where("lo <> hi").select("token"), "token", "left_semi")
+    """The postings (token, node) whose shingle occurs at two nodes or more, and at how many.
+
+    Frequent shingles come last in every order, so the groups are small; a window shuffles
+    the postings once, and its groups need no memory.
+    """
+    by = Window.partitionBy("token")
+    return postings.withColumns({
+        "__lo": F.min("node").over(by), "__hi": F.max("node").over(by),
+        "times": F.count(F.lit(1)).over(by)}).where("__lo <> __hi").select("token", "node", "times")
+
+
+def _asked(percent: int) -> Column:
+    """How many prefix shingles the smallest partner of a set of ``n`` asks to share."""
+    return 1 + F.floor(F.ceil(F.col("n") * percent / 100) / SHARE)
+
+
+def _rarest(shared: DataFrame, sizes_of: DataFrame, percent: int) -> DataFrame:
+    """Postings (token, node, n) without each node's most frequent ones.
+
+    Partners share ``l`` prefix shingles or more, so the rarest one they share is not
+    among the l - 1 most frequent of either; leaving those out loses no pair.
+    """
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("times"), "token"))
+    rows = shared.join(sizes_of, "node").withColumn("__place", place).where(
+        F.col("__place") >= _asked(percent))
+    return _shared(rows.select("token", "node")).select("token", "node").join(sizes_of, "node")
+
+
+def _able(shared: DataFrame, sizes_of: DataFrame, percent: int) -> DataFrame:
+    """Nodes that share as many prefix shingles as their smallest partner would ask for."""
+    return shared.groupBy("node").agg(F.count(F.lit(1)).alias("c")).join(sizes_of, "node").where(
+        F.col("c") >= _asked(percent)).select("node")
 
 
 def _settle(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -161,6 +195,7 @@ def _settle(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     labels = materialize(labels, "labels")
     buckets = materialize(buckets, "buckets")
     leaders = 1
+    found: DataFrame | None = None
     while True:
         marked = buckets.join(labels, "node")
         inside = marked.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
@@ -174,7 +209,15 @@ def _settle(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         active = materialize(marked.join(
             state.select("token", "big", at_once.alias("at_once")), "token"), "active")
         if active.isEmpty():
-            return labels
+            return labels if found is None else labels.select("node").join(
+                components(found), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        # Near copies share many buckets with the same members.  A large bucket waits until
+        # it is the first of some member; most are settled by then.
+        waiting = active.where("NOT at_once")
+        turn = waiting.groupBy("node").agg(F.min("token").alias("token")).select("token").distinct()
+        waiting = waiting.select("token", "node", "n").join(turn, "token", "left_anti")
+        active = materialize(active.where("at_once").unionByName(
+            active.where("NOT at_once").join(turn, "token", "left_semi")), "turn")
         chosen = active.where("NOT at_once" if leaders == 1 else "NOT at_once AND root <> big").groupBy(
             "token", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("slot")).agg(
             F.min(F.struct("node", "n", "root")).alias("lead")).select("token", "lead.*")
@@ -187,26 +230,37 @@ def _settle(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent))
         pairs = pairs.select(F.least("node", "node2").alias("a"),
                              F.greatest("node", "node2").alias("b")).distinct()
-        links = _verified(materialize(pairs, "pairs"), sets, percent)
-        near = links.join(labels.withColumnsRenamed({"node": "a", "root": "ra"}), "a").join(
-            labels.withColumnsRenamed({"node": "b", "root": "rb"}), "b")
-        moved = components(near, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("to"))
-        labels = materialize(labels.join(moved, "root", "left").select(
-            "node", F.coalesce("to", "root").alias("root")), "labels")
+        links = materialize(_verified(materialize(pairs, "pairs"), sets, percent), "found")
+        found = links if found is None else found.unionByName(links)
+        labels = materialize(_merged(labels, links), "labels")
         buckets = materialize(active.where("NOT at_once").select("token", "node", "n").join(
-            chosen.select("token", "node"), ["token", "node"], "left_anti"), "buckets")
+            chosen.select("token", "node"), ["token", "node"], "left_anti").unionByName(waiting), "buckets")
         leaders = LEADERS
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after one hop along the links (a, b) between groups.
+
+    Equal labels mean linked nodes; groups that one hop leaves apart stay so until a later
+    round, and the links of all rounds decide in the end.
+    """
+    near = links.join(labels.withColumnsRenamed({"node": "a", "root": "ra"}), "a").join(
+        labels.withColumnsRenamed({"node": "b", "root": "rb"}), "b").where("ra <> rb")
+    hops = near.select(F.greatest("ra", "rb").alias("root"), F.least("ra", "rb").alias("to"))
+    hops = hops.groupBy("root").agg(F.min("to").alias("to"))
+    return labels.join(hops, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that pass the other orders' filters and reach the threshold."""
     names = [f"prefix{k + 1}" for k in range(1, ORDERS)]
-    heads = sets.select("node", *names)
+    heads = sets.select("node", F.size("shingles").alias("n"), *names)
     for end in ("a", "b"):
-        pairs = pairs.join(heads.select(
-            F.col("node").alias(end), *[F.col(n).alias(f"{n}_{end}") for n in names]), end)
+        pairs = pairs.join(heads.select(F.col("node").alias(end), *[
+            F.col(c).alias(f"{c}_{end}") for c in ("n", *names)]), end)
+    asked = 1 + F.floor(F.least("n_a", "n_b") / SHARE)
     for n in names:
-        pairs = pairs.where(F.arrays_overlap(f"{n}_a", f"{n}_b"))
+        pairs = pairs.where(F.size(F.array_intersect(f"{n}_a", f"{n}_b")) >= asked)
     pairs = pairs.select("a", "b")
     for end in ("a", "b"):
         pairs = pairs.join(sets.select(
@@ -223,22 +277,24 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, key: str
     frequent = frequent_shingles(docs, width)
     table = materialize(_described(docs, width, percent, frequent), "described")
     known = table.where("n > 0 AND doc_id IS NOT NULL")
+    firsts = known.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "n", "head")).alias("r"))
+    postings = firsts.select(F.explode("r.head").alias("token"), F.col("r.doc_id").alias("node"))
+    shared = materialize(_shared(postings), "postings")
     classes = materialize(known.groupBy("hi", "lo").agg(
-        F.min(F.struct("doc_id", "n", "head")).alias("r")).select(
-        "hi", "lo", F.col("r.doc_id").alias("node"), "r.n", "r.head"), "classes")
-    postings = classes.select(F.explode("head").alias("token"), "node", "n")
-    first = materialize(_shared(postings), "postings")
-    nodes = first.select("node").distinct()
-    sets = materialize(_whole(docs.join(
-        nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), width, percent, frequent),
-        "sets")
+        F.min(F.struct("doc_id", "n")).alias("r")).select(
+        "hi", "lo", F.col("r.doc_id").alias("node"), "r.n"), "classes")
+    # Rows that repeat a doc_id may hold several sets; the smallest asks for the least.
+    sizes_of = classes.groupBy("node").agg(F.min("n").alias("n"))
+    nodes = materialize(_able(shared, sizes_of, percent), "nodes")
+    left = local_if_small(nodes.withColumnRenamed("node", "doc_id"), NODES_SENT)
+    sets = materialize(_whole(docs.join(left, "doc_id", "left_semi"), width, percent, frequent), "sets")
     for k in range(1, ORDERS):
         others = sets.select("node", F.explode(f"prefix{k + 1}").alias("token"))
         if k > 1:
             others = others.join(nodes, "node", "left_semi")
-        nodes = materialize(_shared(others).select("node").distinct(), "nodes")
-    buckets = _shared(first.join(nodes, "node", "left_semi"))
-    labels = _settle(buckets, sets, percent)
+        nodes = materialize(_able(_shared(others), sizes_of, percent), "nodes")
+    common = _shared(shared.select("token", "node").join(nodes, "node", "left_semi"))
+    labels = _settle(_rarest(common, sizes_of, percent), sets, percent)
     roots = classes.select("hi", "lo", "node").join(labels, "node", "left").select(
         "hi", "lo", F.coalesce("root", "node").alias("root"))
     rows = known.select("doc_id", "n", "hi", "lo").join(roots, ["hi", "lo"]).select(
