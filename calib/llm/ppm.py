@@ -39,6 +39,7 @@ LEAST_ORDER = 2
 NODES = 6_000_000
 TOP_WORDS = 300_000
 HELD = 300_000
+SCORED_BYTES = 2 << 20
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never uses
 SYMBOLS = 256
 
@@ -237,7 +238,7 @@ def log_scores(docs: DataFrame, trained: Trained, *more: str) -> DataFrame:
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, trie = top.value, model.value
         logs = {w: float(np.log10((c + 1) / whole)) for w, c in frequent.items()}
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SCORED_BYTES):
             texts = as_bytes(batch.column("text"))
             tokens, known, base, rare, times = [], [], [], [], []
             for t in texts:
