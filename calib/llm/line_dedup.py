@@ -200,12 +200,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
     columns = [c for c in docs.columns if c not in (lines, dropped)]
     inner = [f"__{k}" for k in range(len(columns))]
     place = columns.index(text)
-    joined = docs.select(
-        *[F.col(f"`{c}`").alias(n) for c, n in zip(columns, inner)],
-        F.col(f"`{key}`").cast("long").alias("__key"),
-        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text")).alias("d").join(
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, inner)],
+                       F.col(f"`{key}`").cast("long").alias("__key"))
+    joined = rows.alias("d").join(
         kept.alias("k"), F.col("d.__key").eqNullSafe(F.col("k.doc_id")), "left").select(
-        *[f"d.{n}" for n in inner], "d.__text", "k.kept")
+        *[f"d.{n}" for n in inner],
+        F.coalesce(F.col(f"d.{inner[place]}").cast("string"), F.lit("")).alias("__text"), "k.kept")
     schema = docs.select(*[
         (F.col(f"`{c}`").cast("string") if c == text else F.col(f"`{c}`")).alias(n)
         for c, n in zip(columns, inner)], F.lit(0).alias("__lines"), F.lit(0).alias("__gone")).schema
