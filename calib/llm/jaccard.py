@@ -42,12 +42,12 @@ from calib.llm.links import components
 from calib.operators.ordering import local_if_small
 from calib.session import materialize
 
-SAMPLE_DOCS = 4096
+SAMPLE_DOCS = 16_384
 FREQUENT = 200_000
 LEADERS = 32
 PAIRS_AT_ONCE = 32
 ORDERS = 3
-SHARE = 16  # one more prefix shingle must be shared for every so many of a set
+SHARE = 8  # one more prefix shingle must be shared for every so many of a set
 NODES_SENT = 500_000
 TOP = np.uint64(1 << 63)
 
