@@ -231,13 +231,13 @@ def log_scores(docs: DataFrame, trained: Trained, *more: str) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     whole = trained.n + 1 * (trained.v + 1)
-    top = spark.sparkContext.broadcast(_top_words(trained.words, TOP_WORDS))
+    top = spark.sparkContext.broadcast({
+        w: float(np.log10((c + 1) / whole)) for w, c in _top_words(trained.words, TOP_WORDS).items()})
     model = spark.sparkContext.broadcast(trained.model)
     kept = [f"__{k}" for k in range(len(more))]
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, trie = top.value, model.value
-        logs = {w: float(np.log10((c + 1) / whole)) for w, c in frequent.items()}
+        logs, trie = top.value, model.value
         for batch in slices(batches, limit=SCORED_BYTES):
             texts = as_bytes(batch.column("text"))
             tokens, known, base, rare, times = [], [], [], [], []
