@@ -10,6 +10,12 @@ and up to FILLS more, each the one whose size is nearest to what is then missing
 position is the time at which the demand reaches its middle; sorting all copies by
 position gives the training order.
 
+A document far longer than the others may lie across the target and shut out all behind
+it.  A source that ends farther from its target than FILLS documents of mean size is
+therefore filled in rounds: each takes, in order, the copies that fit what is missing,
+until none fits, and one nearest copy closes.  Its copies then lie one after another
+without those skipped.
+
 Only DataFrame functions run on rows.  Prefix sums within a source and over the sources
 use range partitioning for large groups, so a source with a third of all rows is spread
 over tasks; only ids and sizes are shuffled until copies are made.
@@ -28,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calib.llm.blocks import WORD
-from calib.operators.ordering import number_rows, running_total
+from calib.operators.ordering import attach, number_rows, running_total
 from calib.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -128,6 +134,48 @@ def _filled(rows: DataFrame, most: int) -> DataFrame:
         "copies", F.col("copies") + chosen.cast("int")).drop("s", "last")
 
 
+def _missed(rows: DataFrame) -> DataFrame:
+    """(source) of those farther from their target than FILLS documents of mean size."""
+    sums = rows.groupBy("source").agg(
+        F.max("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("w"),
+        F.sum("size").alias("all"), F.count_if(F.col("size") > 0).alias("n"))
+    return sums.where(F.abs(F.col("t") - F.col("w")) * F.col("n") > F.col("all") * FILLS).select("source")
+
+
+def _in_rounds(rows: DataFrame, most: int) -> DataFrame:
+    """``copies`` taken anew: what does not fit is skipped, not the end of the source."""
+    columns = rows.columns
+    while True:
+        gaps = rows.groupBy("source").agg((F.max("target") - F.sum(
+            F.col("copies") * F.col("size"))).alias("__gap"))
+        fits = (F.col("copies") < most) & (F.col("size") > 0) & (F.col("size") <= F.col("__gap"))
+        known = materialize(attach(rows, gaps, ["source"]).withColumn("__fits", fits), "fits")
+        if known.where("__fits").isEmpty():
+            return materialize(_filled(rows, most), "copies")
+        next_end = F.col("copies") * F.col("source_size") + F.col("__end")
+        run = running_total(known.where("__fits").withColumn("__next", next_end), ["source"], ["__next"],
+                            "size", "__sum")
+        run = run.withColumn("copies", F.col("copies") + (F.col("__sum") <= F.col("__gap")).cast("int"))
+        rows = materialize(run.select(*columns).unionByName(
+            known.where("NOT __fits").select(*columns)), "copies")
+
+
+def _middles_of_taken(rows: DataFrame) -> DataFrame:
+    """``__middles`` on the axis of the copies taken, in the order of their ends."""
+    taken = rows.where("copies > 0").select(
+        "source", "source_size", "size", "__end", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("k"))
+    taken = materialize(taken.withColumn("__axis", F.col("k") * F.col("source_size") + F.col("__end")), "taken")
+    upto = running_total(taken, ["source"], ["__axis"], "size", "__upto")
+    found = upto.groupBy("source", "__end").agg(F.array_sort(F.collect_list(
+        F.col("__upto") - F.col("size") / 2)).alias("__middles"))
+    left, right = rows.alias("d"), found.alias("m")
+    # Rows without words share the end of the row before; they have no copies.
+    same = F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d.__end") == F.col("m.__end")) & (
+        F.col("d.size") > 0)
+    return left.join(right, same, "left").select(
+        "d.*", F.coalesce("m.__middles", F.array().cast("array<double>")).alias("__middles"))
+
+
 def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST,
              schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, seed: int = SEED,
              key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -146,12 +194,20 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MO
     epochs = F.array(*[F.lit(k) for k in range(most)])
     ends = F.transform(epochs, lambda k: k * F.col("source_size") + F.col("__end"))
     whole = F.size(F.filter(ends, lambda e: (e <= F.col("target")) & (F.col("size") > 0)))
-    rows = materialize(rows.withColumn("copies", whole), "copies")
+    rows = materialize(rows.withColumns({"copies": whole, "__whole": whole}), "copies")
     for _ in range(FILLS):
         rows = materialize(_filled(rows, most), "copies")
     middles = F.transform(F.slice(epochs, F.lit(1), F.col("copies")),
                           lambda k: k * F.col("source_size") + F.col("__end") - F.col("size") / 2)
-    rows = rows.withColumn("__middles", middles)
+    missed = materialize(_missed(rows), "missed")
+    if missed.isEmpty():
+        rows = rows.withColumn("__middles", middles)
+    else:
+        marked = attach(rows, missed.withColumn("__missed", F.lit(True)), ["source"])
+        again = materialize(marked.where("__missed").drop("__missed").withColumn(
+            "copies", F.col("__whole")), "missed")
+        rows = marked.where("__missed IS NULL").drop("__missed").withColumn(
+            "__middles", middles).unionByName(_middles_of_taken(_in_rounds(again, most)))
     segments = F.get(schedule_segments(schedules), F.col("place"))
     return rows.withColumn("__segments", segments).select(
         "doc_id", "source", "size", "source_size", "target", "copies",

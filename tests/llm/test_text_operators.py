@@ -423,6 +423,26 @@ def test_mix_odd(odd, odd_rows, empty):
     assert curriculum.mix_plan(empty).count() == 0
 
 
+def test_mix_with_long_documents(spark):
+    """A document as long as the rest of its source shuts out none of the others."""
+    rng = random.Random(3)
+    rows = []
+    for s in range(9):
+        sizes = [rng.randint(5, 25) for _ in range(200)]
+        rows += [(1000 * s + k, "w " * n, f"s{s}") for k, n in enumerate([*sizes, sum(sizes)])]
+    rows += [(9000, "", "s0"), (9001, None, None)]
+    plan = curriculum.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(plan) == len(rows)
+    by = defaultdict(list)
+    for r in plan:
+        assert r["taken"] == r["size"] * r["copies"] and 0 <= r["copies"] <= 3
+        assert len(r["positions"]) == r["copies"] and list(r["positions"]) == sorted(r["positions"])
+        by[r["source"]].append(r)
+    for of in by.values():
+        assert abs(sum(r["taken"] for r in of) - of[0]["target"]) <= max(r["source_size"] for r in of) / 200 * 3
+        assert sum(p == 1 for r in of for p in r["positions"]) <= curriculum.FILLS
+
+
 def test_mixed_rows(odd, empty):
     plan = curriculum.mix_plan(odd).collect()
     rows = curriculum.mixed(odd)
