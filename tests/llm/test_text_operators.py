@@ -282,6 +282,23 @@ def test_lower_order_when_the_trie_is_large(spark, docs):
     assert ppm.train(few, nodes=500).model.order == ppm.LEAST_ORDER
 
 
+def test_same_scores_when_the_trie_is_large(spark):
+    rng = random.Random(6)
+    train = ["".join(rng.choice("aab bcd e") for _ in range(rng.randint(0, 90))) for _ in range(40)]
+    rows = spark.createDataFrame(list(enumerate([*train, "zz ab \u00e9", None])), "doc_id long, text string")
+    texts = blocks.keyed_text(rows)
+    seen = texts.where("doc_id < 40")
+    want = [brute_ppm([t.encode() for t in train], (r["text"] or "").encode(), ppm.ORDER)
+            for r in texts.orderBy("doc_id").collect()]
+    hot = []
+    for nodes in (800, 2):
+        trained = ppm.train(seen, nodes=nodes)
+        hot.append(sum(len(x.codes) for x in trained.hot))
+        got = ppm.log_scores(texts, trained, "doc_id").orderBy("doc_id").collect()
+        assert np.allclose([g["score"] for g in got], want, atol=1e-9, rtol=0)
+    assert hot[0] > 0 == hot[1]
+
+
 # -- secrets -----------------------------------------------------------------
 
 def brute_spans(text, rules):
