@@ -131,6 +131,20 @@ def test_line_dedup_edits(spark):
     check_lines(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")), rows)
 
 
+def test_line_dedup_fetches_no_lists(odd, odd_rows, monkeypatch):
+    """Line places of documents do not pass through the driver."""
+    fetched = []
+    fetch = type(odd).toArrow
+
+    def seen(df):
+        fetched.extend(f.dataType.typeName() for f in df.schema.fields)
+        return fetch(df)
+
+    monkeypatch.setattr(type(odd), "toArrow", seen)
+    check_lines(line_dedup.dedup_lines(odd), odd_rows)
+    assert "array" not in fetched
+
+
 # -- language ----------------------------------------------------------------
 
 def test_language_of_documents(docs):
