@@ -155,11 +155,15 @@ def distance_distribution(a: DataFrame, b: DataFrame, keys: Sequence[str],
 
 def mean_box(frames: DataFrame, keys: Sequence[str], columns: Sequence[str],
              discard: float = 0.2) -> DataFrame:
-    """Mean box values after the first ``discard`` share of frames, four decimals."""
+    """Mean box values after the first ``discard`` share of frames, four decimals.
+
+    The scaled mean is rounded as a double, half to even; its decimal spelling is not.
+    """
     keys = list(keys)
     sizes = frames.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     kept = attach(frames, sizes, keys).where(F.col("frame") >= F.floor(F.col("__n") * discard))
-    return (kept.groupBy(*keys)).agg(*[F.bround(F.avg(c), 4).alias(c) for c in columns])
+    mean = lambda c: F.sum(c).cast("double") / F.count(c)
+    return kept.groupBy(*keys).agg(*[(F.rint(mean(c) * 10_000) / 10_000).alias(c) for c in columns])
 
 
 # -- per-curve arrays ------------------------------------------------------

@@ -224,14 +224,18 @@ def a5_distance_distribution(spark, sf_dir):
     return rounded(d.withColumnRenamed("type", "label"))
 
 
+def _mean_4(c):
+    return f"round_even(sum({c}::DECIMAL(12,2))::DOUBLE / count({c}) * 10000.0::DOUBLE, 0) / 10000.0::DOUBLE AS {c}"
+
+
 @query("a6_mean_box", f"""
 WITH {LINE_DRAWS_WIDE}
-SELECT chain, round_even(avg(l_quantity), 4) AS l_quantity,
-       round_even(avg(l_discount), 4) AS l_discount,
-       round_even(avg(l_extendedprice), 4) AS l_extendedprice
+SELECT chain, {_mean_4('l_quantity')}, {_mean_4('l_discount')}, {_mean_4('l_extendedprice')}
 FROM wide WHERE step >= floor((SELECT max(step) + 1 FROM wide) * 0.2) GROUP BY chain""")
 def a6_mean_box(spark, sf_dir):
-    frames = line_draws_wide(spark, sf_dir).withColumnRenamed("step", "frame")
+    # Two decimals each, so that the sums are exact in any order.
+    frames = line_draws_wide(spark, sf_dir).withColumnRenamed("step", "frame").withColumns(
+        {c: F.col(c).cast("decimal(12,2)") for c in LINE_PARAMS})
     return curves.mean_box(frames, ["chain"], LINE_PARAMS)
 
 

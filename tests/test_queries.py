@@ -4,8 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from check import SMALLEST as SF_DIR
 from check import TABLES, same, sort_key
-from conftest import SF_DIR
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
