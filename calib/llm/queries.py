@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calib.llm import (
-    balltree, blocks, collision, curriculum, jaccard, language, line_dedup, pieces, ppm, secrets,
-    toxicity, twins,
+    balltree, bitslice, blocks, collision, curriculum, divergence, jaccard, language, line_dedup, pieces,
+    ppm, secrets, strata, toxicity, twins,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +17,7 @@ POSITION_DIGITS = 6
 SQL: dict[str, str] = {
     "op7_secrets": twins.secrets_sql(), "op8_ball_tree": twins.BALL_TREE,
     "op9_ngram_jaccard": twins.JACCARD, "op10_curriculum": twins.curriculum_sql(POSITION_DIGITS),
+    "op12_strata_search": twins.STRATA, "op13_source_divergence": twins.DIVERGENCE,
 }
 
 
@@ -126,3 +127,18 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     of_pages = language.identify(
         language.page_evidence(table(spark, sf_dir, "pages")), model, "page_id", "declared")
     return of_docs.unionByName(of_pages, allowMissingColumns=True)
+
+
+@query
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslice.simhash_groups(table(spark, sf_dir, "documents"), radius=2)
+
+
+@query
+def op12_strata_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strata.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"), least=10, top=10)

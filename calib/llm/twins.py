@@ -115,3 +115,52 @@ p AS (SELECT doc_id, list(round(least(t0 + CASE WHEN rest <= 0 THEN 0 ELSE
 SELECT doc_id, size, ss AS source_size, target, (copies * size)::BIGINT AS taken,
        coalesce(positions, []::DOUBLE[]) AS positions
 FROM r{curriculum.FILLS} LEFT JOIN p USING (doc_id)"""
+
+
+def _terms(source: str, pattern: str, *columns: str) -> str:
+    cols = "".join(f"{c}, " for c in columns)
+    return f"""SELECT {cols}unnest(regexp_extract_all(
+    translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{pattern}')) AS term FROM {source}"""
+
+
+ALNUM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ALPHA = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+STRATA = f"""
+WITH c AS (SELECT doc_id, term, count(*) AS tf FROM ({_terms('documents', ALNUM, 'doc_id')}) GROUP BY ALL),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM c GROUP BY doc_id),
+g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM d),
+m AS (SELECT doc_id, 75 + (25 * n * docs) // terms AS m FROM d, g),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+      FROM (SELECT term, count(*) AS df FROM c GROUP BY term), g),
+q AS (SELECT item_id, term, count(*) AS times FROM ({_terms('benchmark', ALNUM, 'item_id')}) GROUP BY ALL),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN c USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+WHERE rank <= 20"""
+
+DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, text
+           FROM documents),
+t AS ({_terms('d', ALPHA, 'id', 'lang', 'source')}),
+kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(total)::BIGINT AS n FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+gn AS (SELECT g.lang, g.source, coalesce(sum(c), 0)::BIGINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT gn.lang, gn.source, kept.term, coalesce(c, 0) AS c, kept.total,
+             1 + (1000000000 * (coalesce(c, 0) + 2)) // (gn.n + 2 * v.v) AS p,
+             1 + (1000000000 * (kept.total + 2)) // (v.n + 2 * v.v) AS q
+      FROM gn JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+both_ AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN both_ ON both_.lang = a.lang AND both_.source = a.source AND both_.item = b.source),
+rows AS (SELECT lang, source, 'pair' AS part, item, value FROM pair
+         UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p
+         WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows)
+WHERE part = 'pair' OR rank <= 10"""
