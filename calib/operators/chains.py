@@ -17,9 +17,9 @@ from calib.functions.expr import with_normal_quantile
 from calib.operators.ordering import (
     WINDOW_ROWS, attach, number_rows, quantiles, with_previous,
 )
-from calib.session import materialize
+from calib.session import bounded_batches, materialize
 
-LAG_BLOCK = 4096
+LAG_BLOCK = 2048
 BY = ("param",)
 
 
@@ -111,62 +111,100 @@ def rank_split_rhat(draws: DataFrame, by: Sequence[str] = BY,
         "rhat", F.greatest("rhat_rank", "rhat_folded"))
 
 
-def _centred(draws: DataFrame, series: Sequence[str], value: str) -> DataFrame:
+def _blocks(draws: DataFrame, series: Sequence[str], value: str, block: int) -> DataFrame:
+    """(series, n_steps, b, xs): the centred values of each chain, ``block`` steps a row."""
     means = draws.groupBy(*series).agg(
         F.avg(value).alias("__mean"), (F.max("step") + 1).cast("long").alias("n_steps"))
-    return attach(draws, means, series).select(
-        *series, "step", "n_steps", (F.col(value) - F.col("__mean")).alias("__x"))
-
-
-def _lag_products(batches: Iterator[pd.DataFrame], max_lag: int) -> Iterator[pd.DataFrame]:
-    """Lag sums of one block: own values against the block and its following rows."""
-    for batch in batches:
-        sums = []
-        for x, own in zip(batch["__xs"], batch["__own"]):
-            x = np.asarray(x, dtype=float)
-            lags = min(max_lag, len(x) - 1) + 1
-            if len(x) <= 512:
-                out = np.correlate(x, x[:own], "full")[own - 1:own - 1 + lags]
-            else:
-                size = 1 << int(len(x) + own - 1).bit_length()
-                spectrum = np.fft.rfft(x, size) * np.conj(np.fft.rfft(x[:own], size))
-                out = np.fft.irfft(spectrum, size)[:lags]
-            sums.append(out.tolist())
-        yield batch.drop(columns=["__xs", "__own"]).assign(__sums=sums)
+    rows = attach(draws, means, series).select(
+        *series, "n_steps", F.floor(F.col("step") / block).cast("long").alias("b"), "step",
+        (F.col(value) - F.col("__mean")).alias("x"))
+    cells = F.array_sort(F.collect_list(F.struct("step", "x")))
+    return rows.groupBy(*series, "n_steps", "b").agg(cells.alias("c")).select(
+        *series, "n_steps", "b", F.col("c.x").alias("xs"))
+
+
+def _tile_product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of x[i] * y[i + m] for m from 1 - len(x) to len(y) - 1."""
+    if min(len(x), len(y)) <= 64:
+        return np.correlate(y, x, "full")
+    size = 1 << int(len(x) + len(y) - 1).bit_length()
+    out = np.fft.irfft(np.fft.rfft(y, size) * np.conj(np.fft.rfft(x, size)), size)
+    return np.concatenate([out[size - len(x) + 1:], out[:len(y)]])
+
+
+def _lag_sums(blocks: DataFrame, series: Sequence[str], low: int, high: int | None, block: int
+              ) -> DataFrame:
+    """(series, n_steps, lag, s): lag sums of all lags from ``low`` to below ``high``.
+
+    Lag k pairs a block with those k // block and k // block + 1 blocks later.  A task holds
+    two blocks at a time, and adds up what pairs of one distance give.
+    """
+    bounded_batches(blocks.sparkSession)
+    last = F.floor((F.col("n_steps") - 1) / block) - F.col("b")
+    if high is not None:
+        last = F.least(last, F.lit((high - 1) // block + 1))
+    first = low // block
+    left = blocks.where(last >= first).withColumn(
+        "d", F.explode(F.sequence(F.lit(first).cast("long"), last.cast("long"))))
+    left = left.withColumn("c", F.col("b") + F.col("d")).drop("b").withColumnRenamed("xs", "left")
+    right = blocks.select(*series, F.col("b").alias("c"), F.col("xs").alias("right"))
+    pairs = left.join(right, [*series, "c"]).select(*series, "n_steps", "d", "left", "right")
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, np.ndarray] = {}
+
+        def flush() -> pd.DataFrame:
+            rows = [(*k[:-1], f, v) for k, (f, v) in (
+                (k, (max(low, (k[-1] - 1) * block + 1), v)) for k, v in held.items())]
+            held.clear()
+            return pd.DataFrame(rows, columns=[*series, "n_steps", "first", "sums"])
+
+        for batch in batches:
+            for key, x, y in zip(batch[[*series, "n_steps", "d"]].itertuples(index=False, name=None),
+                                 batch["left"], batch["right"]):
+                n, d = int(key[-2]), int(key[-1])
+                start = max(low, (d - 1) * block + 1)
+                stop = min((d + 1) * block, n, n if high is None else high)
+                if stop <= start:
+                    continue
+                sums = held.setdefault((*key[:-2], n, d), np.zeros(stop - start))
+                got = _tile_product(np.asarray(x), np.asarray(y))
+                at = d * block - len(x) + 1  # the lag of the first product
+                a, b = max(start, at), min(stop, at + len(got))
+                if b > a:
+                    sums[a - start:b - start] += got[a - at:b - at]
+            if len(held) > 256:
+                yield flush()
+        if held:
+            yield flush()
+
+    kept = ", ".join(f"`{c}` {blocks.schema[c].dataType.simpleString()}" for c in series)
+    sums = pairs.mapInPandas(add, f"{kept}, n_steps long, first long, sums array<double>")
+    lags = sums.select(*series, "n_steps", "first", F.posexplode("sums").alias("p", "s"))
+    return lags.groupBy(*series, "n_steps", (F.col("first") + F.col("p")).alias("lag")).agg(
+        F.sum("s").alias("s"))
+
+
+def _rho(sums: DataFrame, zero: DataFrame, series: Sequence[str]) -> DataFrame:
+    """Autocorrelation from lag sums and the lag sum ``var`` of lag 0 per step."""
+    cov = F.col("s") / (F.col("n_steps") - F.col("lag"))
+    return attach(sums, zero, series).withColumn(
+        "rho", F.when(F.col("var") > 0, cov / F.col("var")).otherwise(F.lit(0.0)))
 
 
 def autocorrelation(draws: DataFrame, by: Sequence[str] = BY, value: str = "value",
-                    max_lag: int = 64, block: int = LAG_BLOCK) -> DataFrame:
-    """Autocorrelation of every chain up to ``max_lag`` (or its last lag).
+                    max_lag: int | None = None, block: int = LAG_BLOCK) -> DataFrame:
+    """Autocorrelation of every chain at all its lags, or up to ``max_lag``.
 
-    Chains are cut into blocks of steps, each with the next ``max_lag`` steps
-    appended, so long chains spread over many tasks; block sums add up exactly.
+    Chains are cut into blocks of steps.  Every pair of blocks is one product, so long
+    chains spread over many tasks, and the sums of the pairs add up exactly.
     """
     series = [*by, "chain"]
-    block = max(block, max_lag)
-    rows = _centred(draws, series, value)
-    step = F.col("step")
-    first = F.greatest(F.floor((step - max_lag) / block), F.lit(0)).cast("long")
-    own = F.floor(step / block).cast("long")
-    rows = rows.withColumn("__b", F.explode(F.sequence(first, own)))
-    mine = F.count_if(F.floor(step / block).cast("long") == F.col("__b"))
-    blocks = (
-        rows.groupBy(*series, "n_steps", "__b")
-        .agg(F.array_sort(F.collect_list(F.struct("step", "__x"))).alias("__rows"),
-             mine.cast("int").alias("__own"))
-        .select(*series, "n_steps", F.col("__rows.__x").alias("__xs"), "__own")
-    )
-    kept = ", ".join(f"`{c}` {draws.schema[c].dataType.simpleString()}" for c in series)
-    sums = blocks.mapInPandas(
-        lambda it: _lag_products(it, max_lag),
-        f"{kept}, n_steps long, __sums array<double>")
-    lags = sums.select(*series, "n_steps", F.posexplode("__sums").alias("lag", "__s"))
-    acov = lags.groupBy(*series, "n_steps", "lag").agg(F.sum("__s").alias("__s")).withColumn(
-        "__acov", F.col("__s") / (F.col("n_steps") - F.col("lag")))
-    zero = acov.where("lag = 0").select(*series, F.col("__acov").alias("__var"))
-    rho = F.when(F.col("__var") > 0, F.col("__acov") / F.col("__var")).otherwise(F.lit(0.0))
-    return attach(acov, zero, series).select(
-        *series, "n_steps", F.col("lag").cast("int").alias("lag"), rho.alias("rho"))
+    blocks = materialize(_blocks(draws, series, value, block), "blocks")
+    sums = materialize(_lag_sums(blocks, series, 0, None if max_lag is None else max_lag + 1, block), "lags")
+    zero = sums.where("lag = 0").select(*series, (F.col("s") / F.col("n_steps")).alias("var"))
+    return _rho(sums, zero, series).select(
+        *series, "n_steps", F.col("lag").cast("int").alias("lag"), "rho")
 
 
 def autocorr_time(draws: DataFrame, by: Sequence[str] = BY, value: str = "value",
@@ -174,34 +212,39 @@ def autocorr_time(draws: DataFrame, by: Sequence[str] = BY, value: str = "value"
                   block: int = LAG_BLOCK) -> DataFrame:
     """1 + 2 * (sum of rho up to its first non-positive lag), at least 1, per chain.
 
-    Lags are extended in rounds, only for chains whose rho is still positive.
+    Lags are extended in rounds, only for chains whose rho is still positive; a round adds
+    its own lags to the sum of the rounds before.
     """
     series = [*by, "chain"]
+    blocks = materialize(_blocks(draws, series, value, block), "blocks")
+    cap = F.col("n_steps") if max_lag is None else F.least(F.col("n_steps"), F.lit(max_lag + 1))
     done: DataFrame | None = None
-    left, lags = draws, first_lag if max_lag is None else min(first_lag, max_lag)
+    state: DataFrame | None = None
+    low, high = 0, first_lag + 1
     while True:
-        rho = autocorrelation(left, by, value, lags, block)
+        if max_lag is not None:
+            high = min(high, max_lag + 1)
+        sums = _lag_sums(blocks, series, low, high, block)
+        if state is None:
+            sums = materialize(sums, "lags")
+            state = sums.where("lag = 0").select(
+                *series, (F.col("s") / F.col("n_steps")).alias("var"), F.lit(0.0).alias("sum"))
+        rho = _rho(sums, state, series)
         cut = rho.groupBy(*series).agg(
-            F.min(F.when((F.col("lag") > 0) & (F.col("rho") <= 0), F.col("lag"))).alias("__cut"),
-            F.max("lag").alias("__seen"), F.first("n_steps").alias("n_steps"))
-        sums = attach(rho, cut.drop("n_steps"), series).groupBy(*series).agg(
-            F.first("n_steps").alias("n_steps"),
-            F.first("__cut").alias("__cut"), F.first("__seen").alias("__seen"),
-            F.sum(F.when((F.col("lag") > 0)
-                         & (F.col("__cut").isNull() | (F.col("lag") < F.col("__cut"))),
-                         F.col("rho")).otherwise(F.lit(0.0))).alias("__sum"))
-        sums = materialize(sums, "tau")
-        end = F.col("n_steps") - 1 if max_lag is None else F.least(
-            F.col("n_steps") - 1, F.lit(max_lag))
-        settled = F.col("__cut").isNotNull() | (F.col("__seen") >= end)
-        part = sums.where(settled).select(
-            *series, F.greatest(F.lit(1.0), 1 + 2 * F.col("__sum")).alias("tau"))
+            F.min(F.when((F.col("lag") > 0) & (F.col("rho") <= 0), F.col("lag"))).alias("cut"))
+        counted = (F.col("lag") > 0) & (F.col("cut").isNull() | (F.col("lag") < F.col("cut")))
+        now = materialize(attach(rho, cut, series).groupBy(*series).agg(
+            F.first("n_steps").alias("n_steps"), F.first("cut").alias("cut"), F.first("var").alias("var"),
+            (F.first("sum") + F.sum(F.when(counted, F.col("rho")).otherwise(F.lit(0.0)))).alias("sum")), "tau")
+        settled = F.col("cut").isNotNull() | (cap <= high)
+        part = now.where(settled).select(
+            *series, F.greatest(F.lit(1.0), 1 + 2 * F.col("sum")).alias("tau"))
         done = part if done is None else done.unionByName(part)
-        open_ = sums.where(~settled).select(*series)
-        if open_.isEmpty():
+        state = now.where(~settled).select(*series, "var", "sum")
+        if state.isEmpty():
             return done
-        left = draws.join(open_, series, "left_semi")
-        lags = lags * 8 if max_lag is None else min(lags * 8, max_lag)
+        blocks = blocks.join(state.select(*series), series, "left_semi")
+        low, high = high, (high - 1) * 8 + 1
 
 
 def effective_sample_size(draws: DataFrame, by: Sequence[str] = BY, value: str = "value",

@@ -120,9 +120,9 @@ def w4_rank_split_rhat(spark, sf_dir):
 
 @query("w5_autocorrelation", f"""
 WITH {EVENT_DRAWS}, {_tau_ctes('draws')}
-SELECT param, chain, lag, {r('rho')} AS rho FROM rho WHERE lag <= 64""")
+SELECT param, chain, lag, {r('rho')} AS rho FROM rho""")
 def w5_autocorrelation(spark, sf_dir):
-    rho = chains.autocorrelation(event_draws(spark, sf_dir), max_lag=64)
+    rho = chains.autocorrelation(event_draws(spark, sf_dir))
     return rounded(rho.select("param", "chain", "lag", "rho"))
 
 

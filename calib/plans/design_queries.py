@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from calib.functions import expr
 from calib.functions.expr import normal_quantile_sql
-from calib.operators import design, ordering, posterior
+from calib.operators import design, feasible, ordering, posterior
 from calib.plans.base import LINE_KEY, query, r, rounded, table
+from calib.session import materialize
 
 KEYS = "l_orderkey, l_linenumber, l_partkey"
 ID = ["l_orderkey", "l_linenumber", "l_partkey"]
@@ -253,6 +254,38 @@ def q5_feasibility(spark, sf_dir):
     return rounded(design.feasibility(bounds, constraints, terms, ["campaign"]))
 
 
+# Without the first constraint, x_k = g_k - x_(k // 2) / 2 leaves one free value, x_0: each bound
+# of x_k is one of x_0.  In whole numbers: g in hundredths, b = (-2)^-depth.
+@query("q5_joint_feasibility", f"""
+WITH RECURSIVE {CAMPAIGNS},
+e AS (SELECT a.campaign, bool_and(abs(5 * a.p_size - 135) <= 2 * a.p_size + coalesce(b.p_size, 0)) AS interval_ok
+      FROM parts a LEFT JOIN parts b ON b.campaign = a.campaign AND b.cid = a.cid // 2
+      WHERE a.cid > 0 AND b.cid IS NOT NULL GROUP BY a.campaign),
+x(campaign, cid, p_size, c, s) AS (  -- x_k = c / 800 + s * x_0 / 8
+  SELECT campaign, cid, p_size, 0::BIGINT, 8::BIGINT FROM parts WHERE cid = 0
+  UNION ALL
+  SELECT p.campaign, p.cid, p.p_size, 8 * (5 * p.p_size - 135) - x.c // 2, -x.s // 2
+  FROM parts p JOIN x ON p.campaign = x.campaign AND p.cid > 0 AND p.cid // 2 = x.cid),
+f AS (SELECT campaign, max(CASE WHEN s > 0 THEN (-16 * p_size - c)::DOUBLE / (100 * s) ELSE (16 * p_size - c)::DOUBLE / (100 * s) END) AS lo,
+             min(CASE WHEN s > 0 THEN (16 * p_size - c)::DOUBLE / (100 * s) ELSE (-16 * p_size - c)::DOUBLE / (100 * s) END) AS hi
+      FROM x GROUP BY campaign)
+SELECT e.campaign, interval_ok, lo <= hi + 1e-7 AS feasible, CASE WHEN lo <= hi + 1e-7 THEN {r('lo')} END AS first_value,
+       CASE WHEN lo <= hi + 1e-7 THEN 0::BIGINT END AS misses
+FROM e JOIN f USING (campaign)""")
+def q5_joint_feasibility(spark, sf_dir):
+    bounds, constraints, terms = campaign_tables(spark, sf_dir)
+    # Campaigns whose first part is missing have other unknowns; all others lose constraint 0.
+    whole = constraints.where("cid = 0").select("campaign")
+    bounds, constraints, terms = (t.join(whole, "campaign", "left_semi") for t in (
+        bounds, constraints.where("cid > 0"), terms.where("cid > 0")))
+    found = materialize(feasible.joint_feasibility(bounds, constraints, terms, ["campaign"]), "joint")
+    each = design.feasibility(bounds, constraints, terms, ["campaign"]).groupBy("campaign").agg(
+        F.bool_and("feasible").alias("interval_ok"))
+    misses = feasible.witness_misses(found, bounds, constraints, terms, ["campaign"])
+    return rounded(found.join(each, "campaign").join(misses, "campaign", "left").select(
+        "campaign", "interval_ok", "feasible", F.col("witness")["charge 0"].alias("first_value"), "misses"))
+
+
 @query("q7_invalid_priors", """
 WITH p AS (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'normal' WHEN 1 THEN 'uniform' ELSE 'gamma' END AS kind,
                   p_size / 10.0::DOUBLE AS a, (p_size - 10) / 10.0::DOUBLE AS b FROM part)

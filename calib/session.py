@@ -18,6 +18,7 @@ DEFAULTS = {
 }
 
 _SCRATCH_KEY = "calib.scratch.dir"
+BATCH_BYTES = 16 << 20
 
 
 def get_session(master: str | None = None, **conf: str) -> SparkSession:
@@ -32,6 +33,14 @@ def get_session(master: str | None = None, **conf: str) -> SparkSession:
     return spark
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches by bytes, so that a batch of long arrays stays small."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or now.startswith("-") or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: the cluster's shared checkpoint folder.
 

@@ -4,6 +4,7 @@ import math
 from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,38 @@ def test_long_chain_uses_fft(spark):
     assert math.isclose(got, tau(x[:, 0]), rel_tol=1e-8)
 
 
+def test_all_lags_of_a_long_chain(spark):
+    n = 200_000
+    steps = np.random.default_rng(6).normal(size=n)
+    x = np.zeros(n)
+    for i in range(1, n):
+        x[i] = 0.99 * x[i - 1] + steps[i]
+    frame = spark.createDataFrame(pd.DataFrame({"param": "p", "chain": 0, "step": np.arange(n), "value": x}))
+    got = chains.autocorrelation(frame.repartition(16)).select("lag", "rho").toPandas().sort_values("lag")
+    d = np.fft.rfft(x - x.mean(), 1 << 19)
+    want = np.fft.irfft(d * np.conj(d), 1 << 19)[:n] / (n - np.arange(n))
+    assert (got["lag"].to_numpy() == np.arange(n)).all()
+    # The last lags divide few products, so rounding counts for more there.
+    np.testing.assert_allclose(got["rho"].to_numpy()[:n - 1000], (want / want[0])[:n - 1000], atol=1e-9)
+    np.testing.assert_allclose(got["rho"].to_numpy(), want / want[0], atol=1e-6)
+
+
+def test_lags_of_chains_of_any_length(spark):
+    rng = np.random.default_rng(7)
+    series = {0: rng.normal(size=37), 1: np.cumsum(rng.normal(size=101)), 2: np.ones(5), 3: rng.normal(size=1)}
+    rows = [("p", c, i, float(v)) for c, x in series.items() for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "param string, chain int, step long, value double")
+    got = {(r["chain"], r["lag"]): r["rho"] for r in chains.autocorrelation(frame, block=16).collect()}
+    assert len(got) == sum(map(len, series.values()))
+    for (c, k), rho in got.items():
+        d = series[c] - series[c].mean()
+        var = d @ d / len(d)
+        want = (d[:len(d) - k] @ d[k:]) / (len(d) - k) / var if var > 0 else 0.0
+        assert math.isclose(rho, want, rel_tol=1e-9, abs_tol=1e-12)
+    taus = {r["chain"]: r["tau"] for r in chains.autocorr_time(frame, first_lag=3, block=16).collect()}
+    assert len(taus) == 4 and all(math.isclose(taus[c], tau(x), rel_tol=1e-9) for c, x in series.items() if len(x) > 1)
+
+
 def test_convergence_report(spark):
     x = np.random.default_rng(5).normal(size=(60, 4))
     r = chains.convergence_report(draws(spark, x)).first()
