@@ -68,6 +68,6 @@ def test_registered():
     import __spark_entry__ as entry
 
     assert entry.queries()["pipeline"] is corpus_pipeline.run
-    assert sum(n.startswith("op") for n in entry.queries()) == 10
+    assert sum(n.startswith("op") for n in entry.queries()) == 13
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "language_id", "line_dedup", "ngram_jaccard", "curriculum", "pieces"]
