@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from calib.operators import groups, jobs, ordering, summary
+from calib.operators.ordering import number_rows
 from calib.plans.base import (
     ATOMS, EVENT_CURVES, EVENT_DRAWS, REFERENCE_CURVES, atoms, event_curves, event_draws, query, r,
     reference_curves, rounded, table,
 )
 
 from calib.session import materialize, scratch_dir
-from calib.sources import sinks, tables, text
+from calib.sources import lines, sinks, tables, text
 
 HARTREE = f"{text.HARTREE_TO_EV!r}::DOUBLE"
 FORCE = f"{text.FORCE_UNIT!r}::DOUBLE"
@@ -117,8 +118,123 @@ def k1_extxyz_text(spark, sf_dir):
     return sinks.extxyz_text(frames, ["frame"])
 
 
+def trajectories(spark, sf_dir):
+    """Frames of three trajectories: traj, frame, atoms, energy, lattice, pbc, source."""
+    none = F.lit(None).cast("double")
+    atom = F.struct(F.col("element").alias("symbol"), *[F.round(k, 3).alias(k) for k in "xyz"],
+                    *[none.alias(k) for k in ("fx", "fy", "fz")])
+    rows = atoms(spark, sf_dir).groupBy("frame").agg(
+        F.array_sort(F.collect_list(F.struct("place", atom.alias("a")))).alias("v"))
+    return rows.select(
+        F.pmod("frame", F.lit(3)).alias("traj"), "frame", F.col("v.a").alias("atoms"),
+        (F.col("frame") / 8.0 - 3).alias("energy"),
+        F.array(*[F.lit(v) for v in (12.0, 0.0, 0.0, 0.0, 12.0, 0.0, 0.0, 0.0, 12.0)]).alias("lattice"),
+        F.lit("T T F").alias("pbc"), F.lit("md").alias("source"))
+
+
+def ordered_frames(frames):
+    """Place of each frame in its trajectory, over all its files."""
+    return number_rows(frames, ["traj"], ["path", "frame"], "place").withColumn("place", F.col("place") - 1)
+
+
+@query("k1_trajectory_round_trip", f"""
+WITH {ATOMS},
+f AS (SELECT frame, row_number() OVER (PARTITION BY frame % 3 ORDER BY frame) - 1 AS place FROM (SELECT DISTINCT frame FROM atoms))
+SELECT (frame % 3)::INTEGER AS traj, f.place, count(*) OVER (PARTITION BY frame)::INTEGER AS n, a.place AS atom,
+       element AS symbol, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, frame / 8.0::DOUBLE - 3 AS energy,
+       36.0::DOUBLE AS lattice_sum, 'T T F' AS pbc, 'md' AS source
+FROM atoms a JOIN f USING (frame)""")
+def k1_trajectory_round_trip(spark, sf_dir):
+    path = fresh(spark, "trajectories")
+    sinks.write_trajectories(trajectories(spark, sf_dir), path, "traj", "frame", 4)
+    frames, _ = text.quarantine(lines.trajectory_frames(lines.split_lines(spark, path, keep=["traj"]), ["traj"]))
+    total = F.aggregate("lattice", F.lit(0.0), lambda acc, v: acc + v)
+    return ordered_frames(frames).select(
+        "traj", "place", "n", F.posexplode("atoms").alias("atom", "a"), "energy", total.alias("lattice_sum"),
+        "pbc", "source").select("traj", "place", "n", "atom", "a.symbol", "a.x", "a.y", "a.z", "energy",
+                                "lattice_sum", "pbc", "source")
+
+
+@query("s4_trajectory_issues", f"""
+WITH {ATOMS}, n AS (SELECT frame, count(*) AS n FROM atoms GROUP BY frame),
+i AS (SELECT frame % 3 AS traj, CASE WHEN frame % 7 = 1 THEN (n - 1) || ' of ' || n || ' atom lines'
+                                WHEN frame % 7 = 2 THEN 'invalid atom line: O one 2 3' ELSE 'usable' END AS outcome FROM n)
+SELECT traj::INTEGER AS traj, outcome, count(*) AS n FROM i GROUP BY ALL""")
+def s4_trajectory_issues(spark, sf_dir):
+    """Every seventh frame lacks its last atom, another one has an atom without a position."""
+    path = fresh(spark, "trajectories")
+    rows = sinks.extxyz_text(trajectories(spark, sf_dir), ["traj", "frame"])
+    k = F.pmod("frame", F.lit(7))
+    value = F.when(k == 1, F.regexp_replace("value", r"\n[^\n]*\z", "")).when(
+        k == 2, F.regexp_replace("value", r"\n[^\n]*\z", "\nO one 2 3")).otherwise(F.col("value"))
+    rows.select("traj", "frame", value.alias("value")).repartition("traj").sortWithinPartitions(
+        "traj", "frame").select("traj", "value").write.partitionBy("traj").text(path)
+    frames = lines.trajectory_frames(lines.split_lines(spark, path, keep=["traj"]), ["traj"])
+    return frames.groupBy("traj", F.coalesce("issue", F.lit("usable")).alias("outcome")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("s5_last_of_trajectory", f"""
+WITH {ATOMS}, t AS (SELECT frame % 3 AS traj, max(frame) AS frame FROM atoms GROUP BY ALL)
+SELECT traj::INTEGER AS traj, place AS atom, element AS symbol, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z
+FROM atoms JOIN t USING (frame)""")
+def s5_last_of_trajectory(spark, sf_dir):
+    path = fresh(spark, "trajectories")
+    trajectories(spark, sf_dir).transform(lambda f: sinks.extxyz_text(f, ["traj", "frame"])).repartition(
+        "traj").sortWithinPartitions("traj", "frame").select("traj", "value").write.partitionBy("traj").text(path)
+    frames = lines.trajectory_frames(lines.split_lines(spark, path, keep=["traj"]), ["traj"])
+    return lines.last_frames(frames, ["traj"]).select(
+        "traj", F.posexplode("atoms").alias("atom", "a")).select("traj", "atom", "a.symbol", "a.x", "a.y", "a.z")
+
+
 # -- logs ------------------------------------------------------------------
 
+LOGS = 16
+
+
+def long_logs(spark, parts, key):
+    """Texts (``key``, value) as sixteen long log files, in the order of ``key``; lines of the files."""
+    path = fresh(spark, "logs")
+    parts.select(F.pmod(key, F.lit(LOGS)).alias("log"), key, "value").repartition("log").sortWithinPartitions(
+        "log", key).select("log", "value").write.partitionBy("log").text(path)
+    return lines.split_lines(spark, path)
+
+
+def log_id(rows):
+    return rows.withColumn("log", F.regexp_extract("path", r"/log=(\d+)/", 1).cast("int")).drop("path")
+
+
+@query("s6_split_log_energies", f"""
+SELECT (o_orderkey % {LOGS})::INTEGER AS log,
+       {r(f"arg_min(CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE -o_totalprice END, o_orderkey) * {HARTREE}", 4)} AS energy_ev
+FROM orders GROUP BY ALL""")
+def s6_split_log_energies(spark, sf_dir):
+    return rounded(log_id(lines.log_energies(long_logs(spark, energy_logs(spark, sf_dir), "o_orderkey"))), 4)
+
+
+@query("s7_split_log_forces", f"""
+WITH o AS (SELECT l_orderkey % {LOGS} AS log, bool_or(l_orderkey % 3 <> 0) AS piped, max(l_orderkey) AS last FROM lineitem GROUP BY ALL)
+SELECT log::INTEGER AS log,
+       (row_number() OVER (PARTITION BY log ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1)::INTEGER AS atom,
+       {r(f'l_discount * {FORCE}')} AS fx, {r(f'l_tax * {FORCE}')} AS fy, {r(f'-l_quantity * {FORCE}')} AS fz
+FROM lineitem JOIN o ON log = l_orderkey % {LOGS}
+WHERE CASE WHEN l_orderkey % {LOGS} < 8 THEN l_orderkey = last ELSE l_orderkey % 3 <> 0 END""")
+def s7_split_log_forces(spark, sf_dir):
+    """Half of the logs hold force tables only, the others piped rows and tables."""
+    rows = force_logs(spark, sf_dir, lambda k: (F.pmod(k, F.lit(LOGS)) < 8) | (F.pmod(k, F.lit(3)) == 0)).withColumn("key", F.col("path").cast("long"))
+    return rounded(log_id(lines.log_forces(long_logs(spark, rows, "key"))))
+
+
+@query("s13_split_settings", f"""
+WITH k AS (SELECT p_partkey % {LOGS} AS log, max(CASE WHEN p_size % 5 <> 0 THEN p_partkey END) AS a, max(p_partkey) AS b FROM part GROUP BY ALL)
+SELECT log::INTEGER AS log, 'integrator' AS key, 'md' AS value FROM k
+UNION ALL SELECT log::INTEGER, 'nsteps', (p_size * 1000)::VARCHAR FROM k JOIN part ON p_partkey = a
+UNION ALL SELECT log::INTEGER, 'nstxout-compressed', (p_size + 100)::VARCHAR FROM k JOIN part ON p_partkey = b""")
+def s13_split_settings(spark, sf_dir):
+    rows = settings_files(spark, sf_dir).withColumn("key", F.col("path").cast("long"))
+    return log_id(lines.line_settings(long_logs(spark, rows, "key")))
+
+
 def energy_logs(spark, sf_dir):
     """One log per order; every tenth has no energy line."""
     o = table(spark, sf_dir, "orders")
@@ -145,8 +261,8 @@ def q8_usable_report(spark, sf_dir):
     return text.usable_report(e.withColumn("issue", F.when(F.col("energy_ev").isNull(), "no energy")))
 
 
-def force_logs(spark, sf_dir):
-    """One log per order: piped rows, or two force tables for every third order."""
+def force_logs(spark, sf_dir, tables=lambda key: F.pmod(key, F.lit(3)) == 0):
+    """One log per order: piped rows, or two force tables where ``tables`` says so."""
     line = table(spark, sf_dir, "lineitem")
     key = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
                    s("l_discount").alias("a"), s("l_tax").alias("b"), s("l_quantity").alias("c"))
@@ -160,7 +276,7 @@ def force_logs(spark, sf_dir):
                    F.lit("\n SUM OF ATOMIC FORCES 0 0 0\n ATOMIC FORCES in [a.u.]\n"),
                    F.array_join(rowed(False), "\n"), F.lit("\n SUM OF ATOMIC FORCES 0 0 0\n"))
     return rows.select(s("l_orderkey").alias("path"), F.when(
-        F.pmod("l_orderkey", F.lit(3)) == 0, old).otherwise(F.array_join(piped, "\n")).alias("value"))
+        tables(F.col("l_orderkey")), old).otherwise(F.array_join(piped, "\n")).alias("value"))
 
 
 @query("s7_log_forces", f"""

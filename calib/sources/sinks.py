@@ -37,6 +37,20 @@ def write_extxyz(frames: DataFrame, path: str, mode: str = "errorifexists") -> N
     extxyz_text(frames, ()).write.mode(mode).text(path)
 
 
+def write_trajectories(frames: DataFrame, path: str, by: str, order: str, parts: int | None = None,
+                       mode: str = "errorifexists") -> None:
+    """Frames as extended XYZ files in one folder per value of ``by``, in the order of ``order``.
+
+    Frames are range partitioned, so a long trajectory has several files; read by name,
+    they follow one another.  Files appear when their task, and the folder when the job, is
+    committed; a failed write leaves none.
+    """
+    text = extxyz_text(frames, [by, order])
+    keys = [F.col(by), F.col(order)]
+    dealt = text.repartitionByRange(parts, *keys) if parts else text.repartitionByRange(*keys)
+    dealt.sortWithinPartitions(*keys).select(by, "value").write.mode(mode).partitionBy(by).text(path)
+
+
 MAX_DATASET_VALUES = 20_000_000
 
 

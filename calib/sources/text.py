@@ -47,16 +47,16 @@ def _lines(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n")
 
 
-def _words(line: Column) -> Column:
+def words_of(line: Column) -> Column:
     return F.split(F.trim(line), r"\s+")
 
 
-def _number(word: Column) -> Column:
+def number_of(word: Column) -> Column:
     """A word as a number, or NULL; words such as NaN are no numbers."""
     return F.when(word.rlike("[0-9]"), word.try_cast("double"))
 
 
-def _field(head: Column, name: str) -> Column:
+def field(head: Column, name: str) -> Column:
     """The value of ``name=value`` in a header line; quotes around a value are taken off."""
     pair = r'([^\s="]+)=("[^"]*"|\S+)'
     keys = F.regexp_extract_all(head, F.lit(pair), F.lit(1))
@@ -90,40 +90,69 @@ def _nonempty(text: Column) -> Column:
 
 
 def _atom(line: Column) -> Column:
-    w = _words(line)
-    number = lambda i: F.try_element_at(w, F.lit(i)).cast("double")
-    bad = F.raise_error(F.concat(F.lit("invalid atom line: "), line)).cast("string")
+    """An atom line as a struct; ``bad`` if it has no symbol and three numbers."""
+    w = words_of(line)
+    number = lambda i: F.try_element_at(w, F.lit(i)).try_cast("double")
+    forced = F.size(w) >= 7
+    bad = number(2).isNull() | number(3).isNull() | number(4).isNull()
+    for k in (5, 6, 7):
+        bad = bad | (forced & number(k).isNull())
     return F.struct(
-        F.when(F.size(w) < 4, bad).otherwise(w[0]).alias("symbol"),
-        number(2).alias("x"), number(3).alias("y"), number(4).alias("z"),
-        *[F.when(F.size(w) >= 7, number(k)).alias(n) for k, n in ((5, "fx"), (6, "fy"), (7, "fz"))],
-        (F.size(w) >= 7).alias("has_force"))
+        w[0].alias("symbol"), number(2).alias("x"), number(3).alias("y"), number(4).alias("z"),
+        *[F.when(forced, number(k)).alias(n) for k, n in ((5, "fx"), (6, "fy"), (7, "fz"))],
+        forced.alias("has_force"), bad.alias("bad"), line.alias("line"))
+
+
+def frame_of_lines(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Frames from their ``lines``: (keys..., n, atoms, energy, lattice, pbc, source, issue).
+
+    One atom line without forces leaves the whole frame without forces.  A frame shorter
+    than its own count, with more lines that are not blank, with an atom line or a cell
+    that cannot be read has an ``issue`` and no atoms.
+    """
+    head = F.get("lines", F.lit(1))
+    cell = field(head, "Lattice")
+    lattice = F.transform(words_of(cell), lambda v: v.try_cast("double"))
+    found = rows.withColumns({
+        "n": F.trim(F.get("lines", F.lit(0))).try_cast("int"), "energy": number_of(field(head, "energy")),
+        "lattice": F.when(cell.isNotNull(), lattice), "pbc": field(head, "pbc"), "source": field(head, "source"),
+        "size": F.size("lines") - 2})
+    n = F.greatest("n", F.lit(0))
+    found = found.withColumns({
+        "raw": F.transform(F.slice("lines", 3, n), _atom),
+        "more": F.exists(F.slice("lines", n + 3, F.greatest(F.col("size") - n, F.lit(0))), lambda x: F.trim(x) != "")})
+    wrong = F.filter("raw", lambda a: a["bad"])
+    nine = (F.size("lattice") == 9) & F.forall("lattice", lambda v: v.isNotNull())
+    issue = (F.when(F.col("n").isNull(), "no atom count")
+             .when(F.col("size") < F.col("n"), F.concat_ws(" ", F.greatest("size", F.lit(0)), F.lit("of"), "n",
+                                                            F.lit("atom lines")))
+             .when(F.size(wrong) > 0, F.concat(F.lit("invalid atom line: "), F.get(wrong, F.lit(0))["line"]))
+             .when(F.col("more"), F.concat(F.lit("lines after the last of "), "n", F.lit(" atoms")))
+             .when(F.col("lattice").isNotNull() & ~nine, "a Lattice field needs 9 values"))
+    found = found.withColumns({"issue": issue, "forced": F.forall("raw", lambda a: a["has_force"])})
+    force = lambda a, k: F.when(F.col("forced"), a[k]).alias(k)
+    atoms = F.transform("raw", lambda a: F.struct(
+        a["symbol"].alias("symbol"), a["x"].alias("x"), a["y"].alias("y"), a["z"].alias("z"),
+        force(a, "fx"), force(a, "fy"), force(a, "fz")))
+    return found.select(*keys, "n", F.when(F.col("issue").isNull(), atoms).alias("atoms"), "energy", "lattice",
+                        "pbc", "source", "issue")
+
+
+def _or_raise(column: str, *prefix: str) -> Column:
+    """``column``, or an error where its row has an issue."""
+    text = F.concat(*[F.col(p) for p in prefix], F.lit(": ") if prefix else F.lit(""), F.col("issue"))
+    return F.when(F.col("issue").isNull(), F.col(column)).otherwise(F.raise_error(text))
 
 
 def extxyz_frames(files: DataFrame) -> DataFrame:
     """First frame of each file: path, n, atoms, energy, lattice, pbc, source.
 
-    One atom line without forces leaves the whole frame without forces.
+    A frame that cannot be read is an error; ``lines.trajectory_frames`` sets it aside.
     """
-    rows = files.select("path", _lines(F.col("value")).alias("lines")).withColumn(
-        "n", F.trim(F.get("lines", F.lit(0))).cast("int")).withColumn(
-        "head", F.get("lines", F.lit(1)))
-    head = F.col("head")
-    cell = _field(head, "Lattice")
-    lattice = F.transform(_words(cell), lambda v: v.cast("double"))
-    lattice = F.when(cell.isNotNull(), F.when(
-        F.size(lattice) != 9, F.raise_error(F.lit("a Lattice field needs 9 values")).cast(
-            "array<double>")).otherwise(lattice))
-    rows = rows.withColumn("raw", F.transform(F.slice("lines", 3, F.greatest("n", F.lit(0))), _atom))
-    forced = F.forall("raw", lambda a: a["has_force"])
-    force = lambda a, k: F.when(F.col("forced"), a[k]).alias(k)
-    return rows.withColumn("forced", forced).select(
-        "path", "n",
-        F.transform("raw", lambda a: F.struct(
-            a["symbol"].alias("symbol"), a["x"].alias("x"), a["y"].alias("y"), a["z"].alias("z"),
-            force(a, "fx"), force(a, "fy"), force(a, "fz"))).alias("atoms"),
-        _number(_field(head, "energy")).alias("energy"), lattice.alias("lattice"),
-        _field(head, "pbc").alias("pbc"), _field(head, "source").alias("source"))
+    rows = files.select("path", _lines(F.col("value")).alias("lines"))
+    n = F.greatest(F.coalesce(F.trim(F.get("lines", F.lit(0))).try_cast("int"), F.lit(0)), F.lit(0))
+    frames = frame_of_lines(rows.withColumn("lines", F.slice("lines", 1, n + 2)), ["path"])
+    return frames.withColumn("atoms", _or_raise("atoms")).drop("issue")
 
 
 def frame_atoms(frames: DataFrame) -> DataFrame:
@@ -144,9 +173,10 @@ def last_frame(files: DataFrame) -> DataFrame:
     tail = F.when(short, F.raise_error(F.concat(F.col("path"), F.lit(
         " does not contain a complete frame"))).cast("array<string>")).otherwise(
         F.slice("lines", F.size("lines") - F.col("n") + 1, F.col("n")))
-    atom = lambda line: F.struct(*[
-        _atom(line)[k].alias(k) for k in ("symbol", "x", "y", "z")])
-    return rows.select("path", "n", F.transform(tail, atom).alias("atoms"))
+    rows = rows.select("path", "n", F.transform(tail, _atom).alias("raw")).withColumn("issue", F.get(F.transform(
+        F.filter("raw", lambda a: a["bad"]), lambda a: F.concat(F.lit("invalid atom line: "), a["line"])), F.lit(0)))
+    atoms = F.transform("raw", lambda a: F.struct(*[a[k].alias(k) for k in ("symbol", "x", "y", "z")]))
+    return rows.withColumn("atoms", atoms).select("path", "n", _or_raise("atoms", "path").alias("atoms"))
 
 
 def extxyz_comment(files: DataFrame) -> DataFrame:
@@ -159,36 +189,42 @@ def energies(files: DataFrame) -> DataFrame:
     """(path, energy_ev): first total energy of each log; NULL when there is none."""
     totals = F.filter(_lines(F.col("value")), lambda x: F.trim(x).startswith("ENERGY|")
                       & F.contains(x, F.lit("Total FORCE_EVAL")))
-    found = F.filter(F.transform(totals, lambda x: _number(F.element_at(_words(x), -1))),
+    found = F.filter(F.transform(totals, lambda x: number_of(F.element_at(words_of(x), -1))),
                      lambda v: v.isNotNull())
     return files.select("path", (F.get(found, F.lit(0)) * F.lit(HARTREE_TO_EV)).alias("energy_ev"))
 
 
+def force_row(words: Column, usable: Column, at: int) -> Column:
+    """The forces of a line of six ``words``, its components from place ``at``; NULL if it has none."""
+    parts = [number_of(F.get(words, F.lit(at + k))) for k in range(3)]
+    ok = (F.size(words) == 6) & usable
+    for p in parts:
+        ok = ok & p.isNotNull()
+    return F.when(ok, F.struct(*[(p * F.lit(FORCE_UNIT)).alias(f"f{n}") for p, n in zip(parts, "xyz")]))
+
+
 def _force_rows(lines: Column, usable: Callable[[Column], Column], at: int) -> Column:
-    """Forces from the lines of six words that are ``usable``, components from place ``at``."""
+    """The forces of all lines that have them."""
     def row(line: Column) -> Column:
-        w = _words(line)
-        return F.when((F.size(w) == 6) & usable(w), F.struct(*[
-            (_number(F.get(w, F.lit(at + k))) * F.lit(FORCE_UNIT)).alias(f"f{n}")
-            for k, n in enumerate("xyz")]))
+        w = words_of(line)
+        return force_row(w, usable(w), at)
 
-    return F.filter(F.transform(lines, row), lambda f: f["fx"].isNotNull() & f["fy"].isNotNull()
-                    & f["fz"].isNotNull())
+    return F.filter(F.transform(lines, row), lambda f: f.isNotNull())
 
 
-def _whole(word: Column) -> Column:
+def whole_number(word: Column) -> Column:
     return word.rlike("^[0-9]+$")
 
 
 def force_arrays(files: DataFrame) -> DataFrame:
     """(path, forces ARRAY<STRUCT>): piped rows, else the last non-empty force table."""
-    piped = _force_rows(_lines(F.col("value")), lambda w: (F.get(w, F.lit(0)) == "FORCES|") & _whole(w[1])
-                        & _number(w[5]).isNotNull(), 2)
+    piped = _force_rows(_lines(F.col("value")), lambda w: (F.get(w, F.lit(0)) == "FORCES|") & whole_number(w[1])
+                        & number_of(w[5]).isNotNull(), 2)
     blocks = F.split("value", r"(?m)^\s*ATOMIC FORCES\b")
     blocks = F.transform(F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0))),
                          lambda b: F.split(b, r"(?m)^\s*SUM OF ATOMIC FORCES\b")[0])
     tables = F.filter(F.transform(blocks, lambda b: _force_rows(
-        _lines(b), lambda w: _whole(w[0]) & _whole(w[1]), 3)), lambda t: F.size(t) > 0)
+        _lines(b), lambda w: whole_number(w[0]) & whole_number(w[1]), 3)), lambda t: F.size(t) > 0)
     rows = files.select("path", piped.alias("piped"), tables.alias("tables"))
     best = F.when(F.size("piped") > 0, F.col("piped")).otherwise(
         F.try_element_at("tables", F.lit(-1)))
@@ -250,7 +286,7 @@ def atom_energies(snapshots: DataFrame, logs: DataFrame) -> DataFrame:
     ``snapshots`` and ``logs``: (run, value); an unknown element or a log without an
     energy is an error.
     """
-    symbol = F.lower(_words(F.get(_lines(F.col("value")), F.lit(2)))[0])
+    symbol = F.lower(words_of(F.get(_lines(F.col("value")), F.lit(2)))[0])
     runs = snapshots.select("run", symbol.alias("symbol"))
     e = energies(logs.select(F.col("run").alias("path"), "value")).withColumnRenamed("path", "run")
     rows = attach(runs.join(e, "run"), atomic_numbers(snapshots.sparkSession), ["symbol"])
