@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from calib.operators import curves, ordering, posterior, surrogate
+from calib.operators import curves, ordering, posterior, surrogate, tiles
 from calib.plans.base import LINE_KEY, query, r, rounded, table
 from calib.plans.design_queries import ID
 
@@ -124,6 +124,16 @@ def g3_weight_solve(spark, sf_dir):
     return rounded(surrogate.weight_table(fitted(spark, sf_dir)))
 
 
+@query("g3_tiled_weights", f"""
+WITH RECURSIVE {TRAINING}, {_gp_sql()}
+SELECT qoi, member, train_id, pos, {r('alpha')} AS alpha FROM weights""")
+def g3_tiled_weights(spark, sf_dir):
+    """The same weights from tiles of eight training rows."""
+    train_x, train_y = training(spark, sf_dir)
+    mean = curves.mean_outputs(train_y).select("qoi", F.array("value").alias("mean"))
+    return rounded(tiles.tile_weights(train_x, train_y, hyper(spark), mean, 8))
+
+
 def customer_queries(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.array(
         F.col("c_acctbal") / 5000 - 1, F.pmod("c_custkey", F.lit(17)) / 8.0 - 1).alias("params"))
