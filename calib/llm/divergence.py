@@ -1,11 +1,17 @@
 """How far the sources of each language differ in their words.
 
 Duplicate texts are collapsed first: identical texts of a language are one row with a list of
-(source, copies), each is split into terms once, and its counts and document frequencies are
-added with those multiplicities.  Every language keeps the terms of ``least`` documents or
+(source, copies), split into terms once for all copies, and its counts and document frequencies
+are added with those multiplicities.  Every language keeps the terms of ``least`` documents or
 more.  A group is a (lang, source); its share of a term is p = 1 + floor(10^9 (count + 2) /
 (N + 2 V)), and two shares differ by floor((p - q)^2 / (p + q)).
 
+Two bitmaps of fixed size spare shuffles and decide nothing.  The first marks the hashes of
+texts that occur twice or more: a text it does not hold has no copy and is read where it is;
+the others are shuffled and collapsed.  The second marks the hashes of terms whose documents,
+counted by hash, are ``least`` or more: other terms are kept nowhere and not counted by source.
+Where a bitmap fills up, more rows are shuffled, and the result is the same.
+
 Pairs of sources are evaluated sparsely.  Terms that neither source has differ by one value
 per pair, so a task only visits the terms that one of them has: sources are dealt to blocks of
 about ``SIDE``, terms to parts of about ``PART``, and a task takes two blocks and one part.  All
@@ -19,9 +25,12 @@ an id are documents of their own.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,42 +49,184 @@ PART = 4096
 #: Entries gathered before they are added up, and sums held before they are sent.
 GATHERED = 1 << 20
 HELD = 1 << 20
+#: Bits of the two bitmaps, 8 MB each.
+FILTER_BITS = 1 << 26
+RANGE = 1 << 16
 FOLDED = folded(NOT_ALPHA)
+READ = ["lang", "text", "sources", "bit"]
 
 
-# -- counts ------------------------------------------------------------------
+# -- bitmaps -----------------------------------------------------------------
+
+def bitmap(bits: DataFrame) -> np.ndarray:
+    """The set bits (``bit``, below FILTER_BITS) as words of 64; at most FILTER_BITS / 64 rows are fetched."""
+    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def is_set(words: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return (words[bits >> 6] >> (bits & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
 
-def collapsed(docs: DataFrame, listed: int = LISTED) -> DataFrame:
-    """(lang, text, sources): each distinct text of a language, with (source, copies).
+# -- texts -------------------------------------------------------------------
 
-    Copies are added up before texts move, so a text with very many copies is shuffled at
-    most once by each task.  A text of more than about ``listed`` sources has several rows.
+def marked(docs: DataFrame) -> DataFrame:
+    """(lang, source, text, mark, bit): a 128-bit hash of each text, and its bit with the language."""
+    return docs.withColumn("mark", F.unhex(F.md5("text"))).withColumn(
+        "bit", F.pmod(F.xxhash64("lang", "mark"), F.lit(FILTER_BITS)).cast("long"))
+
+
+def collapsed(docs: DataFrame, listed: int = LISTED) -> tuple[DataFrame, Broadcast]:
+    """(lang, text, sources, bit) of all texts, and the bitmap of repeated ones.
+
+    A row with a bit is a text where it lies: it counts only if the bitmap does not hold it.
+    A row without is a distinct text with its (source, copies); copies are added up before
+    texts move, so a text with very many copies is sent at most once by each task.  A text of
+    more than about ``listed`` sources has several rows.
     """
-    marked = docs.withColumn("mark", F.unhex(F.md5("text")))
-    copies = marked.groupBy("lang", "mark", "source").agg(F.count(F.lit(1)).alias("copies"))
-    most = docs.groupBy("lang").agg(F.approx_count_distinct("source").alias("n")).agg(F.max("n")).first()[0]
-    lists = copies.groupBy(
+    rows = marked(docs)
+    copies = materialize(rows.groupBy("lang", "mark", "bit", "source").agg(
+        F.count(F.lit(1)).alias("copies")), "copies")
+    repeated = bitmap(copies.groupBy("lang", "mark", "bit").agg(F.sum("copies").alias("n")).where(
+        "n > 1").select("bit"))
+    held = docs.sparkSession.sparkContext.broadcast(repeated)
+
+    def again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(is_set(held.value, batch.column("bit").to_numpy())))
+
+    schema = "lang string, mark binary, text string, bit long"
+    texts = rows.select("lang", "mark", "text", "bit").mapInArrow(again, schema).groupBy(
+        "lang", "mark").agg(F.first("text").alias("text"))
+    most = copies.groupBy("lang").agg(F.approx_count_distinct("source").alias("n")).agg(F.max("n")).first()[0]
+    lists = copies.select("lang", "mark", "bit", "source", "copies").mapInArrow(
+        again, "lang string, mark binary, bit long, source string, copies long").groupBy(
         "lang", "mark", F.pmod(F.xxhash64("source"), F.lit(-(-(most or 1) // listed))).alias("part")).agg(
         F.collect_list(F.struct("source", "copies")).alias("sources"))
-    texts = marked.groupBy("lang", "mark").agg(F.first("text").alias("text"))
-    return texts.join(lists, ["lang", "mark"]).select("lang", "text", "sources")
+    distinct = materialize(texts.join(lists, ["lang", "mark"]).select(
+        "lang", "text", "sources", F.lit(None).cast("long").alias("bit")), "distinct")
+    one = F.array(F.struct("source", F.lit(1).cast("long").alias("copies")))
+    return rows.select("lang", "text", one.alias("sources"), "bit").unionByName(distinct), held
+
+
+def read_once(batches: Iterable[pa.RecordBatch], held: Broadcast) -> Iterator[tuple[str, bytes, list[dict]]]:
+    """(lang, text, sources) of the rows of ``collapsed`` that count."""
+    for batch in slices(batches):
+        bits = batch.column("bit")
+        lies = bits.is_valid().to_numpy(zero_copy_only=False)
+        counts = ~lies | ~is_set(held.value, bits.fill_null(0).to_numpy())
+        batch = batch.filter(pa.array(counts))
+        yield from zip(batch.column("lang").to_pylist(), as_bytes(batch.column("text")),
+                       batch.column("sources").to_pylist())
+
 
+def term_codes(text: bytes, code: dict[bytes, int]) -> np.ndarray:
+    """The code of every term of a text; new terms get the next one."""
+    ids = [np.fromiter((code.setdefault(t, len(code)) for t in piece.translate(FOLDED).split()), np.int64)
+           for piece in chunks(text, NOT_ALPHA)]
+    return np.concatenate(ids) if ids else np.zeros(0, np.int64)
+
+
+def term_bits(lang: str, terms: Iterable[bytes], size: int) -> np.ndarray:
+    """The bit of each term of a language, in a bitmap of ``size`` bits."""
+    seed = xxhash.xxh32_intdigest(lang.encode())
+    return np.fromiter((xxhash.xxh3_64_intdigest(t, seed) % size for t in terms), np.int64)
+
+
+def frequent_terms(texts: DataFrame, held: Broadcast, least: int) -> np.ndarray:
+    """The bitmap of the terms that may have ``least`` documents, by hash with the language.
+
+    A task sends its counts, no higher than ``least``, as three bytes each.
+    """
+    top, size, width = min(least, 255), FILTER_BITS, RANGE
+
+    def packed(counts: dict[str, list[np.ndarray]], codes: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+        bits, docs = [], []
+        for lang, parts in counts.items():
+            code, times = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            bits.append(term_bits(lang, codes[lang], size)[code])
+            docs.append(np.minimum(np.bincount(times, np.concatenate([p[1] for p in parts])), top))
+        if not bits:
+            return
+        bit, at = np.unique(np.concatenate(bits), return_inverse=True)
+        docs = np.minimum(np.bincount(at, np.concatenate(docs)), top).astype(np.uint8)
+        edges = np.searchsorted(bit, np.arange(0, size + width, width))
+        used = np.flatnonzero(edges[1:] > edges[:-1])
+        place = (bit % width).astype("<u2")
+        yield pa.RecordBatch.from_arrays([
+            pa.array(used.astype(np.int32)),
+            pa.array([place[edges[r]:edges[r + 1]].tobytes() for r in used], pa.binary()),
+            pa.array([docs[edges[r]:edges[r + 1]].tobytes() for r in used], pa.binary())], ["range", "place", "docs"])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, list[np.ndarray]] = {}
+        codes: dict[str, dict[bytes, int]] = {}
+        gathered = 0
+        for lang, text, sources in read_once(batches, held):
+            code = codes.setdefault(lang, {})
+            term = np.unique(term_codes(text, code))
+            if not len(term):
+                continue
+            copies = min(sum(s["copies"] for s in sources), top)
+            counts.setdefault(lang, []).append((term, np.full(len(term), copies)))
+            gathered += len(term)
+            if gathered > 2 * GATHERED:
+                yield from packed(counts, codes)
+                counts, codes, gathered = {}, {}, 0
+        yield from packed(counts, codes)
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(width, np.int64)
+
+        def found() -> pa.RecordBatch:
+            bits = np.flatnonzero(total >= top) + now * width
+            return pa.RecordBatch.from_arrays([pa.array(bits.astype(np.int64))], ["bit"])
+
+        for batch in batches:
+            for r, place, docs in zip(*[batch.column(c).to_pylist() for c in ("range", "place", "docs")]):
+                if r != now:
+                    if now is not None:
+                        yield found()
+                    now, total = r, np.zeros(width, np.int64)
+                total[np.frombuffer(place, "<u2")] += np.frombuffer(docs, np.uint8)
+        if now is not None:
+            yield found()
+
+    parts = texts.select(*READ).mapInArrow(count, "range int, place binary, docs binary")
+    return bitmap(parts.repartition("range").sortWithinPartitions("range").mapInArrow(add, "bit long"))
+
+
+# -- counts ------------------------------------------------------------------
 
 class Sums:
     """Counts and document frequencies by (group, term), added up in sorted arrays."""
 
-    def __init__(self) -> None:
+    def __init__(self, wanted: np.ndarray) -> None:
+        self.wanted = wanted
         self.groups: dict[tuple[str, str], int] = {}
-        self.terms: dict[bytes, int] = {}
+        self.codes: dict[str, dict[bytes, int]] = {}
+        self.keep: dict[str, np.ndarray] = {}
         self.keys, self.counts, self.docs = (np.zeros(0, np.int64) for _ in range(3))
         self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.gathered = 0
+        self.gathered = self.known = 0
+
+    def wanted_terms(self, lang: str, code: dict[bytes, int]) -> np.ndarray:
+        """Which codes of a language may be kept terms."""
+        keep = self.keep.setdefault(lang, np.zeros(0, bool))
+        if len(code) > len(keep):
+            new = islice(code, len(keep), None)
+            keep = self.keep[lang] = np.concatenate([keep, is_set(self.wanted, term_bits(lang, new, 64 * len(self.wanted)))])
+        return keep
 
     def add(self, lang: str, text: bytes, sources: list[dict]) -> None:
-        code = self.terms
-        ids = [np.fromiter((code.setdefault(t, len(code)) for t in piece.translate(FOLDED).split()), np.int64)
-               for piece in chunks(text, NOT_ALPHA)]
-        term, times = np.unique(np.concatenate(ids), return_counts=True) if ids else (np.zeros(0, np.int64),) * 2
+        code = self.codes.setdefault(lang, {})
+        before = len(code)
+        term = term_codes(text, code)
+        self.known += len(code) - before
+        term, times = np.unique(term[self.wanted_terms(lang, code)[term]], return_counts=True)
         if not len(term):
             return
         for s in sources:
@@ -96,31 +247,36 @@ class Sums:
             self.keys, self.counts, self.docs = keys[starts], np.add.reduceat(counts, starts), np.add.reduceat(
                 docs, starts)
 
-    def batch(self) -> pa.RecordBatch:
+    def full(self) -> bool:
+        return len(self.keys) > HELD or self.known > HELD
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
         self.settle()
-        names = pa.array([t.decode() for t in self.terms], pa.string())
-        langs, sources = (pa.array([g[k] for g in self.groups], pa.string()) for k in (0, 1))
-        group, term = pa.array(self.keys >> 32), pa.array(self.keys & 0xFFFFFFFF)
-        return pa.RecordBatch.from_arrays(
-            [langs.take(group), sources.take(group), names.take(term), pa.array(self.counts), pa.array(self.docs)],
-            ["lang", "source", "term", "n", "docs"])
+        names = {lang: list(code) for lang, code in self.codes.items()}
+        edges = np.searchsorted(self.keys >> 32, np.arange(len(self.groups) + 1))
+        for (lang, source), g in self.groups.items():
+            mine = slice(edges[g], edges[g + 1])
+            terms = [names[lang][t].decode() for t in (self.keys[mine] & 0xFFFFFFFF).tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()),
+                 pa.array(terms, pa.string()), pa.array(self.counts[mine]), pa.array(self.docs[mine])],
+                ["lang", "source", "term", "n", "docs"])
 
 
-def term_counts(texts: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents of each term, of any row ``collapsed`` gives."""
+def term_counts(texts: DataFrame, held: Broadcast, wanted: np.ndarray) -> DataFrame:
+    """(lang, source, term, n, docs): occurrences and documents of each wanted term."""
+    sent = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums()
-        for batch in slices(batches):
-            for lang, text, sources in zip(batch.column("lang").to_pylist(), as_bytes(batch.column("text")),
-                                           batch.column("sources").to_pylist()):
-                sums.add(lang, text, sources)
-                if len(sums.keys) > HELD or len(sums.terms) > HELD:
-                    yield sums.batch()
-                    sums = Sums()
-        yield sums.batch()
-
-    parts = texts.mapInArrow(emit, "lang string, source string, term string, n long, docs long")
+        sums = Sums(sent.value)
+        for lang, text, sources in read_once(batches, held):
+            sums.add(lang, text, sources)
+            if sums.full():
+                yield from sums.batches()
+                sums = Sums(sent.value)
+        yield from sums.batches()
+
+    parts = texts.select(*READ).mapInArrow(emit, "lang string, source string, term string, n long, docs long")
     return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -148,11 +304,11 @@ def pair_sums(counts: DataFrame, groups: DataFrame, side: int = SIDE, part: int
         F.greatest(F.ceil(F.max("v") / part).cast("int"), F.lit(1)).alias("parts"))
     dealt = groups.join(blocks, "lang").select(
         "lang", "gid", "p0", "blocks", "parts", F.pmod(F.xxhash64("gid"), F.col("blocks")).cast("int").alias("own"))
-    # Each group is in part 0 without a term, so that groups without terms meet too.
+    # Each group is in every part without a term, so that groups without terms there meet too.
     rows = counts.join(dealt, ["lang", "gid"]).select(
         "lang", "gid", "p0", "blocks", "own", F.pmod(F.xxhash64("term"), F.col("parts")).cast("int").alias("part"),
         "term", "p").unionByName(dealt.select(
-            "lang", "gid", "p0", "blocks", "own", F.lit(0).alias("part"), F.lit(None).cast("string").alias("term"),
+            "lang", "gid", "p0", "blocks", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("string").alias("term"),
             F.lit(None).cast("long").alias("p")))
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "lang", "part", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
@@ -170,7 +326,7 @@ def pair_sums(counts: DataFrame, groups: DataFrame, side: int = SIDE, part: int
         order = np.argsort(group, kind="stable")
         term, group, p = term[order], group[order], p[order]
         edges = np.searchsorted(group, np.arange(len(ids) + 1))
-        two = bool(second.any())
+        two = table.column("lo")[0] != table.column("hi")[0]
         right = np.flatnonzero(second) if two else np.arange(len(ids))
         column = np.full(len(ids), -1)
         column[right] = np.arange(len(right))
@@ -206,7 +362,8 @@ def source_divergence(docs: DataFrame, least: int = LEAST, top: int = TOP_TERMS,
     bounded_batches(docs.sparkSession)
     docs = docs.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n)
                          for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
-    sums = materialize(term_counts(collapsed(docs)), "sums")
+    texts, held = collapsed(docs)
+    sums = materialize(term_counts(texts, held, frequent_terms(texts, held, least)), "sums")
     kept = materialize(sums.groupBy("lang", "term").agg(
         F.sum("docs").alias("docs"), F.sum("n").alias("total")).where(F.col("docs") >= least), "kept")
     counts = materialize(sums.where("n > 0").join(kept.select("lang", "term", "total"), ["lang", "term"]).select(

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -265,9 +266,43 @@ def test_divergence_of_copies(spark, empty, monkeypatch):
     assert divergence.source_divergence(empty).count() == 0
 
 
-def test_texts_are_collapsed(spark):
+def test_texts_are_collapsed(spark, monkeypatch):
     rows = [("same", "en", f"s{k % 2}") for k in range(50)] + [("same", "de", "s0"), ("other", "en", "s0")]
     docs = spark.createDataFrame(rows, "text string, lang string, source string")
-    got = {(r["lang"], r["text"]): sorted((s["source"], s["copies"]) for s in r["sources"])
-           for r in divergence.collapsed(docs).collect()}
-    assert got == {("en", "same"): [("s0", 25), ("s1", 25)], ("de", "same"): [("s0", 1)], ("en", "other"): [("s0", 1)]}
+
+    def once():
+        texts, held = divergence.collapsed(docs)
+        found = texts.mapInArrow(lambda it: (pa.RecordBatch.from_pydict(
+            {"lang": [lang], "text": [text.decode()], "s": [str(sorted((s["source"], s["copies"]) for s in sources))]})
+            for lang, text, sources in divergence.read_once(it, held)), "lang string, text string, s string")
+        return texts, collected(found)
+
+    want = order([("en", "same", "[('s0', 25), ('s1', 25)]"), ("de", "same", "[('s0', 1)]"), ("en", "other", "[('s0', 1)]")])
+    texts, got = once()
+    assert got == want
+    assert texts.where("bit IS NULL").count() == 1  # only the repeated text was shuffled
+    monkeypatch.setattr(divergence, "FILTER_BITS", 64)
+    monkeypatch.setattr(divergence, "RANGE", 16)
+    docs = spark.createDataFrame(rows + [(f"t{k}", "en", "s0") for k in range(300)] * 2, docs.schema)
+    texts, got = once()
+    assert len(got) == len(want) + 300  # a full bitmap sends all texts, and loses none
+
+
+def test_divergence_with_full_bitmaps(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(" ".join(words(rng, 12)), rng.choice(["en", "de"]), f"s{rng.randrange(4)}") for _ in range(150)] * 2
+    docs = spark.createDataFrame(rows, "text string, lang string, source string").repartition(5)
+    want = order(brute_divergence(rows, 3, 10))
+    assert collected(divergence.source_divergence(docs, 3)) == want
+    monkeypatch.setattr(divergence, "FILTER_BITS", 64)
+    monkeypatch.setattr(divergence, "RANGE", 16)
+    assert collected(divergence.source_divergence(docs, 3)) == want
+
+
+def test_rare_terms_are_left_out_early(spark):
+    docs = spark.createDataFrame([(f"common rare{'x' * k}", "en", "s") for k in range(20)],
+                                 "text string, lang string, source string")
+    texts, held = divergence.collapsed(docs)
+    wanted = divergence.frequent_terms(texts, held, 10)
+    assert int(np.bitwise_count(wanted).sum()) == 1
+    assert [r["term"] for r in divergence.term_counts(texts, held, wanted).collect()] == ["common"]
