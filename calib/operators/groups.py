@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calib.operators.ordering import attach
+from calib.session import materialize
 
 
 def parse_labels(labels: DataFrame, label: str = "label") -> DataFrame:
@@ -179,6 +180,62 @@ def hierarchy_issues(relations: DataFrame, constraints: DataFrame, terms: DataFr
     return rows.select("first", "second", issue.alias("issue")).where(F.col("issue").isNotNull())
 
 
+def _consistent(relations: DataFrame) -> DataFrame:
+    """(child, parent) of the pairs that are nested the same way in all their systems."""
+    kinds = relations.groupBy("first", "second").agg(F.collect_set("relation").alias("kinds")).where(
+        "size(kinds) = 1").withColumn("kind", F.get("kinds", F.lit(0)))
+    first, second = F.col("first"), F.col("second")
+    return kinds.where("kind IN ('first-child', 'second-child')").select(
+        F.when(F.col("kind") == "first-child", first).otherwise(second).alias("child"),
+        F.when(F.col("kind") == "first-child", second).otherwise(first).alias("parent"))
+
+
+def containment(relations: DataFrame) -> DataFrame:
+    """(child, parent): all pairs in which one selection lies inside another, also through others.
+
+    Selections that share no system are related by what lies between them.  Each round joins
+    the pairs with themselves, so a chain of n selections takes about log n rounds.
+    """
+    reach = materialize(_consistent(relations), "inside")
+    size = reach.count()
+    while True:
+        hop = reach.select("child", F.col("parent").alias("mid")).join(
+            reach.select(F.col("child").alias("mid"), "parent"), "mid").select("child", "parent")
+        reach = materialize(reach.unionByName(hop).distinct(), "inside")
+        now = reach.count()
+        if now == size:
+            return reach
+        size = now
+
+
+def hierarchy(relations: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+    """(cid, parent, depth): each selection's direct parent and its number of ancestors.
+
+    A direct parent has no other selection between; a selection inside none has a NULL parent.
+    """
+    reach = containment(relations) if reach is None else reach
+    between = reach.select("child", F.col("parent").alias("mid")).join(
+        reach.select(F.col("child").alias("mid"), "parent"), "mid").where(
+        "mid <> child AND mid <> parent").select("child", "parent").distinct()
+    direct = reach.where("child <> parent").join(between, ["child", "parent"], "left_anti")
+    depth = reach.where("child <> parent").groupBy("child").agg(F.count(F.lit(1)).alias("depth"))
+    all_ = relations.select(F.col("first").alias("child")).union(relations.select("second")).distinct()
+    rows = all_.join(direct, "child", "left").join(depth, "child", "left")
+    return rows.select(F.col("child").alias("cid"), "parent", F.coalesce("depth", F.lit(0)).alias("depth"))
+
+
+def hierarchy_contradictions(relations: DataFrame, reach: DataFrame | None = None) -> DataFrame:
+    """(child, parent, relation): selections that lie inside others by way of third ones, while
+    some system has them in another relation; ``inside itself`` closes a circle of systems."""
+    reach = containment(relations) if reach is None else reach
+    low, high = F.least("child", "parent"), F.greatest("child", "parent")
+    met = reach.where("child <> parent").withColumns({"first": low, "second": high}).join(
+        relations.select("first", "second", "relation").distinct(), ["first", "second"])
+    want = F.when(F.col("child") == F.col("first"), "first-child").otherwise("second-child")
+    return met.where(F.col("relation") != want).select("child", "parent", "relation").unionByName(
+        reach.where("child = parent").withColumn("relation", F.lit("inside itself")))
+
+
 def set_differences(left: DataFrame, right: DataFrame, columns: Sequence[str],
                     keys: Sequence[str] = (), min_mass: float = 0.5) -> DataFrame:
     """(keys, column, value, side): distinct values found on one side only, dummies excluded."""

@@ -619,6 +619,77 @@ def j12_overlap_classes(spark, sf_dir):
     return groups.overlap_classes(rows.unionByName(inner), ["system"])
 
 
+# Selections k of a line, inside it: 10 + k every third part, 20 + k every sixth; 30 + k is inside
+# 10 + k in even systems and apart from it in odd ones; 40 + k shares no system with line k.
+NESTED = """
+l AS (SELECT DISTINCT l_suppkey % 20 AS system, l_linenumber AS k, l_partkey AS atom FROM lineitem),
+m AS (SELECT system, k AS cid, atom FROM l WHERE system < 15
+      UNION ALL SELECT system, 10 + k, atom FROM l WHERE atom % 3 = 0
+      UNION ALL SELECT system, 20 + k, atom FROM l WHERE atom % 6 = 0
+      UNION ALL SELECT system, 30 + k, atom FROM l WHERE CASE WHEN system % 2 = 0 THEN atom % 9 = 0 ELSE atom % 3 = 1 END
+      UNION ALL SELECT system, 40 + k, atom FROM l WHERE system >= 15 AND atom % 12 = 0),
+n AS (SELECT system, cid, count(*) AS n FROM m GROUP BY ALL),
+s AS (SELECT a.system, a.cid AS first, b.cid AS second, count(*) AS c FROM m a JOIN m b
+      ON a.system = b.system AND a.atom = b.atom AND a.cid < b.cid GROUP BY ALL),
+rel AS (SELECT a.cid AS first, b.cid AS second,
+               CASE WHEN coalesce(c, 0) = 0 THEN 'disjoint' WHEN c = a.n AND c = b.n THEN 'equal' WHEN c = a.n THEN 'first-child'
+                    WHEN c = b.n THEN 'second-child' ELSE 'partial' END AS relation
+        FROM n a JOIN n b ON a.system = b.system AND a.cid < b.cid
+        LEFT JOIN s ON s.system = a.system AND s.first = a.cid AND s.second = b.cid),
+kinds AS (SELECT first, second, min(relation) AS kind, min(relation) = max(relation) AS one FROM rel GROUP BY ALL),
+inside AS (SELECT CASE kind WHEN 'first-child' THEN first ELSE second END AS child,
+                  CASE kind WHEN 'first-child' THEN second ELSE first END AS parent
+           FROM kinds WHERE one AND kind IN ('first-child', 'second-child')),
+reach(child, parent) AS (SELECT child, parent FROM inside
+                         UNION SELECT reach.child, inside.parent FROM reach JOIN inside ON inside.child = reach.parent)"""
+
+
+def nested_selections(spark, sf_dir):
+    rows = selections(spark, sf_dir)
+    atom, system, k = F.col("atom_id"), F.col("system"), F.col("cid")
+    parts = [(0, system < 15), (10, atom % 3 == 0), (20, atom % 6 == 0),
+             (30, F.when(system % 2 == 0, atom % 9 == 0).otherwise(atom % 3 == 1)), (40, (system >= 15) & (atom % 12 == 0))]
+    inside = [F.when(keep, k + add) for add, keep in parts]
+    cids = F.filter(F.array(*inside), lambda c: c.isNotNull())
+    return materialize(groups.overlap_classes(rows.select("system", "atom_id", F.explode(cids).alias("cid")), ["system"]), "nested")
+
+
+@query("j12_hierarchy", f"""
+WITH RECURSIVE {NESTED},
+direct AS (SELECT child, parent FROM reach r WHERE child <> parent AND NOT EXISTS (
+  SELECT 1 FROM reach a JOIN reach b ON b.child = a.parent WHERE a.child = r.child AND b.parent = r.parent
+  AND a.parent <> r.child AND a.parent <> r.parent)),
+d AS (SELECT child, count(*) AS depth FROM reach WHERE child <> parent GROUP BY child)
+SELECT cid, parent, coalesce(depth, 0) AS depth FROM (SELECT first AS cid FROM rel UNION SELECT second FROM rel)
+LEFT JOIN direct ON direct.child = cid LEFT JOIN d ON d.child = cid""")
+def j12_hierarchy(spark, sf_dir):
+    return groups.hierarchy(nested_selections(spark, sf_dir))
+
+
+@query("j12_contradictions", f"""
+WITH RECURSIVE {NESTED}
+SELECT child, parent, relation FROM reach JOIN (SELECT DISTINCT * FROM rel) r
+  ON r.first = least(child, parent) AND r.second = greatest(child, parent)
+WHERE child <> parent AND relation <> CASE WHEN child < parent THEN 'first-child' ELSE 'second-child' END
+UNION ALL SELECT child, parent, 'inside itself' FROM reach WHERE child = parent
+UNION ALL SELECT first, second, CASE WHEN bool_or(relation = 'equal') THEN 'selections are equal'
+    WHEN bool_or(relation = 'partial') THEN 'selections partially overlap' ELSE 'relation changes between systems' END
+  FROM rel GROUP BY first, second
+  HAVING bool_or(relation IN ('equal', 'partial')) OR min(relation) <> max(relation)
+UNION ALL SELECT first, second, 'implicit parameter of the parent in its child' FROM kinds
+  WHERE one AND kind = 'second-child' AND second = first + 10 AND second BETWEEN 21 AND 29 AND second % 2 = 0""")
+def j12_contradictions(spark, sf_dir):
+    """Contradictions through third selections, and what is wrong between two of them."""
+    relations = nested_selections(spark, sf_dir)
+    cids = relations.select(F.col("first").alias("cid")).union(relations.select("second")).distinct()
+    own = cids.select("cid", F.concat(F.lit("q"), s("cid")).alias("implicit"))
+    shared = cids.where("cid BETWEEN 21 AND 29 AND cid % 2 = 0").select(
+        "cid", F.concat(F.lit("q"), s(F.col("cid") - 10)).alias("param"))
+    pairs = groups.hierarchy_issues(relations, own, own.withColumnRenamed("implicit", "param").unionByName(shared))
+    return groups.hierarchy_contradictions(relations).unionByName(pairs.select(
+        F.col("first").alias("child"), F.col("second").alias("parent"), F.col("issue").alias("relation")))
+
+
 @query("u4_controlled_atoms", """
 SELECT CASE WHEN p_size % 2 = 0 THEN 'controlled' ELSE 'free' END AS side, count(*) AS n, count(DISTINCT l_partkey) AS n_atoms
 FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL""")

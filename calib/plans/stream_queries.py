@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from calib import registry
-from calib.plans.base import EVENT_DRAWS, atoms, event_draws, query, r, rounded
+from calib.operators.ordering import attach
+from calib.plans.base import EVENT_DRAWS, SQL, atoms, event_draws, query, r, rounded, table
 from calib.plans.chain_queries import RANK_RHAT, _tau_ctes
-from calib.plans.collect_queries import JOB_COUNTS, STATE_OF, energy_logs
+from calib.plans.collect_queries import JOB_COUNTS, STATE_OF, STATES_SQL, energy_logs, job_events
 from calib.plans.curve_queries import BONDS, TRIPLES, _profile_ctes, _smooth_sql, bonds
-from calib.session import scratch_dir
+from calib.session import materialize, scratch_dir
 from calib.sources.text import HARTREE_TO_EV
-from calib.streaming import reports
+from calib.streaming import reports, state
 
 
 def event_stream(spark, sf_dir):
@@ -65,6 +66,37 @@ def r4_job_state_stream(spark, sf_dir):
     return reports.job_report(reports.drain(reports.latest_state_stream(events), "complete"))
 
 
+def in_order(spark, rows, closing=None):
+    """Rows (ts, ...) as three parquet files, one after another in time, and one of ``closing`` rows."""
+    path = f"{scratch_dir(spark)}/in-order-{uuid.uuid4().hex}"
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    third = (last - first) / 3
+    place = F.when(F.col("ts") < F.lit(first + third), 0).when(F.col("ts") < F.lit(first + 2 * third), 1).otherwise(2)
+    for k in range(3):
+        rows.where(place == k).coalesce(1).write.mode("append").parquet(path)
+    if closing is not None:
+        closing.coalesce(1).write.mode("append").parquet(path)
+    return reports.stream_parquet(spark, path, files=1)
+
+
+WAIT_DAYS = 5
+
+
+@query("r4_expiring_jobs", f"""
+WITH e AS (SELECT user_id AS job_id, arg_max_null({STATES_SQL}, ts) AS state, max(ts) AS ts FROM events GROUP BY user_id),
+c AS (SELECT count(*) FILTER (state IS NOT NULL AND ts + INTERVAL {WAIT_DAYS} DAY > (SELECT max(ts) FROM events)) AS waiting,
+             count(*) FILTER (state IS NOT NULL AND ts + INTERVAL {WAIT_DAYS} DAY <= (SELECT max(ts) FROM events)) AS expired FROM e),
+r AS (WITH {JOB_COUNTS})
+SELECT * FROM r, c""")
+def r4_expiring_jobs(spark, sf_dir):
+    """Job counts over three batches, with the jobs still in the state and those that were dropped."""
+    changes = reports.drain(state.job_changes(in_order(spark, job_events(spark, sf_dir)), WAIT_DAYS * 86_400), "update")
+    latest = materialize(state.latest_changes(changes), "latest")
+    held = latest.where("state IS NOT NULL").agg(
+        F.count_if(~F.col("expired")).alias("waiting"), F.count_if("expired").alias("expired"))
+    return attach(reports.job_report(latest), held, [])
+
+
 @query("r5_missing_outputs", """
 WITH e AS (SELECT user_id, ts FROM events WHERE event_type = 'click'),
 a AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase')
@@ -87,6 +119,16 @@ def r6_throughput_stream(spark, sf_dir):
     return rounded(rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), 8)
 
 
+@query("r6_time_left_stream", SQL["w13_time_left"])
+def r6_time_left_stream(spark, sf_dir):
+    """Closed windows over three batches; a later mark of no run closes the last ones."""
+    marks = table(spark, sf_dir, "events").select("event_type", "ts")
+    end = marks.agg((F.max("ts") + F.expr("INTERVAL 3 DAYS")).alias("ts")).select(F.lit("~").alias("event_type"), "ts")
+    rows = reports.drain(state.time_left_stream(in_order(spark, marks, end), ["event_type"], 86400, 5000))
+    rows = rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return rounded(rounded(rows, 8, ["rate"]), 3, ["eta_seconds"])
+
+
 @query("x1_named_routine", f"""
 WITH {_profile_ctes(60, 6.0, "mass > 0.5", "resname = 'SOL' AND element = 'O'")},
 {_smooth_sql('profile', 'label', 60)}

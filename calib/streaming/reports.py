@@ -26,20 +26,24 @@ def stream_files(spark: SparkSession, path: str, pattern: str | None = None) ->
     return reader.load(path).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def stream_parquet(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """Parquet rows as files appear, with the schema of the files there now."""
+def stream_parquet(spark: SparkSession, path: str, pattern: str | None = None, files: int | None = None
+                   ) -> DataFrame:
+    """Parquet rows as files appear, with the schema of the files there now; ``files`` a batch."""
     reader = spark.read if pattern is None else spark.read.option("pathGlobFilter", pattern)
     stream = spark.readStream.schema(reader.parquet(path).schema)
     if pattern:
         stream = stream.option("pathGlobFilter", pattern)
+    if files:
+        stream = stream.option("maxFilesPerTrigger", files)
     return stream.parquet(path)
 
 
 def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run a stream over all that is available and read back its result table.
 
-    Appended rows go to a parquet sink.  In complete mode each batch is a whole
-    result, so a new version is written and the last one is read.
+    Appended rows go to a parquet sink.  In update mode the rows of all batches are kept.  In
+    complete mode each batch is a whole result, so a new version is written and the last one
+    is read.
     """
     spark = stream.sparkSession
     base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -57,7 +61,8 @@ def drain(stream: DataFrame, mode: str = "append", checkpoint: str | None = None
 
     query = writer.foreachBatch(keep).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/version-{last[0]}")
+    versions = f"{base}/version-*" if mode == "update" else f"{base}/version-{last[0]}"
+    return spark.read.schema(stream.schema).parquet(versions)
 
 
 # -- finished outputs ------------------------------------------------------
