@@ -1,7 +1,8 @@
 """Frame slices, selections and periodic pair joins on positions.
 
 Positions carry the frame keys, ``atom_id``, x, y, z and box lengths bx, by, bz
-(NULL lengths mean an open axis).  Boxes are orthorhombic.
+(NULL lengths mean an open axis).  Boxes are orthorhombic, unless ``lattice.with_lattice`` has
+added the reduced lattice of a box with other angles.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calib.functions.expr import angle, min_image, norm3
+from calib.operators.lattice import LATTICE, lattice_cells, nearest_image
 from calib.operators.ordering import attach
 
 AXES = ("x", "y", "z")
@@ -68,10 +70,13 @@ def _cells(cutoff: float) -> tuple[list[Column], list[Column]]:
     return counts, index
 
 
+def _around(n: Column, i: Column) -> Column:
+    """Cells i - 1 to i + 1 of a periodic axis of ``n`` cells."""
+    return F.array_distinct(F.transform(F.array(i - 1, i, i + 1), lambda v: F.pmod(v, n)))
+
+
 def _neighbours(n: Column, i: Column, length: str) -> Column:
-    around = F.array(i - 1, i, i + 1)
-    return F.when(F.col(length).isNull(), around).otherwise(
-        F.array_distinct(F.transform(around, lambda v: F.pmod(v, n))))
+    return F.when(F.col(length).isNull(), F.array(i - 1, i, i + 1)).otherwise(_around(n, i))
 
 
 def pair_join(a: DataFrame, b: DataFrame, keys: Sequence[str], max_distance: float,
@@ -81,45 +86,59 @@ def pair_join(a: DataFrame, b: DataFrame, keys: Sequence[str], max_distance: flo
 
     Positions are put into cells no narrower than the cutoff; ``a`` is copied to the
     27 neighbouring cells and joined with ``b`` on (frame, cell), so the join is an
-    equality join that spreads inside a frame.  Cells with many points are cut
-    further by a hash of the ``b`` atom.  With ``max_distance`` of at least half the
+    equality join that spreads inside a frame.  Cells with many points of either side are
+    cut further by a hash of the atom.  With ``max_distance`` of at least half the
     box diagonal every pair of the frame comes out.
     """
     keys = list(keys)
-    counts, index = _cells(max_distance)
+    skewed = "lattice" in a.columns
+    counts, index = lattice_cells(max_distance) if skewed else _cells(max_distance)
+    box = LATTICE if skewed else LENGTHS
+    around = [_around(n, i) if skewed else _neighbours(n, i, L) for n, i, L in zip(counts, index, LENGTHS)]
     right = b.select(
         *keys, *[i.alias(f"__c{k}") for k, i in enumerate(index)],
         F.col("atom_id").alias("atom_b"), *[F.col(c).alias(f"{c}_b") for c in (*AXES, *keep_b)])
     left = a.select(
-        *keys, F.col("atom_id").alias("atom_a"), *LENGTHS,
+        *keys, F.col("atom_id").alias("atom_a"), *box,
         *[F.col(c).alias(f"{c}_a") for c in (*AXES, *keep_a)],
-        *[_neighbours(n, i, L).alias(f"__n{k}")
-          for k, (n, i, L) in enumerate(zip(counts, index, LENGTHS))])
+        *[n.alias(f"__n{k}") for k, n in enumerate(around)])
     for k in range(3):
         left = left.withColumn(f"__c{k}", F.explode_outer(f"__n{k}")).drop(f"__n{k}")
     cell = [*keys, "__c0", "__c1", "__c2"]
-
-    crowded = right.groupBy(*cell).agg(F.count(F.lit(1)).alias("__m")).where(
-        F.col("__m") > hot_cell_rows)
-    if not crowded.isEmpty():
+    on = list(cell)
+    for side, name in ((right, "b"), (left, "a")):
+        crowded = side.groupBy(*cell).agg(F.count(F.lit(1)).alias("__m")).where(F.col("__m") > hot_cell_rows)
+        if crowded.isEmpty():
+            continue
         crowded = crowded.select(*cell, F.ceil(F.col("__m") / hot_cell_rows).alias("__parts"))
-        parts = F.coalesce("__parts", F.lit(1))
-        right = attach(right, crowded, cell).withColumn(
-            "__salt", F.pmod(F.xxhash64("atom_b"), parts)).drop("__parts")
-        left = attach(left, crowded, cell).withColumn(
-            "__salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("__parts")
-        cell = [*cell, "__salt"]
-
-    pairs = left.join(right, cell).drop(*[c for c in cell if c not in keys])
-    delta = [min_image(F.col(f"{x}_a") - F.col(f"{x}_b"), F.col(L))
-             for x, L in zip(AXES, LENGTHS)]
-    pairs = pairs.withColumn("distance", norm3(*delta))
+        parts, salt = F.coalesce("__parts", F.lit(1)), f"__salt_{name}"
+        one, all_ = F.pmod(F.xxhash64(f"atom_{name}"), parts), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+        right = attach(right, crowded, cell).withColumn(salt, one if name == "b" else all_).drop("__parts")
+        left = attach(left, crowded, cell).withColumn(salt, one if name == "a" else all_).drop("__parts")
+        on.append(salt)
+
+    pairs = left.join(right, on).drop(*[c for c in on if c not in keys])
+    pairs = pairs.withColumn("distance", _image_length([F.col(f"{x}_a") - F.col(f"{x}_b") for x in AXES], skewed))
     keep = F.col("distance") <= max_distance
     if min_distance is not None:
         keep = keep & (F.col("distance") > min_distance)
     return pairs.where(keep)
 
 
+def _image(delta: Sequence[Column], skewed: bool) -> list[Column]:
+    """The components of the shortest image of a difference, by the box columns of its row."""
+    if skewed:
+        near = nearest_image(delta, F.col("lattice"), F.col("inverse"))
+        return [near[x] for x in AXES]
+    return [min_image(d, F.col(L)) for d, L in zip(delta, LENGTHS)]
+
+
+def _image_length(delta: Sequence[Column], skewed: bool) -> Column:
+    if skewed:
+        return F.sqrt(nearest_image(delta, F.col("lattice"), F.col("inverse"))["d2"])
+    return norm3(*_image(delta, False))
+
+
 def pair_counts(a: DataFrame, b: DataFrame, keys: Sequence[str], label: Sequence[str] = (),
                 ) -> DataFrame:
     """Number of all pairs per frame (and label of ``a``), without forming them."""
@@ -169,10 +188,11 @@ def bonded_triples(donors: DataFrame, hydrogens: DataFrame, acceptors: DataFrame
     near = pair_join(dh, acceptors, keys, distance_cutoff, 1.0,
                      keep_a=["hydrogen", "hx", "hy", "hz", *keep_d], keep_b=keep_a)
 
-    def to_h(side: str) -> list[Column]:
-        return [min_image(F.col(f"{x}_{side}") - F.col(f"h{x}_a"), F.col(L))
-                for x, L in zip(AXES, LENGTHS)]
-
+    skewed = "lattice" in near.columns
+    for side in "ab":
+        delta = _image([F.col(f"{x}_{side}") - F.col(f"h{x}_a") for x in AXES], skewed)
+        near = near.withColumn(f"__{side}", F.struct(*[d.alias(x) for d, x in zip(delta, AXES)]))
+    to_h = lambda side: [F.col(f"__{side}.{x}") for x in AXES]
     near = near.withColumn("angle", angle(to_h("a"), to_h("b")))
     bonded = near.where(F.col("angle") > F.radians(F.lit(float(angle_cutoff))))
     return bonded.select(

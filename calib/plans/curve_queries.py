@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from calib.functions import expr
 from calib.functions.expr import gaussian_weights, savgol_matrix
-from calib.operators import curves, ordering, pairs
+from calib.operators import curves, lattice, ordering, pairs
 from calib.plans.base import (
     ATOMS, BOX, DAYS, EVENT_CURVES, LINE_DRAWS_WIDE, LINE_PARAMS, REFERENCE_CURVES, atoms,
     event_curves, line_draws_wide, query, r, reference_curves, rounded, table,
@@ -54,6 +54,43 @@ def j2_capped_pairs(spark, sf_dir):
     return rounded(d.select("frame", "atom_a", "atom_b", "distance"))
 
 
+# Boxes with angles from 60 to 120 degrees, another one for each frame.
+ANGLES = {"alpha": "65 + frame % 5 * 5", "beta": "75 + frame % 4 * 10", "gamma": "60 + frame % 7 * 10"}
+SKEWED = f"""
+angles AS (SELECT DISTINCT frame, {', '.join(f'cos(radians(({e})::DOUBLE)) AS c{n[0]}' for n, e in ANGLES.items())},
+                  sin(radians(({ANGLES['gamma']})::DOUBLE)) AS sg FROM atoms),
+cells AS (SELECT frame, 12.0::DOUBLE * cg AS ux, 12.0::DOUBLE * sg AS uy, 12.0::DOUBLE * cb AS cx,
+                 12.0::DOUBLE * (ca - cb * cg) / sg AS cy,
+                 12.0::DOUBLE * sqrt(1 - cb * cb - pow((ca - cb * cg) / sg, 2)) AS cz FROM angles),
+turns AS (SELECT frame, i * 12.0::DOUBLE + j * ux + k * cx AS tx, j * uy + k * cy AS ty, k * cz AS tz
+          FROM cells, range(-3, 4) a(i), range(-3, 4) b(j), range(-3, 4) c(k))"""
+
+
+def _skewed_sql(a: str, b: str, cond: str) -> str:
+    """(frame, a, b, x, y, z): shortest of the images in a wide block of cells."""
+    return f"""
+  SELECT frame, atom_a, atom_b, arg_min(v, d2) AS v, sqrt(min(d2)) AS distance FROM (
+    SELECT a.frame, a.atom_id AS atom_a, b.atom_id AS atom_b,
+           [a.x - b.x + tx, a.y - b.y + ty, a.z - b.z + tz] AS v,
+           pow(a.x - b.x + tx, 2) + pow(a.y - b.y + ty, 2) + pow(a.z - b.z + tz, 2) AS d2
+    FROM (SELECT * FROM atoms WHERE {a}) a JOIN (SELECT * FROM atoms WHERE {b}) b ON a.frame = b.frame AND {cond}
+    JOIN turns ON turns.frame = a.frame)
+  GROUP BY ALL"""
+
+
+def skewed_atoms(spark, sf_dir):
+    rows = atoms(spark, sf_dir).withColumns({n: F.expr(f"CAST({e} AS DOUBLE)") for n, e in ANGLES.items()})
+    return lattice.with_lattice(rows, ["frame"])
+
+
+@query("j2_skewed_pairs", f"""
+WITH {ATOMS}, {SKEWED}, near AS ({_skewed_sql("element = 'O'", "element = 'O'", 'true')})
+SELECT frame, atom_a, atom_b, {r('distance')} AS distance FROM near WHERE distance > 1 AND distance <= 4.5""")
+def j2_skewed_pairs(spark, sf_dir):
+    a = pairs.select_atoms(skewed_atoms(spark, sf_dir), "element = 'O'")
+    return rounded(pairs.pair_join(a, a, ["frame"], 4.5, 1.0).select("frame", "atom_a", "atom_b", "distance"))
+
+
 @query("j15_clash_pairs", f"""
 WITH {ATOMS}, {_pairs_cte("true", "true", "atom_a < atom_b AND distance < 0.8")}
 SELECT frame, atom_a, atom_b, {r('distance')} AS distance FROM pairs""")
@@ -111,6 +148,48 @@ def j4_bonded_triples(spark, sf_dir):
     return rounded(rounded(found, 6, ["distance"]), 4, ["angle"])
 
 
+SKEWED_TRIPLES = f"""
+da AS ({_skewed_sql('true', "element = 'O'", 'true')}),
+dh AS ({_skewed_sql('true', "element = 'H'", 'true')}),
+ah AS ({_skewed_sql("element = 'O'", "element = 'H'", 'true')}),
+triples AS (
+  SELECT da.frame, da.atom_a AS donor, dh.atom_b AS hydrogen, da.atom_b AS acceptor, da.distance,
+         degrees(acos(greatest(-1, least(1, list_dot_product(dh.v, ah.v) / nullif(dh.distance * ah.distance, 0))))) AS angle
+  FROM da JOIN bonds ON bonds.b = da.atom_a
+  JOIN dh ON dh.frame = da.frame AND dh.atom_a = da.atom_a AND dh.atom_b = bonds.a
+  JOIN ah ON ah.frame = da.frame AND ah.atom_a = da.atom_b AND ah.atom_b = bonds.a
+  WHERE da.distance > 1 AND da.distance <= 3.5)"""
+
+
+@query("j4_skewed_triples", f"""
+WITH {ATOMS}, {BONDS}, {SKEWED}, {SKEWED_TRIPLES}
+SELECT frame, donor, hydrogen, acceptor, {r('distance')} AS distance, {r('angle', 4)} AS angle
+FROM triples WHERE angle > 150""")
+def j4_skewed_triples(spark, sf_dir):
+    a = skewed_atoms(spark, sf_dir)
+    found = pairs.bonded_triples(a, a.where("element = 'H'"), a.where("element = 'O'"),
+                                 pairs.donor_hydrogens(a, bonds(spark, sf_dir)), ["frame"])
+    return rounded(rounded(found, 6, ["distance"]), 4, ["angle"])
+
+
+@query("a4_skewed_rates", f"""
+WITH {ATOMS}, {BONDS}, {SKEWED}, {SKEWED_TRIPLES},
+named AS (SELECT DISTINCT atom_id, resname, resname || '(' || type || ')' AS site, element FROM atoms),
+hits AS (
+  SELECT d.site || ' to ' || a.site AS label, count(*) AS c FROM triples
+  JOIN named d ON d.atom_id = donor JOIN named a ON a.atom_id = acceptor JOIN named h ON h.atom_id = hydrogen
+  WHERE angle > 150 AND h.resname <> a.resname GROUP BY ALL),
+labels AS (
+  SELECT DISTINCT d.site || ' to ' || a.site AS label
+  FROM (SELECT DISTINCT d.site, h.resname AS side FROM named d JOIN bonds ON b = d.atom_id JOIN named h ON h.atom_id = bonds.a) d,
+       (SELECT DISTINCT resname, site FROM named WHERE element = 'O') a WHERE a.resname <> d.side)
+SELECT label, {r('coalesce(c, 0) / (SELECT count(DISTINCT frame) FROM atoms)')} AS value
+FROM labels LEFT JOIN hits USING (label)""")
+def a4_skewed_rates(spark, sf_dir):
+    return rounded(curves.event_rates(
+        skewed_atoms(spark, sf_dir), bonds(spark, sf_dir), ["frame"], "resname = 'MOL'", "resname = 'SOL'"))
+
+
 @query("a4_event_rates", f"""
 WITH {ATOMS}, {BONDS}, {TRIPLES},
 hits AS (
