@@ -25,7 +25,6 @@ an id are documents of their own.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -123,9 +122,21 @@ def read_once(batches: Iterable[pa.RecordBatch], held: Broadcast) -> Iterator[tu
                        batch.column("sources").to_pylist())
 
 
-def term_codes(text: bytes, code: dict[bytes, int]) -> np.ndarray:
-    """The code of every term of a text; new terms get the next one."""
-    ids = [np.fromiter((code.setdefault(t, len(code)) for t in piece.translate(FOLDED).split()), np.int64)
+class Codes(dict):
+    """Term to code; a new term gets the next one, and its place in ``terms``."""
+
+    def __init__(self) -> None:
+        self.terms: list[bytes] = []
+
+    def __missing__(self, term: bytes) -> int:
+        code = self[term] = len(self.terms)
+        self.terms.append(term)
+        return code
+
+
+def term_codes(text: bytes, code: Codes) -> np.ndarray:
+    """The code of every term of a text."""
+    ids = [np.fromiter(map(code.__getitem__, piece.translate(FOLDED).split()), np.int64)
            for piece in chunks(text, NOT_ALPHA)]
     return np.concatenate(ids) if ids else np.zeros(0, np.int64)
 
@@ -143,11 +154,11 @@ def frequent_terms(texts: DataFrame, held: Broadcast, least: int) -> np.ndarray:
     """
     top, size, width = min(least, 255), FILTER_BITS, RANGE
 
-    def packed(counts: dict[str, list[np.ndarray]], codes: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
+    def packed(counts: dict[str, list[np.ndarray]], codes: dict[str, Codes]) -> Iterator[pa.RecordBatch]:
         bits, docs = [], []
         for lang, parts in counts.items():
             code, times = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            bits.append(term_bits(lang, codes[lang], size)[code])
+            bits.append(term_bits(lang, codes[lang].terms, size)[code])
             docs.append(np.minimum(np.bincount(times, np.concatenate([p[1] for p in parts])), top))
         if not bits:
             return
@@ -163,10 +174,10 @@ def frequent_terms(texts: DataFrame, held: Broadcast, least: int) -> np.ndarray:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[np.ndarray]] = {}
-        codes: dict[str, dict[bytes, int]] = {}
+        codes: dict[str, Codes] = {}
         gathered = 0
         for lang, text, sources in read_once(batches, held):
-            code = codes.setdefault(lang, {})
+            code = codes.setdefault(lang, Codes())
             term = np.unique(term_codes(text, code))
             if not len(term):
                 continue
@@ -207,22 +218,25 @@ class Sums:
     def __init__(self, wanted: np.ndarray) -> None:
         self.wanted = wanted
         self.groups: dict[tuple[str, str], int] = {}
-        self.codes: dict[str, dict[bytes, int]] = {}
-        self.keep: dict[str, np.ndarray] = {}
+        self.codes: dict[str, Codes] = {}
+        self.keep: dict[str, tuple[int, np.ndarray]] = {}
         self.keys, self.counts, self.docs = (np.zeros(0, np.int64) for _ in range(3))
         self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.gathered = self.known = 0
 
-    def wanted_terms(self, lang: str, code: dict[bytes, int]) -> np.ndarray:
-        """Which codes of a language may be kept terms."""
-        keep = self.keep.setdefault(lang, np.zeros(0, bool))
-        if len(code) > len(keep):
-            new = islice(code, len(keep), None)
-            keep = self.keep[lang] = np.concatenate([keep, is_set(self.wanted, term_bits(lang, new, 64 * len(self.wanted)))])
+    def wanted_terms(self, lang: str, code: Codes) -> np.ndarray:
+        """Which codes of a language may be kept terms; the array grows by doubling."""
+        known, keep = self.keep.get(lang, (0, np.zeros(1024, bool)))
+        now = len(code.terms)
+        if now > known:
+            if now > len(keep):
+                keep = np.concatenate([keep, np.zeros(max(now, len(keep)), bool)])
+            keep[known:now] = is_set(self.wanted, term_bits(lang, code.terms[known:now], 64 * len(self.wanted)))
+            self.keep[lang] = now, keep
         return keep
 
     def add(self, lang: str, text: bytes, sources: list[dict]) -> None:
-        code = self.codes.setdefault(lang, {})
+        code = self.codes.setdefault(lang, Codes())
         before = len(code)
         term = term_codes(text, code)
         self.known += len(code) - before
@@ -252,7 +266,7 @@ class Sums:
 
     def batches(self) -> Iterator[pa.RecordBatch]:
         self.settle()
-        names = {lang: list(code) for lang, code in self.codes.items()}
+        names = {lang: code.terms for lang, code in self.codes.items()}
         edges = np.searchsorted(self.keys >> 32, np.arange(len(self.groups) + 1))
         for (lang, source), g in self.groups.items():
             mine = slice(edges[g], edges[g + 1])
