@@ -49,9 +49,17 @@ def stack_vectors(curves: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def align(samples: DataFrame, reference: DataFrame) -> DataFrame:
-    """Sample values next to reference values; the reference decides what is used."""
-    ref = reference.select(*CELL, F.col("value").alias("reference"))
-    return attach(samples, ref, CELL, "inner")
+    """Sample values next to reference values.
+
+    QoIs and systems without a reference are not used; a cell that the reference lacks in one
+    that it has is an error.  ``schema_mismatches`` lists what samples lack.
+    """
+    block = ["qoi", "system_index"]
+    used = attach(samples, reference.select(*block).distinct(), block, "inner")
+    ref = reference.select(*CELL, F.col("value").alias("reference"), F.lit(True).alias("__met"))
+    lost = F.raise_error(F.concat_ws(" ", F.lit("no reference for"), *[F.col(c).cast("string") for c in CELL]))
+    met = F.when(F.col("__met"), F.col("reference")).otherwise(lost.cast("double"))
+    return attach(used, ref, CELL).withColumn("reference", met).drop("__met")
 
 
 def schema_mismatches(samples: DataFrame, reference: DataFrame) -> DataFrame:

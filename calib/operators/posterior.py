@@ -24,13 +24,16 @@ def log_likelihood(pred: DataFrame, ref: DataFrame, n_eff: DataFrame, sigma: Dat
     """Gaussian log-likelihood per key and QoI from long predictions.
 
     -n_eff * MSE / (2 sigma^2) - n_eff * ln(sigma); ``sigma`` has (keys, qoi, sigma)
-    or (qoi, sigma).
+    or (qoi, sigma).  A row whose positions are not exactly the reference's has a NULL score.
     """
     keys = list(keys)
     diff = F.col("value") - F.col("reference")
-    both = attach(pred, ref.select("qoi", "pos", F.col("value").alias("reference")),
-                  ["qoi", "pos"], "inner")
-    mse = both.groupBy(*keys, "qoi").agg(F.avg(diff * diff).alias("mse"))
+    both = attach(pred, ref.select("qoi", "pos", F.col("value").alias("reference")), ["qoi", "pos"])
+    mse = both.groupBy(*keys, "qoi").agg(
+        F.avg(diff * diff).alias("__mse"), F.count(F.lit(1)).alias("__n"), F.count(diff).alias("__met"))
+    wanted = ref.groupBy("qoi").agg(F.count(F.lit(1)).alias("__wanted"))
+    whole = (F.col("__met") == F.col("__n")) & (F.col("__met") == F.col("__wanted"))
+    mse = attach(mse, wanted, ["qoi"]).withColumn("mse", F.when(whole, F.col("__mse")))
     on = [k for k in [*keys, "qoi"] if k in sigma.columns]
     rows = attach(attach(mse, n_eff, ["qoi"]), sigma, on)
     score = (F.col("n_eff") * F.col("mse") / (F.col("sigma") * F.col("sigma")) * -0.5
@@ -39,14 +42,22 @@ def log_likelihood(pred: DataFrame, ref: DataFrame, n_eff: DataFrame, sigma: Dat
 
 
 def total_log_likelihood(scores: DataFrame, keys: Sequence[str] = ("theta_id",)) -> DataFrame:
-    return scores.groupBy(*keys).agg(F.sum("log_likelihood").alias("log_likelihood"))
+    """Sum over QoIs; NULL if the score of any of them is."""
+    all_known = F.count("log_likelihood") == F.count(F.lit(1))
+    return scores.groupBy(*keys).agg(F.when(all_known, F.sum("log_likelihood")).alias("log_likelihood"))
 
 
 def log_prior(theta: DataFrame, priors: DataFrame, keys: Sequence[str] = ("theta_id",)
               ) -> DataFrame:
-    """Sum of the prior log densities per key; long theta (keys, param, value)."""
+    """Sum of the prior log densities per key; long theta (keys, param, value).
+
+    A parameter without a prior is an error.
+    """
+    known = F.when(F.col("kind").isNull(), F.raise_error(F.concat(
+        F.lit("no prior for "), F.coalesce("param", F.lit("NULL")))).cast("string")).otherwise(F.col("kind"))
     dens = prior_logpdf(F.col("kind"), F.col("value"), F.col("a"), F.col("b"))
-    return attach(theta, priors.select("param", "kind", "a", "b"), ["param"], "inner").groupBy(*keys).agg(
+    rows = attach(theta, priors.select("param", "kind", "a", "b"), ["param"]).withColumn("kind", known)
+    return rows.groupBy(*keys).agg(
         F.sum(dens).alias("log_prior"))
 
 

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calib.operators.chains import thin
+from calib.operators.chains import autocorr_time, thin
 from calib.operators.ordering import WINDOW_ROWS, attach, quantiles
 
 CHUNK = 1 << 22
@@ -74,12 +74,21 @@ def prepare_samples(draws: DataFrame, params: Sequence[str], discard: int, strid
     return strip_outliers(rows, [c for c in rows.columns if c not in before])
 
 
-def posterior_summary(df: DataFrame, params: Sequence[str]) -> DataFrame:
-    """Mean and population standard deviation of each parameter."""
+def posterior_summary(df: DataFrame, params: Sequence[str], draws: DataFrame | None = None) -> DataFrame:
+    """Mean and population standard deviation of each parameter.
+
+    ``draws``, the raw chains (param, chain, step, value), add ``autocorr_time``: the mean of
+    the chains' integrated autocorrelation times.
+    """
     stats = df.agg(F.array(*[
         F.struct(F.lit(p).alias("param"), F.avg(p).alias("mean"),
                  F.stddev_pop(p).alias("std")) for p in params]).alias("s"))
-    return stats.select(F.inline("s"))
+    rows = stats.select(F.inline("s"))
+    if draws is None:
+        return rows
+    tau = autocorr_time(draws.where(F.col("param").isin(*params))).groupBy("param").agg(
+        F.avg("tau").alias("autocorr_time"))
+    return attach(rows, tau, ["param"])
 
 
 def credible_intervals(df: DataFrame, params: Sequence[str],

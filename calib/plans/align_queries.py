@@ -208,8 +208,8 @@ def a9_smape(spark, sf_dir):
 
 @query("a10_log_likelihood", f"""
 WITH {BLOCKS},
-m AS (SELECT b.sample_id AS theta_id, qoi, avg(pow(b.value - ref.value, 2)) AS mse
-      FROM blocks b JOIN ref USING (qoi, system_index, label, bin) GROUP BY ALL)
+m AS (SELECT b.sample_id AS theta_id, qoi, CASE WHEN count(*) = any_value(w.n) THEN avg(pow(b.value - ref.value, 2)) END AS mse
+      FROM blocks b JOIN ref USING (qoi, system_index, label, bin) JOIN (SELECT qoi, count(*) AS n FROM ref GROUP BY qoi) w USING (qoi) GROUP BY ALL)
 SELECT theta_id, qoi, {r('-0.5 * 12 * mse / pow(20 + theta_id, 2) - 12 * ln(20 + theta_id)')} AS log_likelihood
 FROM m""")
 def a10_log_likelihood(spark, sf_dir):
@@ -229,9 +229,9 @@ def _scores(spark, sf_dir):
 
 @query("a10_total_log_likelihood", f"""
 WITH {BLOCKS},
-m AS (SELECT b.sample_id AS theta_id, qoi, avg(pow(b.value - ref.value, 2)) AS mse
-      FROM blocks b JOIN ref USING (qoi, system_index, label, bin) GROUP BY ALL)
-SELECT theta_id, {r('sum(-0.5 * 12 * mse / pow(20 + theta_id, 2) - 12 * ln(20 + theta_id))')} AS log_likelihood
+m AS (SELECT b.sample_id AS theta_id, qoi, CASE WHEN count(*) = any_value(w.n) THEN avg(pow(b.value - ref.value, 2)) END AS mse
+      FROM blocks b JOIN ref USING (qoi, system_index, label, bin) JOIN (SELECT qoi, count(*) AS n FROM ref GROUP BY qoi) w USING (qoi) GROUP BY ALL)
+SELECT theta_id, CASE WHEN count(mse) = count(*) THEN {r('sum(-0.5 * 12 * mse / pow(20 + theta_id, 2) - 12 * ln(20 + theta_id))')} END AS log_likelihood
 FROM m GROUP BY theta_id""")
 def a10_total_log_likelihood(spark, sf_dir):
     return rounded(posterior.total_log_likelihood(_scores(spark, sf_dir)))

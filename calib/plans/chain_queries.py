@@ -258,6 +258,18 @@ def g15_prepared_samples(spark, sf_dir):
     return prepared(spark, sf_dir)
 
 
+@query("a13_summary_with_times", f"""
+WITH {STRIPPED},
+raw_draws AS (SELECT chain, step, 'l_quantity' AS param, l_quantity AS value FROM wide
+         UNION ALL SELECT chain, step, 'l_extendedprice', l_extendedprice FROM wide), {_tau_ctes('raw_draws')},
+t AS (SELECT param, avg(tau) AS autocorr_time FROM tau GROUP BY param),
+m AS (SELECT 'l_quantity' AS param, avg(l_quantity) AS mean, stddev_pop(l_quantity) AS std FROM prepared
+      UNION ALL SELECT 'l_extendedprice', avg(l_extendedprice), stddev_pop(l_extendedprice) FROM prepared)
+SELECT param, {r('mean')} AS mean, {r('std')} AS std, {r('autocorr_time')} AS autocorr_time FROM m JOIN t USING (param)""")
+def a13_summary_with_times(spark, sf_dir):
+    return rounded(summary.posterior_summary(prepared(spark, sf_dir), PREPARED_PARAMS, line_draws(spark, sf_dir)))
+
+
 @query("a13_posterior_summary", f"""
 WITH {STRIPPED}
 SELECT 'l_quantity' AS param, {r('avg(l_quantity)')} AS mean,

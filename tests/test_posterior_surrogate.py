@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from calib.functions import expr
-from calib.operators import posterior, surrogate
+from calib.operators import align, posterior, surrogate
 
 INF = float("inf")
 
@@ -168,3 +168,35 @@ def test_pluggable_likelihood(spark):
         theta, ["t"], {}, {}, {}, [("t", "uniform", -1.0, 1.0)],
         likelihood=lambda df: -F.col("t") * F.col("t")).orderBy("id").collect()
     assert [round(r["log_posterior"], 9) for r in got] == [round(-0.25 - math.log(2), 9)] * 2
+
+
+def test_incomplete_predictions_have_no_score(spark):
+    pred = spark.createDataFrame([(0, "a", 0, 1.0), (0, "a", 1, 2.0), (1, "a", 0, 1.0), (2, "a", 0, 1.0), (2, "a", 1, 1.0),
+                                  (2, "a", 2, 1.0), (0, "b", 0, 1.0), (1, "b", 0, 1.0)],
+                                 "theta_id int, qoi string, pos int, value double")
+    ref = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 1.0), ("b", 0, 1.0)], "qoi string, pos int, value double")
+    n_eff = spark.createDataFrame([("a", 2.0), ("b", 1.0)], "qoi string, n_eff double")
+    sigma = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "qoi string, sigma double")
+    scores = posterior.log_likelihood(pred, ref, n_eff, sigma)
+    got = {(r["theta_id"], r["qoi"]): r["log_likelihood"] for r in scores.collect()}
+    # Row 1 lacks a position of "a" and row 2 has one too many.
+    assert got == {(0, "a"): -0.5, (1, "a"): None, (2, "a"): None, (0, "b"): 0.0, (1, "b"): 0.0}
+    total = {r["theta_id"]: r["log_likelihood"] for r in posterior.total_log_likelihood(scores).collect()}
+    assert total == {0: -0.5, 1: None, 2: None}
+
+
+def test_parameter_without_prior(spark):
+    theta = spark.createDataFrame([(0, "p", 0.5), (0, "q", 0.5)], "theta_id int, param string, value double")
+    priors = spark.createDataFrame([("p", "uniform", 0.0, 1.0)], "param string, kind string, a double, b double")
+    assert posterior.log_prior(theta.where("param = 'p'"), priors).first()["log_prior"] == 0.0
+    with pytest.raises(Exception, match="no prior for q"):
+        posterior.log_prior(theta, priors).collect()
+
+
+def test_cell_without_reference(spark):
+    schema = "qoi string, system_index int, label string, bin int, value double"
+    ref = spark.createDataFrame([("a", 0, "x", 0, 1.0)], schema)
+    samples = spark.createDataFrame([("a", 0, "x", 0, 2.0), ("b", 0, "x", 0, 2.0), ("a", 1, "x", 0, 2.0)], schema)
+    assert [r["value"] for r in align.align(samples, ref).collect()] == [2.0]
+    with pytest.raises(Exception, match="no reference for a 0 x 1"):
+        align.align(samples.withColumn("bin", samples["bin"] + 1), ref).collect()
