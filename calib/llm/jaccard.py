@@ -7,6 +7,11 @@ in a sample of documents come last, and l grows slowly with n, so that a shared
 alone makes no candidate.  Candidates must share their l prefix shingles under every one
 of the orders, and only those that do are verified on the whole sets.
 
+A bitmap of 512 bits goes with every bucket entry: bit b tells whether an odd number of the
+set's shingles hash to b.  Two bitmaps never differ in more bits than the sets differ in
+shingles, and linked sets differ in few, so pairs that only share a passage are mostly told
+apart inside the join that forms them, and no linked pair is.
+
 Exact copies of a set are one class.  The first order removes the classes that share too
 little with all others together; whole sets are kept only for the rest.  The second and
 third remove more, and filter the pairs that the first one gives.  Of its shared prefix
@@ -50,6 +55,7 @@ ORDERS = 3
 SHARE = 8  # one more prefix shingle must be shared for every so many of a set
 NODES_SENT = 500_000
 TOP = np.uint64(1 << 63)
+WORDS = [f"w{k}" for k in range(8)]  # of the parity bitmap
 
 
 def shingles(texts: list[bytes], known: WordHash, width: int) -> list[np.ndarray]:
@@ -88,6 +94,16 @@ def prefix(values: np.ndarray, percent: int, order: int, frequent: np.ndarray) -
     return values[np.argsort(rank, kind="stable")[:size]]
 
 
+def parity(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, 8): the parity bitmaps of sets of shingle hashes, as words of 64 bits."""
+    out = np.zeros((len(sets), 8 * 64), np.uint8)
+    with np.errstate(over="ignore"):
+        for row, s in zip(out, sets):
+            bits = (mixed(s + MIX_1) >> np.uint64(55)).astype(np.int64)
+            row[:] = np.bincount(bits, minlength=512) & 1
+    return np.packbits(out, axis=1, bitorder="little").view("<i8").reshape(len(sets), 8)
+
+
 def signed(values: list[np.ndarray]) -> np.ndarray:
     return (np.concatenate(values) if values else np.zeros(0, np.uint64)).view(np.int64)
 
@@ -136,7 +152,7 @@ def _described(docs: DataFrame, width: int, percent: int, frequent: Broadcast) -
 
 
 def _whole(docs: DataFrame, width: int, percent: int, frequent: Broadcast) -> DataFrame:
-    """(node, shingles, prefix2, prefix3) of the documents left."""
+    """(node, shingles, prefix2, prefix3, parity words) of the documents left."""
     names = [f"prefix{k + 1}" for k in range(1, ORDERS)]
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,11 +163,13 @@ def _whole(docs: DataFrame, width: int, percent: int, frequent: Broadcast) -> Da
             for k in range(1, ORDERS):
                 heads = [prefix(s, percent, k, last) for s in sets]
                 cols.append(list_array(signed(heads), sizes(heads), pa.int64()))
+            words = parity(sets)
+            cols += [pa.array(words[:, k].copy()) for k in range(8)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *cols], ["node", "shingles", *names])
+                [batch.column("doc_id"), *cols], ["node", "shingles", *names, *WORDS])
 
     return docs.mapInArrow(emit, "node long, shingles array<long>, " + ", ".join(
-        f"{n} array<long>" for n in names))
+        [f"{n} array<long>" for n in names] + [f"{w} long" for w in WORDS]))
 
 
 def _shared(postings: DataFrame) -> DataFrame:
@@ -189,8 +207,22 @@ def _able(shared: DataFrame, sizes_of: DataFrame, percent: int) -> DataFrame:
         F.col("c") >= _asked(percent)).select("node")
 
 
+def _may_link(percent: int) -> Column:
+    """Whether bucket entries l and r are near enough in size and in their bitmaps.
+
+    Linked sets differ in (1 - t) / (1 + t) of the sum of their sizes or less.
+    """
+    n, m = F.col("l.n"), F.col("r.n")
+    differ = F.bit_count(F.col("l.w0").bitwiseXOR(F.col("r.w0")))
+    for w in WORDS[1:]:
+        differ = differ + F.bit_count(F.col(f"l.{w}").bitwiseXOR(F.col(f"r.{w}")))
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (
+        differ * (100 + percent) <= (n + m) * (100 - percent))
+
+
 def _settle(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, root) over the verified links inside the buckets (token, node, n)."""
+    """(node, root) over the verified links inside the buckets (token, node, n, parity words)."""
+    entry = ["token", "node", "n", *WORDS]
     labels = buckets.select("node").distinct().withColumn("root", F.col("node"))
     labels = materialize(labels, "labels")
     buckets = materialize(buckets, "buckets")
@@ -215,25 +247,22 @@ def _settle(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         # it is the first of some member; most are settled by then.
         waiting = active.where("NOT at_once")
         turn = waiting.groupBy("node").agg(F.min("token").alias("token")).select("token").distinct()
-        waiting = waiting.select("token", "node", "n").join(turn, "token", "left_anti")
+        waiting = waiting.select(*entry).join(turn, "token", "left_anti")
         active = materialize(active.where("at_once").unionByName(
             active.where("NOT at_once").join(turn, "token", "left_semi")), "turn")
         chosen = active.where("NOT at_once" if leaders == 1 else "NOT at_once AND root <> big").groupBy(
             "token", F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("slot")).agg(
-            F.min(F.struct("node", "n", "root")).alias("lead")).select("token", "lead.*")
+            F.min(F.struct("node", "n", "root", *WORDS)).alias("lead")).select("token", "lead.*")
         chosen = materialize(chosen, "leaders")
-        left = chosen.unionByName(active.where("at_once").select("token", "node", "n", "root"))
-        other = active.select("token", F.col("node").alias("node2"), F.col("n").alias("n2"),
-                              F.col("root").alias("root2"), "at_once")
-        pairs = left.join(other, "token").where(
-            "root <> root2 AND (NOT at_once OR node < node2)").where(
-            (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent))
-        pairs = pairs.select(F.least("node", "node2").alias("a"),
-                             F.greatest("node", "node2").alias("b")).distinct()
+        left = chosen.unionByName(active.where("at_once").select(*entry, "root")).alias("l")
+        other = active.select(*entry, "root", "at_once").alias("r")
+        pairs = left.join(other, (F.col("l.token") == F.col("r.token")) & F.expr(
+            "l.root <> r.root AND (NOT r.at_once OR l.node < r.node)") & _may_link(percent))
+        pairs = pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
         links = materialize(_verified(materialize(pairs, "pairs"), sets, percent), "found")
         found = links if found is None else found.unionByName(links)
         labels = materialize(_merged(labels, links), "labels")
-        buckets = materialize(active.where("NOT at_once").select("token", "node", "n").join(
+        buckets = materialize(active.where("NOT at_once").select(*entry).join(
             chosen.select("token", "node"), ["token", "node"], "left_anti").unionByName(waiting), "buckets")
         leaders = LEADERS
 
@@ -294,7 +323,8 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, key: str
             others = others.join(nodes, "node", "left_semi")
         nodes = materialize(_able(_shared(others), sizes_of, percent), "nodes")
     common = _shared(shared.select("token", "node").join(nodes, "node", "left_semi"))
-    labels = _settle(_rarest(common, sizes_of, percent), sets, percent)
+    buckets = _rarest(common, sizes_of, percent).join(sets.select("node", *WORDS), "node")
+    labels = _settle(buckets, sets, percent)
     roots = classes.select("hi", "lo", "node").join(labels, "node", "left").select(
         "hi", "lo", F.coalesce("root", "node").alias("root"))
     rows = known.select("doc_id", "n", "hi", "lo").join(roots, ["hi", "lo"]).select(
