@@ -14,7 +14,7 @@ from calib.functions.expr import (
 )
 from calib.operators.design import Specs, parameter_array, within_bounds, with_implicit
 from calib.operators.ordering import attach, number_rows, running_total
-from calib.operators.surrogate import Model, list_matrix, predict_batch
+from calib.operators.surrogate import Model, list_matrix, predict_batch, shared
 
 NAN_SCORE = -1e10
 
@@ -85,13 +85,13 @@ def score_posterior(theta: DataFrame, params: Sequence[str], models: Mapping[str
     """Score every parameter row: prior, log-likelihood per QoI, posterior.
 
     No row leaves its partition: the surrogates (size-checked when they are
-    collected) travel to the tasks, and each row gets one number per QoI.  Noise
+    collected) are broadcast, and each row gets one number per QoI.  Noise
     levels come from ``sigma`` or from ``log_sigma_<qoi>`` columns.  Parameters are
     the explicit ones when ``specs`` has constraints.
     """
     sigma = dict(sigma or {})
     qois = sorted(models)
-    known = {q: (models[q], np.asarray(reference[q], dtype=float)) for q in qois}
+    known = shared(theta.sparkSession, {q: (models[q], np.asarray(reference[q], dtype=float)) for q in qois})
 
     def mse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,7 +100,7 @@ def score_posterior(theta: DataFrame, params: Sequence[str], models: Mapping[str
             names = [n for n in batch.schema.names if n != "__x"]
             columns = [batch.column(n) for n in names]
             for k, q in enumerate(qois):
-                members, ref = known[q]
+                members, ref = known()[q]
                 y = np.mean([predict_batch(m, x) for m in members], axis=0)
                 names.append(f"__mse{k}")
                 columns.append(pa.array(((y - ref) ** 2).mean(axis=1)))

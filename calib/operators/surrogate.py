@@ -9,13 +9,16 @@ queries, candidates, QoIs and members, and those stay distributed.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calib.functions.expr import hash_uniform, rbf_kernel, with_normal_quantile
@@ -24,9 +27,11 @@ from calib.session import materialize
 
 MAX_TRAIN = 4096
 MAX_MODEL_VALUES = 50_000_000
+# Location and scale of the normal priors of log lengths, width and noise.
 HYPER_LENGTH = (-2.0, 2.0)
 HYPER_WIDTH = (-2.0, 2.0)
 HYPER_NOISE = (-2.0, 3.0)
+_UNPACKED: dict[str, Any] = {}
 
 
 @dataclass
@@ -144,6 +149,29 @@ def solve_weights(sets: DataFrame, hyper: DataFrame, mean: DataFrame | None = No
                "alpha array<array<double>>")
 
 
+def _nested(column: pa.ChunkedArray, row: int) -> np.ndarray:
+    """One cell of lists of one length as a matrix."""
+    cell = column[row].values
+    return cell.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(cell), -1)
+
+
+def shared(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """A broadcast of ``value``; calling the result in a task gives it, unpacked once per worker.
+
+    Functions of the user may be part of it, so it is packed as closures are.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    place = uuid.uuid4().hex
+
+    def get() -> Any:
+        if place not in _UNPACKED:
+            _UNPACKED.clear()
+            _UNPACKED[place] = cloudpickle.loads(sent.value)
+        return _UNPACKED[place]
+
+    return get
+
+
 def weight_table(models: DataFrame) -> DataFrame:
     """Weights as rows: (qoi, member, train_id, pos, alpha)."""
     rows = models.select("qoi", "member", F.inline(F.arrays_zip("ids", "alpha")))
@@ -159,11 +187,12 @@ def collect_models(models: DataFrame, means: dict[str, Callable] | None = None
     if total > MAX_MODEL_VALUES:
         raise ValueError(f"models hold {total} numbers, more than {MAX_MODEL_VALUES}")
     out: dict[str, list[Model]] = {}
-    for r in models.orderBy("qoi", "member").collect():
-        mean = (means or {}).get(r["qoi"], np.array(r["mean"], dtype=float))
-        out.setdefault(r["qoi"], []).append(Model(
-            r["qoi"], r["member"], _stack(r["xs"]), _stack(r["alpha"]),
-            np.array(r["lengths"], dtype=float), r["width"], mean))
+    table = models.orderBy("qoi", "member").toArrow()
+    for i, (qoi, member, width) in enumerate(zip(*[table.column(c).to_pylist() for c in ("qoi", "member", "width")])):
+        flat = lambda c: np.array(table.column(c)[i].as_py(), dtype=float)
+        out.setdefault(qoi, []).append(Model(
+            qoi, member, _nested(table.column("xs"), i), _nested(table.column("alpha"), i), flat("lengths"), width,
+            (means or {}).get(qoi, flat("mean"))))
     return out
 
 
@@ -172,8 +201,9 @@ def predict(queries: DataFrame, key: str, models: dict[str, list[Model]],
     """Committee prediction per query and QoI: (key, qoi, pos, value).
 
     The mean over members, or one member per query picked by a seeded hash.  Queries
-    never move; the models travel to the tasks.  ``queries``: key, params.
+    never move; the models are broadcast.  ``queries``: key, params.
     """
+    known = shared(queries.sparkSession, models)
     kind = queries.schema[key].dataType.simpleString()
     rows = queries.select(key, "params", (
         F.lit(0.0) if stochastic_seed is None
@@ -185,7 +215,7 @@ def predict(queries: DataFrame, key: str, models: dict[str, list[Model]],
                 continue
             x = list_matrix(batch.column(1))
             u = batch.column(2).to_numpy(zero_copy_only=False)
-            for qoi, members in models.items():
+            for qoi, members in known().items():
                 y = np.array([predict_batch(m, x) for m in members])
                 if stochastic_seed is None:
                     y = y.mean(axis=0)
@@ -252,17 +282,19 @@ def loo_score(x: np.ndarray, y: np.ndarray, log_hyper: np.ndarray) -> float:
 def score_candidates(candidates: DataFrame, sets: DataFrame) -> DataFrame:
     """Leave-one-out score of each candidate (qoi, cand_id, log_hyper ARRAY<DOUBLE>).
 
-    Training arrays (already checked for size) travel with the tasks.
+    Training arrays (checked for size) are broadcast.
     """
     size = F.size("xs") * (F.size(F.get("xs", F.lit(0))) + F.size(F.get("ys", F.lit(0))))
     total = sets.agg(F.sum(size.cast("long"))).first()[0] or 0
     if total > MAX_MODEL_VALUES:
         raise ValueError(f"training sets hold {total} numbers, more than {MAX_MODEL_VALUES}")
-    data = {r["qoi"]: (_stack(r["xs"]), _stack(r["ys"])) for r in sets.collect()}
+    table = sets.select("qoi", "xs", "ys").toArrow()
+    data = shared(sets.sparkSession, {q: (_nested(table.column("xs"), i), _nested(table.column("ys"), i))
+                                      for i, q in enumerate(table.column("qoi").to_pylist())})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            scores = [loo_score(*data[q], np.asarray(h, dtype=float))
+            scores = [loo_score(*data()[q], np.asarray(h, dtype=float))
                       for q, h in zip(batch["qoi"], batch["log_hyper"])]
             yield batch.assign(loo=scores)
 

@@ -192,12 +192,16 @@ def s5_last_of_trajectory(spark, sf_dir):
 LOGS = 16
 
 
-def long_logs(spark, parts, key):
-    """Texts (``key``, value) as sixteen long log files, in the order of ``key``; lines of the files."""
+def write_logs(spark, parts, key):
+    """Texts (``key``, value) as sixteen long log files, in the order of ``key``; their folder."""
     path = fresh(spark, "logs")
     parts.select(F.pmod(key, F.lit(LOGS)).alias("log"), key, "value").repartition("log").sortWithinPartitions(
         "log", key).select("log", "value").write.partitionBy("log").text(path)
-    return lines.split_lines(spark, path)
+    return path
+
+
+def long_logs(spark, parts, key):
+    return lines.split_lines(spark, write_logs(spark, parts, key))
 
 
 def log_id(rows):

@@ -10,7 +10,9 @@ from calib import registry
 from calib.operators.ordering import attach
 from calib.plans.base import EVENT_DRAWS, SQL, atoms, event_draws, query, r, rounded, table
 from calib.plans.chain_queries import RANK_RHAT, _tau_ctes
-from calib.plans.collect_queries import JOB_COUNTS, STATE_OF, STATES_SQL, energy_logs, job_events
+from calib.plans.collect_queries import (
+    JOB_COUNTS, STATE_OF, STATES_SQL, energy_logs, job_events, log_id, write_logs,
+)
 from calib.plans.curve_queries import BONDS, TRIPLES, _profile_ctes, _smooth_sql, bonds
 from calib.session import materialize, scratch_dir
 from calib.sources.text import HARTREE_TO_EV
@@ -31,6 +33,14 @@ def r1_collected_outputs(spark, sf_dir):
     return rounded(reports.drain(reports.collected_energies(reports.stream_parquet(spark, path))), 4)
 
 
+@query("r1_streamed_files", SQL["s6_split_log_energies"].replace("AS energy_ev", "AS energy_ev, NULL::VARCHAR AS issue"))
+def r1_streamed_files(spark, sf_dir):
+    """Sixteen log files as they appear, four a batch."""
+    path = write_logs(spark, energy_logs(spark, sf_dir), "o_orderkey")
+    stream = reports.stream_files(spark, path, "*.txt", files=4)
+    return rounded(log_id(reports.drain(reports.collected_energies(stream))), 4)
+
+
 @query("r2_running_moments", f"""
 SELECT event_type, 'a' AS param_i, 'b' AS param_j, count(*) AS n, {r('covar_samp(value, hour(ts))', 5)} AS cov FROM events GROUP BY event_type
 UNION ALL SELECT event_type, 'b', 'a', count(*), {r('covar_samp(value, hour(ts))', 5)} FROM events GROUP BY event_type
@@ -47,15 +57,22 @@ def r2_running_moments(spark, sf_dir):
 WITH {EVENT_DRAWS}, {RANK_RHAT}, {_tau_ctes('ranked')}
 SELECT 'r1' AS run_id, param, (SELECT max(step) + 1 FROM draws) AS n_steps, (SELECT count(*) FROM draws) AS n_draws,
        {r('greatest(a.rhat, b.rhat)')} AS rhat, {r('(SELECT avg(tau) FROM tau)')} AS tau,
-       {r('(SELECT count(*) FROM draws) / (SELECT avg(tau) FROM tau)', 4)} AS ess
+       {r('(SELECT count(*) FROM draws) / (SELECT avg(tau) FROM tau)', 4)} AS ess,
+       {r('greatest(a.rhat, b.rhat)')} AS max_rhat, {r('(SELECT count(*) FROM draws) / (SELECT avg(tau) FROM tau)', 4)} AS min_ess,
+       (SELECT max(step) + 1 FROM draws) >= 20 AND greatest(a.rhat, b.rhat) < 1.02
+         AND (SELECT count(*) FROM draws) / (SELECT avg(tau) FROM tau) > 100 AS converged
 FROM rhat_a a JOIN rhat_b b USING (param)""")
 def r3_convergence_stream(spark, sf_dir):
     base = f"{scratch_dir(spark)}/convergence-{uuid.uuid4().hex}"
-    event_draws(spark, sf_dir).withColumn("run_id", F.lit("r1")).write.parquet(f"{base}/in")
-    stream = reports.stream_parquet(spark, f"{base}/in")
-    reports.convergence_stream(stream, f"{base}/draws", f"{base}/reports", f"{base}/cp").awaitTermination()
-    rows = reports.latest_reports(spark, f"{base}/reports").drop("max_rhat", "min_ess", "converged")
-    return rounded(rounded(rows, 6, ["rhat", "tau"]), 4, ["ess"])
+    draws = event_draws(spark, sf_dir).withColumn("run_id", F.lit("r1"))
+    steps = draws.agg(F.max("step") + 1).first()[0]
+    for k in range(3):
+        draws.where(F.floor(F.col("step") * 3 / steps) == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = reports.stream_parquet(spark, f"{base}/in", files=1)
+    reports.convergence_stream(
+        stream, f"{base}/draws", f"{base}/reports", f"{base}/cp", rhat_max=1.02).awaitTermination()
+    rows = reports.latest_reports(spark, f"{base}/reports")
+    return rounded(rounded(rows, 6, ["rhat", "tau", "max_rhat"]), 4, ["ess", "min_ess"])
 
 
 @query("r4_job_state_stream", f"WITH {JOB_COUNTS}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,7 @@ DEFAULTS = {
 
 _SCRATCH_KEY = "calib.scratch.dir"
 BATCH_BYTES = 16 << 20
+_made: list[str] = []
 
 
 def get_session(master: str | None = None, **conf: str) -> SparkSession:
@@ -68,9 +70,24 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_made() -> list[str]:
+    """Paths of the tables that ``materialize`` has written and nothing has dropped."""
+    return list(_made)
+
+
+def drop_tables(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    gone = set(paths)
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made[:] = [p for p in _made if p not in gone]
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))

@@ -47,6 +47,11 @@ def _lines(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n")
 
 
+def _lines_with(text: Column, mark: str) -> Column:
+    """The lines of a text that hold ``mark``; other lines are not cut out."""
+    return F.regexp_extract_all(text, F.lit(r"(?m)^.*\Q" + mark + r"\E.*$"), F.lit(0))
+
+
 def words_of(line: Column) -> Column:
     return F.split(F.trim(line), r"\s+")
 
@@ -187,7 +192,7 @@ def extxyz_comment(files: DataFrame) -> DataFrame:
 
 def energies(files: DataFrame) -> DataFrame:
     """(path, energy_ev): first total energy of each log; NULL when there is none."""
-    totals = F.filter(_lines(F.col("value")), lambda x: F.trim(x).startswith("ENERGY|")
+    totals = F.filter(_lines_with(F.col("value"), "ENERGY|"), lambda x: F.trim(x).startswith("ENERGY|")
                       & F.contains(x, F.lit("Total FORCE_EVAL")))
     found = F.filter(F.transform(totals, lambda x: number_of(F.element_at(words_of(x), -1))),
                      lambda v: v.isNotNull())
@@ -218,7 +223,7 @@ def whole_number(word: Column) -> Column:
 
 def force_arrays(files: DataFrame) -> DataFrame:
     """(path, forces ARRAY<STRUCT>): piped rows, else the last non-empty force table."""
-    piped = _force_rows(_lines(F.col("value")), lambda w: (F.get(w, F.lit(0)) == "FORCES|") & whole_number(w[1])
+    piped = _force_rows(_lines_with(F.col("value"), "FORCES|"), lambda w: (F.get(w, F.lit(0)) == "FORCES|") & whole_number(w[1])
                         & number_of(w[5]).isNotNull(), 2)
     blocks = F.split("value", r"(?m)^\s*ATOMIC FORCES\b")
     blocks = F.transform(F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0))),

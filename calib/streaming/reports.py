@@ -17,12 +17,15 @@ from calib.session import scratch_dir
 from calib.sources import text
 
 
-def stream_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """Whole text files as they appear: (path, value)."""
+def stream_files(spark: SparkSession, path: str, pattern: str | None = None, files: int | None = None
+                 ) -> DataFrame:
+    """Whole text files as they appear: (path, value); ``files`` a batch."""
     reader = spark.readStream.format("text").option("wholetext", True).option(
         "recursiveFileLookup", True)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
     return reader.load(path).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
