@@ -222,20 +222,30 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 
     Rows that repeat a key are told apart by their size, source and place among equals.
     """
-    plan = mix_plan(docs, key=key, text=text, source=source, **options).where("copies > 0")
+    plan = mix_plan(docs, key=key, text=text, source=source, **options)
     names = {c: f"__{k}" for k, c in enumerate(docs.columns)}
+    on = ["__key", "__source", "__size"]
     rows = docs.select(
         *[F.col(f"`{c}`").alias(n) for c, n in names.items()],
         F.col(f"`{key}`").cast("long").alias("__key"), F.col(f"`{source}`").cast("string").alias("__source"),
         word_count(F.col(f"`{text}`").cast("string")).alias("__size"))
-    twins = Window.partitionBy("__key", "__source", "__size")
-    rows = rows.withColumn("__twin", F.row_number().over(twins.orderBy("__size")))
-    plan = plan.select(F.col("doc_id").alias("__key"), F.col("source").alias("__source"),
-                       F.col("size").alias("__size"), "positions")
-    plan = plan.withColumn("__twin", F.row_number().over(twins.orderBy("positions")))
-    left, right = rows.alias("d"), plan.alias("p")
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("__key", "__source", "__size", "__twin")]
-    met = left.join(right, same).select(
-        *[F.col(f"d.{n}").alias(n) for n in names.values()], F.explode("positions").alias("__at"),
-        F.col("d.__key").alias("__key"))
-    return met.orderBy("__at", "__key").select(*[F.col(n).alias(c) for c, n in names.items()])
+    plan = materialize(plan.select(F.col("doc_id").alias("__key"), F.col("source").alias("__source"),
+                                   F.col("size").alias("__size"), "positions"), "plan")
+    twins = materialize(plan.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*on), "twins")
+
+    def joined(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+        met = left.alias("d").join(right.alias("p"), [F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}")) for c in cols], how)
+        return met if how.startswith("left") else met.select("d.*", *[
+            F.col(f"p.{c}") for c in right.columns if c not in cols])
+
+    # Texts are shuffled once to meet their positions; only twins are numbered among themselves.
+    if twins.isEmpty():
+        met = joined(rows, plan, on)
+    else:
+        by = Window.partitionBy(*on)
+        number = lambda df, order: df.withColumn("__twin", F.row_number().over(by.orderBy(order)))
+        again = joined(number(joined(rows, twins, on, "left_semi"), "__size"),
+                       number(joined(plan, twins, on, "left_semi"), "positions"), [*on, "__twin"]).drop("__twin")
+        met = joined(rows, joined(plan, twins, on, "left_anti"), on).unionByName(again)
+    copies = met.where("size(positions) > 0").withColumn("__at", F.explode("positions"))
+    return copies.orderBy("__at", "__key").select(*[F.col(n).alias(c) for c, n in names.items()])

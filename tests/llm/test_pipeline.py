@@ -3,7 +3,8 @@
 from collections import Counter
 
 import corpus_pipeline
-from calib.llm import jaccard
+from calib.llm import curriculum, jaccard
+from calib.session import tables_made
 from test_text_operators import brute_groups, brute_lines
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -58,6 +59,24 @@ def test_odd_rows(spark, odd, tmp_path):
     assert coded.count() == mixed.count() > 0
 
 
+def test_scratch_of_earlier_stages_is_dropped(spark, odd, tmp_path):
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    before = set(tables_made())
+    run_stages(spark, docs, str(tmp_path))
+    left = set(tables_made()) - before
+    # Encoding makes no tables, so those of mixing went when it started.
+    assert not left and not corpus_pipeline._earlier
+
+
+def test_twins_are_mixed_once_each(spark):
+    rows = [(None, "a b c", "en", "s", k) for k in range(40)] + [(1, "d e f", "en", "s", 99), (2, "g h", "en", "s", 98)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = Counter(r["n_chars"] for r in curriculum.mixed(docs).collect())
+    plan = curriculum.mix_plan(docs).collect()
+    assert sum(taken.values()) == sum(r["copies"] for r in plan)
+    assert Counter(taken.values()) == Counter(r["copies"] for r in plan if r["copies"])
+
+
 def test_empty(spark, empty, tmp_path):
     docs = empty.select("doc_id", "text", "lang", "source", "n_chars")
     for df in run_stages(spark, docs, str(tmp_path)):
