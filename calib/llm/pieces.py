@@ -35,6 +35,7 @@ from calib.llm.blocks import as_bytes, bounded_batches, list_array, slices
 SPACE = "▁"
 MEMORY = 250_000
 LONGEST_KEPT = 64
+LAST = float("inf")
 NONE = -1
 
 
@@ -68,6 +69,7 @@ class Codec:
         self.rank = {p: (-v.scores[i], i) for i, p in enumerate(v.pieces)
                      if not v.hidden[i] and i not in v.bytes}
         self.id_of = {p: i for p, (_, i) in self.rank.items()}
+        self.order = {p: r for p, (r, _) in self.rank.items()}
         letters = set("".join(self.rank))
         if missing := [c for c in letters if c not in self.rank]:
             raise ValueError(f"{len(missing)} characters are no pieces of their own")
@@ -91,64 +93,59 @@ class Codec:
         inside = "".join(re.escape(c) for c in sorted(letters - {SPACE}))
         self.segments = re.compile(f"{SPACE}+[{inside}]*|[{inside}]+|[^{inside}{SPACE}]").findall
         self.letters = letters
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs = Pairs(self)
         self.recent = Recent(self)
 
     def merge(self, text: str) -> list[int]:
         """Ids by repeated merging of the best neighbours, leftmost first; for short texts."""
         parts = list(text)
-        while len(parts) > 1:
-            found = [(self.rank[a + b][0], k) for k, (a, b) in enumerate(zip(parts, parts[1:]))
-                     if a + b in self.rank]
-            if not found:
-                break
-            k = min(found)[1]
+        order = self.order.get
+        ranks = [order(a + b, LAST) for a, b in zip(parts, parts[1:])]
+        while ranks and (best := min(ranks)) != LAST:
+            k = ranks.index(best)
             parts[k:k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            # Only the pairs beside the merged part have changed.
+            if k:
+                ranks[k - 1] = order(parts[k - 1] + parts[k], LAST)
+            if k < len(ranks):
+                ranks[k] = order(parts[k] + parts[k + 1], LAST)
         return [self.id_of[p] for p in parts]
 
-    def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= MEMORY:
-                self.pairs.clear()
-            pieces = self.vocabulary.pieces
-            known = self.pairs[key] = self.merge(pieces[left] + pieces[right]) == [left, right]
-        return known
-
     def backtrack(self, text: str) -> list[int]:
         """Ids of a segment all of whose characters are pieces."""
         n = len(text)
         longest = [NONE] * n
         for end, (piece, length) in self.automaton.iter(text):
             longest[end - length + 1] = piece
-        failed = bytearray(n // 8 + 1)
+        lengths, shorter, compatible = self.length, self.shorter, self.pairs
+        failed, some_failed = bytearray(n // 8 + 1), False
         taken: list[int] = []
-        at, piece = 0, longest[0]
-        while at < n:
-            before = taken[-1] if taken else NONE
-            while True:
-                end = at + self.length[piece]
-                if not failed[end >> 3] >> (end & 7) & 1 and (
-                        before == NONE or self.compatible(before, piece)):
-                    taken.append(piece)
-                    at, piece = end, longest[end] if end < n else NONE
-                    break
-                if self.shorter[piece] != NONE:
-                    piece = self.shorter[piece]
-                    continue
+        at, piece, before = 0, longest[0], NONE
+        while True:
+            end = at + lengths[piece]
+            if not (some_failed and failed[end >> 3] >> (end & 7) & 1) and (
+                    before == NONE or compatible[before, piece]):
+                taken.append(piece)
+                if end == n:
+                    return taken
+                at, piece, before = end, longest[end], piece
+                continue
+            piece = shorter[piece]
+            if piece == NONE:
                 failed[at >> 3] |= 1 << (at & 7)
+                some_failed = True
                 piece = taken.pop()
-                at -= self.length[piece]
-                break
-        return taken
+                at -= lengths[piece]
+                before = taken[-1] if taken else NONE
 
     def segment(self, text: str) -> tuple[tuple[int, ...], str]:
         """Ids of a segment and what they decode to."""
         if text[0] in self.letters:
             ids = tuple(self.backtrack(text))
-        else:
-            ids = tuple(self.byte_ids[b] for b in text.encode())
+            # No byte pieces and no hidden ones among them.
+            return ids, "".join(map(self.vocabulary.pieces.__getitem__, ids)).replace(SPACE, " ")
+        ids = tuple(self.byte_ids[b] for b in text.encode())
         return ids, self.spell(ids)
 
     def parts(self, text: str) -> list[tuple[tuple[int, ...], str]]:
@@ -189,17 +186,43 @@ class Codec:
         return text[1:] if ids and self.vocabulary.pieces[ids[0]].startswith(SPACE) else text
 
 
+class Pairs(dict):
+    """(left, right) to whether merging their text anew gives the two.
+
+    Its size is bounded: when it is full, its entries become the older generation, from which
+    those asked for again come back.
+    """
+
+    def __init__(self, codec: Codec):
+        super().__init__()
+        self.codec = codec
+        self.older: dict[tuple[int, int], bool] = {}
+
+    def __missing__(self, key: tuple[int, int]) -> bool:
+        known = self.older.get(key)
+        if known is None:
+            pieces = self.codec.vocabulary.pieces
+            known = self.codec.merge(pieces[key[0]] + pieces[key[1]]) == [*key]
+        if len(self) >= MEMORY // 2:
+            self.older = self.copy()
+            self.clear()
+        self[key] = known
+        return known
+
+
 class Recent(dict):
-    """Segment to (ids, spelling), with a bounded memory of recent short segments."""
+    """Segment to (ids, spelling), for recent short segments; bounded as ``Pairs`` is."""
 
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec = codec
+        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def __missing__(self, text: str) -> tuple[tuple[int, ...], str]:
-        part = self.codec.segment(text)
+        part = self.older.get(text) or self.codec.segment(text)
         if len(text) <= LONGEST_KEPT:
-            if len(self) >= MEMORY:
+            if len(self) >= MEMORY // 2:
+                self.older = self.copy()
                 self.clear()
             self[text] = part
         return part
