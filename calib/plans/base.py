@@ -185,3 +185,14 @@ atoms AS (
          (embedding[3]::DOUBLE + 0.5) * 12.0::DOUBLE AS z
   FROM embeddings)
 """
+
+
+def _wrapped(axis: str) -> str:
+    return (f"CASE WHEN {axis} % {BOX}::DOUBLE < 0 THEN ({axis} % {BOX}::DOUBLE + {BOX}::DOUBLE) % {BOX}::DOUBLE "
+            f"ELSE {axis} % {BOX}::DOUBLE END AS {axis}")
+
+
+# The same atoms with coordinates inside the box, as ``atoms`` gives them.
+WRAPPED_ATOMS = ATOMS.replace("atoms AS", "free AS", 1) + f""",
+atoms AS (SELECT * REPLACE ({', '.join(_wrapped(x) for x in 'xyz')}) FROM free)
+"""
