@@ -8,8 +8,8 @@ from calib.functions import expr
 from calib.functions.expr import gaussian_weights, savgol_matrix
 from calib.operators import curves, lattice, ordering, pairs
 from calib.plans.base import (
-    ATOMS, BOX, DAYS, EVENT_CURVES, LINE_DRAWS_WIDE, LINE_PARAMS, REFERENCE_CURVES, atoms,
-    event_curves, line_draws_wide, query, r, reference_curves, rounded, table,
+    ATOMS, BOX, DAYS, EVENT_CURVES, LINE_DRAWS_WIDE, LINE_PARAMS, REFERENCE_CURVES, WRAPPED_ATOMS,
+    atoms, event_curves, line_draws_wide, query, r, reference_curves, rounded, table,
 )
 
 PLACE = ["frame", "atom_id", "x", "y", "z", "bx", "by", "bz"]
@@ -162,7 +162,7 @@ triples AS (
 
 
 @query("j4_skewed_triples", f"""
-WITH {ATOMS}, {BONDS}, {SKEWED}, {SKEWED_TRIPLES}
+WITH {WRAPPED_ATOMS}, {BONDS}, {SKEWED}, {SKEWED_TRIPLES}
 SELECT frame, donor, hydrogen, acceptor, {r('distance')} AS distance, {r('angle', 4)} AS angle
 FROM triples WHERE angle > 150""")
 def j4_skewed_triples(spark, sf_dir):
