@@ -209,12 +209,9 @@ def force_row(words: Column, usable: Column, at: int) -> Column:
 
 
 def _force_rows(lines: Column, usable: Callable[[Column], Column], at: int) -> Column:
-    """The forces of all lines that have them."""
-    def row(line: Column) -> Column:
-        w = words_of(line)
-        return force_row(w, usable(w), at)
-
-    return F.filter(F.transform(lines, row), lambda f: f.isNotNull())
+    """The forces of all lines that have them; each line is cut into words once."""
+    return F.filter(F.transform(F.transform(lines, words_of), lambda w: force_row(w, usable(w), at)),
+                    lambda f: f.isNotNull())
 
 
 def whole_number(word: Column) -> Column:
