@@ -97,16 +97,15 @@ def with_normal_quantile(df: DataFrame, u: str, name: str) -> DataFrame:
     """Add the standard normal quantile sqrt(2) * erfinv(2u - 1) of column ``u``.
 
     Built in steps, so every intermediate value is computed once per row; the last one
-    goes through a generator, so that a later filter on it is not pushed into the steps.
+    passes through a generator, so that a later filter on it is not pushed into the steps.
+    A generator is not compiled, so it gets the finished value.
     """
 
-    # One fold over the branch's coefficients keeps the generated code short enough
-    # for the JIT compiler.
-    def poly(centre, mid, tail):
-        highest_first = [vec(list(reversed(c))) for c in (centre, mid, tail)]
-        coefs = F.when(F.col("__b") == 0, highest_first[0]).when(
-            F.col("__b") == 1, highest_first[1]).otherwise(highest_first[2])
-        return F.aggregate(coefs, F.lit(0.0), lambda acc, c: acc * F.col("__t") + c)
+    def poly(coefs):
+        total = F.lit(coefs[-1])
+        for c in reversed(coefs[:-1]):
+            total = total * F.col("__t") + c
+        return total
 
     q = F.col("__q")
     root = F.sqrt(-F.log(F.least(F.col(u), F.lit(1.0) - F.col(u))))
@@ -117,9 +116,12 @@ def with_normal_quantile(df: DataFrame, u: str, name: str) -> DataFrame:
         .withColumn("__t", F.when(F.col("__b") == 0, F.lit(0.180625) - q * q)
                     .otherwise(F.col("__r") - F.when(F.col("__b") == 1, 1.6).otherwise(5.0)))
     )
-    scale = F.when(F.col("__b") == 0, q).otherwise(F.signum(q))
-    z = scale * poly(_CENTRE_NUM, _MID_NUM, _TAIL_NUM) / poly(_CENTRE_DEN, _MID_DEN, _TAIL_DEN)
-    return steps.withColumn(name, F.explode(F.array(z))).drop("__q", "__r", "__b", "__t")
+    sign = F.signum(q)
+    z = F.when(F.col("__b") == 0, q * poly(_CENTRE_NUM) / poly(_CENTRE_DEN)).when(
+        F.col("__b") == 1, sign * poly(_MID_NUM) / poly(_MID_DEN)).otherwise(
+        sign * poly(_TAIL_NUM) / poly(_TAIL_DEN))
+    return steps.withColumn("__z", z).withColumn(name, F.explode(F.array("__z"))).drop(
+        "__q", "__r", "__b", "__t", "__z")
 
 
 # -- kernels and mean functions -------------------------------------------

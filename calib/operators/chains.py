@@ -24,15 +24,16 @@ BY = ("param",)
 
 
 def rank_normalize(draws: DataFrame, by: Sequence[str] = BY, value: str = "value",
-                   name: str = "z", window_rows: int = WINDOW_ROWS, rank: str | None = None
-                   ) -> DataFrame:
+                   name: str = "z", window_rows: int = WINDOW_ROWS, rank: str | None = None,
+                   stored: bool = False) -> DataFrame:
     """Normal scores of ordinal ranks; ties go by step, then chain.
 
-    ``rank`` names a column that keeps the rank, with ``<rank>_of`` for the group size.
+    ``rank`` names a column that keeps the rank, with ``<rank>_of`` for the group size;
+    ``stored`` ranks are ordered once for all uses.
     """
     by = list(by)
     r = rank or "__rank"
-    ranked = number_rows(draws, by, [value, "step", "chain"], r, window_rows)
+    ranked = number_rows(draws, by, [value, "step", "chain"], r, window_rows, stored)
     sizes = draws.groupBy(*by).agg(F.count(F.lit(1)).alias(f"{r}_of"))
     u = (F.col(r) - 0.375) / (F.col(f"{r}_of") + 0.25)
     u = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), u))
@@ -94,11 +95,13 @@ def rank_split_rhat(draws: DataFrame, by: Sequence[str] = BY,
     """Larger of the rank-normalised split R-hat of the draws and of the folded draws.
 
     The lower median is read off the ranks, so only two global orderings are made.
-    ``ranked`` may hand in the result of ``ranked_draws``.
+    ``ranked`` may hand in the result of ``ranked_draws``; otherwise only the ranks are
+    stored, as the scores are read once.
     """
     by = list(by)
     if ranked is None:
-        ranked = ranked_draws(draws, by, window_rows)
+        ranked = rank_normalize(draws.select(*by, "chain", "step", "value"), by,
+                                window_rows=window_rows, rank="rank", stored=True)
     steps = step_counts(ranked, by)
     plain = split_rhat(ranked, by, "z", "rhat_rank", steps)
     middle = ranked.where(F.col("rank") == F.floor((F.col("rank_of") + 1) / 2)).select(

@@ -84,12 +84,17 @@ def _earlier(table: DataFrame, keys: Sequence[str], total: Column) -> DataFrame:
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Order, name: str = "row_number",
-                window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """1-based position of each row inside its group under a total order."""
+                window_rows: int = WINDOW_ROWS, stored: bool = False) -> DataFrame:
+    """1-based position of each row inside its group under a total order.
+
+    ``stored`` rows can be read several times without being ordered again; ranged rows
+    always can, as they lie in a table.
+    """
     keys = list(keys)
     if largest_group(df, keys) <= window_rows:
         w = Window.partitionBy(*keys).orderBy(*[col(o) for o in order])
-        return df.withColumn(name, F.row_number().over(w).cast("long"))
+        numbered = df.withColumn(name, F.row_number().over(w).cast("long"))
+        return materialize(numbered, "numbered") if stored else numbered
     table = _spread(df, keys, order)
     joined = attach(table, _earlier(table, keys, F.count(F.lit(1))), [*keys, "__part"])
     place = F.col("__before") + F.col("__place") - F.col("__first") + 1

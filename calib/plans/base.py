@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from calib.operators.curves import fill_bins
 from calib.operators.ordering import number_rows
-from calib.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,20 +51,22 @@ CHAINS = 64
 
 
 def dealt(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """All rows as (chain, step, ...): dealt in turn to as many chains as divide their number."""
+    """All rows as (chain, step, ...): dealt in turn to as many chains as divide their number.
+
+    Stored, as draws are.
+    """
     n = rows.count()
     chains = max(k for k in range(1, CHAINS + 1) if n % k == 0)
     place = F.col("__place") - 1
-    return number_rows(rows, [], order, "__place").withColumns({
+    return number_rows(rows, [], order, "__place", stored=True).withColumns({
         "chain": place % chains, "step": F.floor(place / chains)}).drop("__place")
 
 
 def event_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chain, step, param, value) of all events; stored, as draws are."""
+    """(chain, step, param, value) of all events."""
     events = table(spark, sf_dir, "events").select(
         "ts", "event_id", F.lit("value").alias("param"), "value")
-    return materialize(dealt(events, ["ts", "event_id"]).select(
-        "chain", "step", "param", "value"), "draws")
+    return dealt(events, ["ts", "event_id"]).select("chain", "step", "param", "value")
 
 
 def _dealt_sql(source: str, columns: str, order: str) -> str:
@@ -88,7 +89,7 @@ LINE_PARAMS = ("l_quantity", "l_discount", "l_extendedprice")
 def line_draws_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chain, step, l_quantity, l_discount, l_extendedprice) of all line items."""
     lines = table(spark, sf_dir, "lineitem").select(*LINE_KEY, *LINE_PARAMS)
-    return materialize(dealt(lines, LINE_KEY).select("chain", "step", *LINE_PARAMS), "draws")
+    return dealt(lines, LINE_KEY).select("chain", "step", *LINE_PARAMS)
 
 
 def line_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
