@@ -20,6 +20,8 @@ from calib.operators.ordering import (
 from calib.session import bounded_batches, materialize
 
 LAG_BLOCK = 2048
+LONG_BLOCK = 65_536
+HELD_SUMS = 1 << 22
 BY = ("param",)
 
 
@@ -135,12 +137,31 @@ def _tile_product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.concatenate([out[size - len(x) + 1:], out[:len(y)]])
 
 
+def _added(sums: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows of equal ``key`` added up; a task holds one array at a time."""
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, total = None, None
+        for batch in batches:
+            for k, v in zip(batch[list(key)].itertuples(index=False, name=None), batch["sums"]):
+                if k == last:
+                    total += v
+                    continue
+                if last is not None:
+                    yield pd.DataFrame([(*last, total)], columns=[*key, "sums"])
+                last, total = k, np.array(v)
+        if last is not None:
+            yield pd.DataFrame([(*last, total)], columns=[*key, "sums"])
+
+    return sums.repartition(*key).sortWithinPartitions(*key).mapInPandas(add, sums.schema)
+
+
 def _lag_sums(blocks: DataFrame, series: Sequence[str], low: int, high: int | None, block: int
               ) -> DataFrame:
     """(series, n_steps, lag, s): lag sums of all lags from ``low`` to below ``high``.
 
     Lag k pairs a block with those k // block and k // block + 1 blocks later.  A task holds
-    two blocks at a time, and adds up what pairs of one distance give.
+    two blocks at a time; the sums of ``block`` lags are one array, and arrays are added up
+    before they become rows.
     """
     bounded_batches(blocks.sparkSession)
     last = F.floor((F.col("n_steps") - 1) / block) - F.col("b")
@@ -156,36 +177,33 @@ def _lag_sums(blocks: DataFrame, series: Sequence[str], low: int, high: int | No
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, np.ndarray] = {}
 
-        def flush() -> pd.DataFrame:
-            rows = [(*k[:-1], f, v) for k, (f, v) in (
-                (k, (max(low, (k[-1] - 1) * block + 1), v)) for k, v in held.items())]
+        def flush() -> Iterator[pd.DataFrame]:
+            for k, v in held.items():
+                yield pd.DataFrame([(*k, v)], columns=[*series, "n_steps", "first", "sums"])
             held.clear()
-            return pd.DataFrame(rows, columns=[*series, "n_steps", "first", "sums"])
 
         for batch in batches:
             for key, x, y in zip(batch[[*series, "n_steps", "d"]].itertuples(index=False, name=None),
                                  batch["left"], batch["right"]):
                 n, d = int(key[-2]), int(key[-1])
-                start = max(low, (d - 1) * block + 1)
-                stop = min((d + 1) * block, n, n if high is None else high)
-                if stop <= start:
-                    continue
-                sums = held.setdefault((*key[:-2], n, d), np.zeros(stop - start))
                 got = _tile_product(np.asarray(x), np.asarray(y))
                 at = d * block - len(x) + 1  # the lag of the first product
-                a, b = max(start, at), min(stop, at + len(got))
-                if b > a:
-                    sums[a - start:b - start] += got[a - at:b - at]
-            if len(held) > 256:
-                yield flush()
-        if held:
-            yield flush()
+                for k in (d - 1, d):
+                    start = max(low, k * block)
+                    stop = min((k + 1) * block, n, n if high is None else high)
+                    a, b = max(start, at), min(stop, at + len(got))
+                    if b > a:
+                        sums = held.setdefault((*key[:-2], n, start), np.zeros(stop - start))
+                        sums[a - start:b - start] += got[a - at:b - at]
+            if len(held) * block > HELD_SUMS:
+                yield from flush()
+        yield from flush()
 
     kept = ", ".join(f"`{c}` {blocks.schema[c].dataType.simpleString()}" for c in series)
     sums = pairs.mapInPandas(add, f"{kept}, n_steps long, first long, sums array<double>")
-    lags = sums.select(*series, "n_steps", "first", F.posexplode("sums").alias("p", "s"))
-    return lags.groupBy(*series, "n_steps", (F.col("first") + F.col("p")).alias("lag")).agg(
-        F.sum("s").alias("s"))
+    return _added(sums, [*series, "n_steps", "first"]).select(
+        *series, "n_steps", "first", F.posexplode("sums").alias("p", "s")).select(
+        *series, "n_steps", (F.col("first") + F.col("p")).alias("lag"), "s")
 
 
 def _rho(sums: DataFrame, zero: DataFrame, series: Sequence[str]) -> DataFrame:
@@ -196,13 +214,17 @@ def _rho(sums: DataFrame, zero: DataFrame, series: Sequence[str]) -> DataFrame:
 
 
 def autocorrelation(draws: DataFrame, by: Sequence[str] = BY, value: str = "value",
-                    max_lag: int | None = None, block: int = LAG_BLOCK) -> DataFrame:
+                    max_lag: int | None = None, block: int | None = None) -> DataFrame:
     """Autocorrelation of every chain at all its lags, or up to ``max_lag``.
 
     Chains are cut into blocks of steps.  Every pair of blocks is one product, so long
-    chains spread over many tasks, and the sums of the pairs add up exactly.
+    chains spread over many tasks, and the sums of the pairs add up exactly.  Blocks grow
+    with the longest chain to at most ``LONG_BLOCK`` steps, so that pairs stay few.
     """
     series = [*by, "chain"]
+    if block is None:
+        longest = draws.agg(F.max("step") + 1).first()[0] or 1
+        block = min(max(LAG_BLOCK, 1 << ((longest - 1) // 8).bit_length()), LONG_BLOCK)
     blocks = materialize(_blocks(draws, series, value, block), "blocks")
     sums = materialize(_lag_sums(blocks, series, 0, None if max_lag is None else max_lag + 1, block), "lags")
     zero = sums.where("lag = 0").select(*series, (F.col("s") / F.col("n_steps")).alias("var"))
