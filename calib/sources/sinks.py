@@ -39,16 +39,29 @@ def write_extxyz(frames: DataFrame, path: str, mode: str = "errorifexists") -> N
 
 def write_trajectories(frames: DataFrame, path: str, by: str, order: str, parts: int | None = None,
                        mode: str = "errorifexists") -> None:
-    """Frames as extended XYZ files in one folder per value of ``by``, in the order of ``order``.
+    """Frames as extended XYZ files in one folder per value of ``by``, in the order of ``order``."""
+    write_texts(extxyz_text(frames, [by, order]), path, by, order, parts, mode)
 
-    Frames are range partitioned, so a long trajectory has several files; read by name,
-    they follow one another.  Files appear when their task, and the folder when the job, is
+
+PART_ROWS = 200_000
+
+
+def write_texts(texts: DataFrame, path: str, by: str, order: str, parts: int | None = None,
+                mode: str = "errorifexists") -> None:
+    """Texts (``by``, ``order``, value) in one folder per value of ``by``, in the order of ``order``.
+
+    Texts are range partitioned, so a long folder has several files; read by name, they
+    follow one another (``lines.folder_lines``).  A task orders about ``PART_ROWS`` texts,
+    however many there are.  Files appear when their task, and the folder when the job, is
     committed; a failed write leaves none.
     """
-    text = extxyz_text(frames, [by, order])
     keys = [F.col(by), F.col(order)]
-    dealt = text.repartitionByRange(parts, *keys) if parts else text.repartitionByRange(*keys)
-    dealt.sortWithinPartitions(*keys).select(by, "value").write.mode(mode).partitionBy(by).text(path)
+    if parts is None:
+        # A given number is kept; partitions joined by their compressed size would be too large.
+        parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                    -(-texts.select(*keys).count() // PART_ROWS))
+    texts.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select(
+        by, "value").write.mode(mode).partitionBy(by).text(path)
 
 
 MAX_DATASET_VALUES = 20_000_000
