@@ -360,22 +360,24 @@ def fixed4(x: Column) -> Column:
 
 def general(x: Column, digits: int) -> Column:
     """Shortest text with at most ``digits`` significant digits."""
-    text = F.format_string(f"%.{digits - 1}e", x)
-    mantissa = F.regexp_replace(F.split(text, "e")[0], r"\.?0+$", "")
-    mantissa = F.when(F.instr(F.split(text, "e")[0], ".") > 0, mantissa).otherwise(
-        F.split(text, "e")[0])
-    exponent = F.split(text, "e")[1].cast("int")
-    pieces = F.lit(None).cast("string")
-    for e in range(-4, digits):
-        decimals = max(digits - 1 - e, 0)
-        shown = F.format_string(f"%.{decimals}f", x)
-        if decimals:
-            shown = F.regexp_replace(shown, r"\.?0+$", "")
-        pieces = F.when(exponent == e, shown).otherwise(pieces)
-    sci = F.concat(mantissa, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"),
-                   F.lpad(F.abs(exponent).cast("string"), 2, "0"))
-    return F.when(x == 0, F.lit("0")).when((exponent < -4) | (exponent >= digits), sci).otherwise(
-        pieces)
+    def of_parts(v: Column, parts: Column) -> Column:
+        mantissa = F.when(F.instr(parts[0], ".") > 0, F.regexp_replace(parts[0], r"\.?0+$", "")).otherwise(parts[0])
+        exponent = parts[1].cast("int")
+        pieces = F.lit(None).cast("string")
+        for e in range(-4, digits):
+            decimals = max(digits - 1 - e, 0)
+            shown = F.format_string(f"%.{decimals}f", v)
+            if decimals:
+                shown = F.regexp_replace(shown, r"\.?0+$", "")
+            pieces = F.when(exponent == e, shown).otherwise(pieces)
+        sci = F.concat(mantissa, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"),
+                       F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+        return F.when(v == 0, F.lit("0")).when((exponent < -4) | (exponent >= digits), sci).otherwise(pieces)
+
+    # Values bound by a lambda are found once; each use would format the number again.
+    parts = lambda v: F.array(F.split(F.format_string(f"%.{digits - 1}e", v), "e"))
+    return F.get(F.transform(F.array(x), lambda v: F.get(F.transform(
+        parts(v), lambda p: of_parts(v, p)), F.lit(0))), F.lit(0))
 
 
 def pad_id(x: str | Column, width: int = 3) -> Column:

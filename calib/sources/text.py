@@ -94,18 +94,26 @@ def _nonempty(text: Column) -> Column:
     return F.when(text != "", text)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``; a value bound by a lambda is found once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _atom(line: Column) -> Column:
     """An atom line as a struct; ``bad`` if it has no symbol and three numbers."""
-    w = words_of(line)
-    number = lambda i: F.try_element_at(w, F.lit(i)).try_cast("double")
-    forced = F.size(w) >= 7
-    bad = number(2).isNull() | number(3).isNull() | number(4).isNull()
-    for k in (5, 6, 7):
-        bad = bad | (forced & number(k).isNull())
-    return F.struct(
-        w[0].alias("symbol"), number(2).alias("x"), number(3).alias("y"), number(4).alias("z"),
-        *[F.when(forced, number(k)).alias(n) for k, n in ((5, "fx"), (6, "fy"), (7, "fz"))],
-        forced.alias("has_force"), bad.alias("bad"), line.alias("line"))
+    def parsed(v: Column) -> Column:
+        w, number = v["w"], lambda k: F.get(v["numbers"], F.lit(k - 2))
+        forced = F.size(w) >= 7
+        bad = number(2).isNull() | number(3).isNull() | number(4).isNull()
+        for k in (5, 6, 7):
+            bad = bad | (forced & number(k).isNull())
+        return F.struct(
+            w[0].alias("symbol"), number(2).alias("x"), number(3).alias("y"), number(4).alias("z"),
+            *[F.when(forced, number(k)).alias(n) for k, n in ((5, "fx"), (6, "fy"), (7, "fz"))],
+            forced.alias("has_force"), bad.alias("bad"), line.alias("line"))
+
+    return _once(words_of(line), lambda w: _once(F.struct(w.alias("w"), F.transform(
+        F.slice(w, 2, 6), lambda x: x.try_cast("double")).alias("numbers")), parsed))
 
 
 def frame_of_lines(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -126,19 +134,19 @@ def frame_of_lines(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     found = found.withColumns({
         "raw": F.transform(F.slice("lines", 3, n), _atom),
         "more": F.exists(F.slice("lines", n + 3, F.greatest(F.col("size") - n, F.lit(0))), lambda x: F.trim(x) != "")})
-    wrong = F.filter("raw", lambda a: a["bad"])
+    found = found.withColumn("wrong", F.get(F.filter("raw", lambda a: a["bad"]), F.lit(0))["line"])
     nine = (F.size("lattice") == 9) & F.forall("lattice", lambda v: v.isNotNull())
     issue = (F.when(F.col("n").isNull(), "no atom count")
              .when(F.col("size") < F.col("n"), F.concat_ws(" ", F.greatest("size", F.lit(0)), F.lit("of"), "n",
                                                             F.lit("atom lines")))
-             .when(F.size(wrong) > 0, F.concat(F.lit("invalid atom line: "), F.get(wrong, F.lit(0))["line"]))
+             .when(F.col("wrong").isNotNull(), F.concat(F.lit("invalid atom line: "), "wrong"))
              .when(F.col("more"), F.concat(F.lit("lines after the last of "), "n", F.lit(" atoms")))
              .when(F.col("lattice").isNotNull() & ~nine, "a Lattice field needs 9 values"))
-    found = found.withColumns({"issue": issue, "forced": F.forall("raw", lambda a: a["has_force"])})
-    force = lambda a, k: F.when(F.col("forced"), a[k]).alias(k)
-    atoms = F.transform("raw", lambda a: F.struct(
-        a["symbol"].alias("symbol"), a["x"].alias("x"), a["y"].alias("y"), a["z"].alias("z"),
-        force(a, "fx"), force(a, "fy"), force(a, "fz")))
+    found = found.withColumn("issue", issue)
+    # A column used inside a lambda would be found again for every atom once the planner merges the two.
+    atoms = _once(F.col("raw"), lambda raw: _once(F.forall(raw, lambda a: a["has_force"]), lambda forced: F.transform(
+        raw, lambda a: F.struct(*[a[k].alias(k) for k in ("symbol", "x", "y", "z")],
+                                *[F.when(forced, a[k]).alias(k) for k in ("fx", "fy", "fz")]))))
     return found.select(*keys, "n", F.when(F.col("issue").isNull(), atoms).alias("atoms"), "energy", "lattice",
                         "pbc", "source", "issue")
 
