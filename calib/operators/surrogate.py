@@ -323,6 +323,7 @@ def search_hyperparameters(sets: DataFrame, n_params: int, n_candidates: int = 2
     come back, with ``best`` marking the one winner of each QoI that has a finite score.
     """
     spark = sets.sparkSession
+    sets = materialize(sets, "sets")  # read in every round
     qois = sorted(r["qoi"] for r in sets.select("qoi").collect())
     priors = hyper_priors(n_params)
     centres = {q: [loc for loc, _ in priors] for q in qois}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from calib.operators import curves, ordering, posterior, surrogate, tiles
 from calib.plans.base import LINE_KEY, query, r, rounded, table
 from calib.plans.design_queries import ID
+from calib.session import materialize
 
 QOIS = ("F", "O", "P")
 HYPER = [(q, 0, [0.8, 1.2], 1.0, 0.05) for q in QOIS] + [(q, 1, [1.5, 0.6], 0.8, 0.1) for q in QOIS]
@@ -16,19 +17,23 @@ SIGMA = {"F": 0.3, "P": 0.5}
 
 
 def training(spark, sf_dir):
-    """(train_x, train_y): one training row per nation; monthly order totals by status."""
+    """(train_x, train_y): one training row per nation; monthly order totals by status.
+
+    The few totals are stored, so orders and customers are joined once for each, however
+    often the training rows are read.
+    """
     joined = table(spark, sf_dir, "orders").join(
         table(spark, sf_dir, "customer").select(
             F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("train_id"),
             "c_acctbal"), "o_custkey")
-    sizes = joined.groupBy("train_id").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("b"))
+    sizes = materialize(joined.groupBy("train_id").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("b")), "sizes")
     total = sizes.agg((F.sum("n") / F.count(F.lit(1))).alias("mean_n")).first()[0]
     train_x = sizes.select("train_id", F.array(
         F.col("b") / 500.0 - 9.0, F.col("n") / F.lit(float(total)) * 10.0 - 10.0).alias("params"))
-    sums = joined.groupBy(
+    sums = materialize(joined.groupBy(
         "train_id", F.col("o_orderstatus").alias("qoi"),
-        (F.month("o_orderdate") - 1).cast("int").alias("bin")).agg(F.sum("o_totalprice").alias("value"))
+        (F.month("o_orderdate") - 1).cast("int").alias("bin")).agg(F.sum("o_totalprice").alias("value")), "sums")
     filled = curves.fill_bins(sums, ["train_id", "qoi"], 12, "value")
     train_y = filled.join(sizes, "train_id").select(
         "train_id", "qoi", F.col("bin").alias("pos"),

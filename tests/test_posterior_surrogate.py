@@ -200,3 +200,13 @@ def test_cell_without_reference(spark):
     assert [r["value"] for r in align.align(samples, ref).collect()] == [2.0]
     with pytest.raises(Exception, match="no reference for a 0 x 1"):
         align.align(samples.withColumn("bin", samples["bin"] + 1), ref).collect()
+
+
+def test_training_rows_are_read_from_stored_totals(spark):
+    """Reading the training rows again joins no orders with customers."""
+    from calib.plans.posterior_queries import training
+    from check import SMALLEST
+
+    for rows in training(spark, SMALLEST):
+        assert rows.count() > 0
+        assert not [f for f in rows.inputFiles() if "orders" in f or "customer" in f]
