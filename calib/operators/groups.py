@@ -100,18 +100,20 @@ def compile_constraints(members: DataFrame, matches: DataFrame, constraints: Dat
                          [*system, "atom_id"], "left")
     parts = owned.groupBy(*eq, "param").agg(
         F.count(F.lit(1)).cast("double").alias("coef"), F.sum("charge").alias("charge"))
-    implicit = constraints.select("cid", "implicit", "target")
-    rows = parts.join(implicit, "cid")
-    heads = rows.groupBy(*eq).agg(
-        F.sum(F.when(F.col("param") == F.col("implicit"), F.col("coef"))).alias("divisor"),
-        F.sum(F.when(F.col("param").isNull(), F.col("charge")).otherwise(F.lit(0.0))).alias("fixed"))
-    scaled = attach(rows.where(F.col("param").isNotNull()), heads, eq).withColumn(
+    # Constraints and equations are stored: members are joined and counted once.
+    implicit = materialize(constraints.select("cid", "implicit", "target"), "constraints")
+    owner = F.col("param") == F.col("implicit")
+    equations = materialize(attach(parts, implicit, ["cid"], "inner").groupBy(*eq).agg(
+        F.first("target").alias("target"),
+        F.sum(F.when(owner, F.col("coef"))).alias("divisor"),
+        F.sum(F.when(F.col("param").isNull(), F.col("charge")).otherwise(F.lit(0.0))).alias("fixed"),
+        F.collect_list(F.when(F.col("param").isNotNull(), F.struct("param", "coef"))).alias("terms")), "equations")
+    scaled = equations.select(*eq, "divisor", F.inline("terms")).withColumn(
         "scaled", F.try_divide("coef", "divisor"))
     per_param = scaled.groupBy("cid", "param").agg(
         F.count(F.lit(1)).alias("seen"), F.min("scaled").alias("lo"), F.max("scaled").alias("hi"),
         F.min_by("coef", F.struct(*system, "grp")).alias("coefficient"))
-    goals = attach(heads, constraints.select("cid", "target"), ["cid"]).withColumn(
-        "goal", F.try_divide(F.col("target") - F.col("fixed"), "divisor"))
+    goals = equations.withColumn("goal", F.try_divide(F.col("target") - F.col("fixed"), "divisor"))
     per_cid = goals.groupBy("cid").agg(
         F.count(F.lit(1)).alias("equations"), F.count("divisor").alias("solvable"),
         F.min("goal").alias("glo"), F.max("goal").alias("ghi"),

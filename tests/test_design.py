@@ -151,3 +151,16 @@ def test_compiled_constraint(spark):
     got = groups.compile_constraints(m, match, con, ["system"]).orderBy("param").collect()
     assert [(r["param"], r["coefficient"], round(r["fixed"], 6), r["consistent"]) for r in got] == [
         ("charge A", 1.0, 0.3, True), ("charge B", 1.0, 0.3, True)]
+
+
+def test_compiled_constraints_read_members_once(spark, tmp_path):
+    """The result comes from stored equations, not from the members again."""
+    path = str(tmp_path / "members")
+    spark.createDataFrame([(0, 1, "a", i, 0.25) for i in range(6)],
+                          "system int, cid int, grp string, atom_id int, charge double").write.parquet(path)
+    m = spark.read.parquet(path)
+    match = spark.createDataFrame([(0, "p", 0), (0, "p", 1), (0, "q", 2)], "system int, param string, atom_id int")
+    con = m.select("cid").distinct().withColumns({"implicit": F.lit("p"), "target": F.lit(1.0)})
+    got = groups.compile_constraints(m, match, con, ["system"])
+    assert not [f for f in got.inputFiles() if "/members/" in f]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "p", 2.0, 0.75, 1, True), (1, "q", 1.0, 0.75, 1, True)]
