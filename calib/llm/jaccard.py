@@ -21,8 +21,10 @@ Groups of near copies are never expanded into all pairs.  In each round a bucket
 classes that share a prefix shingle) pairs one leader, later LEADERS, with all its members
 of other groups; a leader has then met the whole bucket and leaves it.  Verified links merge
 groups, and a bucket with one group left is settled.  Few remaining pairs of a bucket
-are tested at once.  The rounds end when all buckets are settled, so no link between
-different groups is missed.
+are tested at once, and up to AT_ONCE of them once most pairs that pass the bitmaps are no
+links; in larger buckets the leaders double each round.  The rounds end when all buckets are
+settled, so no link between different groups is missed.  Of buckets that hold the same
+classes one is kept, and a round reads the sets of the classes in its pairs only.
 
 Defined cases: NULL and empty texts have no shingles and link with nothing; texts of
 fewer words than a shingle are one shingle; rows that repeat a doc_id are one document
@@ -51,6 +53,7 @@ SAMPLE_DOCS = 16_384
 FREQUENT = 200_000
 LEADERS = 32
 PAIRS_AT_ONCE = 32
+AT_ONCE = 1 << 22
 ORDERS = 3
 SHARE = 8  # one more prefix shingle must be shared for every so many of a set
 NODES_SENT = 500_000
@@ -198,7 +201,21 @@ def _rarest(shared: DataFrame, sizes_of: DataFrame, percent: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("times"), "token"))
     rows = shared.join(sizes_of, "node").withColumn("__place", place).where(
         F.col("__place") >= _asked(percent))
-    return _shared(rows.select("token", "node")).select("token", "node").join(sizes_of, "node")
+    return _unlike(_shared(rows.select("token", "node"))).join(sizes_of, "node")
+
+
+def _unlike(shared: DataFrame) -> DataFrame:
+    """Postings (token, node) of the first of all buckets that hold the same nodes.
+
+    Near copies share most of their shingles, so most buckets repeat others.  Nodes are told
+    by three sums of 32-bit hashes and their count; a sum, unlike xor, also tells repeats.
+    """
+    by = Window.partitionBy("token")
+    marks = [F.sum(F.shiftrightunsigned(F.xxhash64("node", F.lit(k)), 32)).over(by).alias(f"mark{k}")
+             for k in range(3)]
+    rows = materialize(shared.select("token", "node", "times", *marks), "marked")
+    firsts = rows.groupBy("times", "mark0", "mark1", "mark2").agg(F.min("token").alias("token"))
+    return rows.join(firsts.select("token"), "token", "left_semi").select("token", "node")
 
 
 def _able(shared: DataFrame, sizes_of: DataFrame, percent: int) -> DataFrame:
@@ -223,10 +240,10 @@ def _may_link(percent: int) -> Column:
 def _settle(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, root) over the verified links inside the buckets (token, node, n, parity words)."""
     entry = ["token", "node", "n", *WORDS]
+    buckets = materialize(buckets, "buckets")
     labels = buckets.select("node").distinct().withColumn("root", F.col("node"))
     labels = materialize(labels, "labels")
-    buckets = materialize(buckets, "buckets")
-    leaders = 1
+    leaders, most = 1, 0
     found: DataFrame | None = None
     while True:
         marked = buckets.join(labels, "node")
@@ -237,7 +254,8 @@ def _settle(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         state = state.where("groups > 1")
         rest = (F.col("m") * F.col("m") - F.col("squares")) / 2
         # The first round only pairs every bucket with one leader, which merges most copies.
-        at_once = F.lit(False) if leaders == 1 else rest <= PAIRS_AT_ONCE * F.col("m")
+        at_once = F.lit(False) if leaders == 1 else rest <= F.greatest(
+            PAIRS_AT_ONCE * F.col("m"), F.lit(most))
         active = materialize(marked.join(
             state.select("token", "big", at_once.alias("at_once")), "token"), "active")
         if active.isEmpty():
@@ -259,12 +277,20 @@ def _settle(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pairs = left.join(other, (F.col("l.token") == F.col("r.token")) & F.expr(
             "l.root <> r.root AND (NOT r.at_once OR l.node < r.node)") & _may_link(percent))
         pairs = pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
-        links = materialize(_verified(materialize(pairs, "pairs"), sets, percent), "found")
+        pairs = materialize(pairs, "pairs")
+        links = materialize(_verified(pairs, _of_pairs(sets, pairs), percent), "found")
         found = links if found is None else found.unionByName(links)
         labels = materialize(_merged(labels, links), "labels")
         buckets = materialize(active.where("NOT at_once").select(*entry).join(
             chosen.select("token", "node"), ["token", "node"], "left_anti").unionByName(waiting), "buckets")
-        leaders = LEADERS
+        leaders = LEADERS if leaders == 1 else 2 * leaders
+        most = AT_ONCE if 2 * links.count() <= pairs.count() else 0
+
+
+def _of_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of the nodes in ``pairs``."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return sets.join(local_if_small(materialize(ends, "ends"), NODES_SENT), "node", "left_semi")
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:

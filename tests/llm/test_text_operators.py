@@ -413,6 +413,35 @@ def test_jaccard_near_copies(spark):
     assert len({w[2] for w in want}) > 41
 
 
+def test_jaccard_many_groups_in_one_bucket(spark, monkeypatch):
+    """A bucket of very many groups is settled in few rounds, with all its links."""
+    rng = random.Random(4)
+    sets = [np.array(sorted(rng.sample(range(1, 10 ** 6), 40)), np.uint64) for _ in range(200)]
+    for k in (7, 90, 91):
+        sets[150 + k // 2] = np.sort(np.append(sets[k][1:], np.uint64(10 ** 6 + k)))
+    bits = jaccard.parity(sets)
+    rows = [(k, *[[int(v) for v in s]] * 3, *[int(w) for w in b]) for k, (s, b) in enumerate(zip(sets, bits))]
+    whole = spark.createDataFrame(rows, "node long, shingles array<long>, prefix2 array<long>, prefix3 array<long>, "
+                                  + ", ".join(f"{w} long" for w in jaccard.WORDS))
+    buckets = whole.selectExpr("1L AS token", "node", "40L AS n", *jaccard.WORDS)
+    made, store = [], jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name="t": made.append(name) or store(df, name))
+    got = {r["node"]: r["root"] for r in jaccard._settle(buckets, whole, 85).collect()}
+    joined = {153: 7, 195: 91}
+    assert got == {k: joined.get(k, k) for k in range(200)}
+    assert made.count("found") <= 3
+
+
+def test_jaccard_equal_buckets(spark):
+    """Of buckets with the same members one is kept, and one that repeats a member differs."""
+    rows = [(t, n) for t, nodes in {1: (1, 2, 3), 2: (3, 2, 1), 3: (1, 2), 4: (1, 1, 2), 5: (1, 2), 6: (4, 5)}.items()
+            for n in nodes]
+    shared = jaccard._shared(spark.createDataFrame(rows, "token long, node long"))
+    sizes_of = spark.createDataFrame([(n, 4) for n in range(1, 6)], "node long, n long")
+    got = sorted((r["token"], r["node"]) for r in jaccard._rarest(shared, sizes_of, 85).collect())
+    assert got == sorted(r for r in rows if r[0] in (1, 3, 4, 6))
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(0, 40)] + [(60, 61), (None, 3), (5, 5), (61, 60)]
     got = {r["node"]: r["root"] for r in links.components(
