@@ -8,6 +8,9 @@ shorter piece that starts there is tried; when none is left, the place is marked
 bitfield as failed and the piece before is taken back.  A sequence in which all
 neighbours are compatible is the one that merging the whole text would give.
 
+Merging two pieces anew is followed backwards: of the two neighbours at the border the one
+merged last is taken apart, and at no point may the two then at the border merge earlier.
+
 Pieces hold the space sign only at their start, so a text falls into segments, a run of
 spaces and what follows it, that never share a piece; characters outside all pieces
 stand alone as byte pieces.  Recent segments are remembered in each worker.
@@ -78,7 +81,8 @@ class Codec:
             self.byte_ids[b] = i
         self.length = [len(p) for p in v.pieces]
         # Pieces that merging cannot reach never occur and stay out of the automaton.
-        reachable = [p for p in self.rank if self.merge(p) == [self.id_of[p]]]
+        cuts = {p: cut for p in self.rank for parts, cut in [self.merged(p)] if parts == [p]}
+        reachable = list(cuts)
         self.automaton = ahocorasick.Automaton()
         for p in reachable:
             self.automaton.add_word(p, (self.id_of[p], len(p)))
@@ -90,19 +94,37 @@ class Codec:
                 if p[:k] in known:
                     self.shorter[self.id_of[p]] = self.id_of[p[:k]]
                     break
+        # The two parts a piece is merged from; single characters have none and come first.
+        self.left, self.right = [NONE] * len(v.pieces), [NONE] * len(v.pieces)
+        self.time = [-LAST] * len(v.pieces)
+        # Whether all parts of a piece are merged before it, so that merges go by rank.
+        self.in_turn = [False] * len(v.pieces)
+        for p in sorted(reachable, key=len):
+            i, cut = self.id_of[p], cuts[p]
+            if len(p) == 1:
+                self.in_turn[i] = True
+            elif p[:cut] in known and p[cut:] in known:
+                a, b = self.id_of[p[:cut]], self.id_of[p[cut:]]
+                self.left[i], self.right[i], self.time[i] = a, b, self.order[p]
+                self.in_turn[i] = self.in_turn[a] and self.in_turn[b] and max(
+                    self.time[a], self.time[b]) < self.time[i]
         inside = "".join(re.escape(c) for c in sorted(letters - {SPACE}))
         self.segments = re.compile(f"{SPACE}+[{inside}]*|[{inside}]+|[^{inside}{SPACE}]").findall
         self.letters = letters
         self.pairs = Pairs(self)
         self.recent = Recent(self)
 
-    def merge(self, text: str) -> list[int]:
-        """Ids by repeated merging of the best neighbours, leftmost first; for short texts."""
-        parts = list(text)
+    def merged(self, text: str) -> tuple[list[str], int]:
+        """Repeated merging of the best neighbours, leftmost first; for short texts.
+
+        Also the length of the left part of the last merge.
+        """
+        parts, cut = list(text), 0
         order = self.order.get
         ranks = [order(a + b, LAST) for a, b in zip(parts, parts[1:])]
         while ranks and (best := min(ranks)) != LAST:
             k = ranks.index(best)
+            cut = len(parts[k])
             parts[k:k + 2] = [parts[k] + parts[k + 1]]
             del ranks[k]
             # Only the pairs beside the merged part have changed.
@@ -110,18 +132,39 @@ class Codec:
                 ranks[k - 1] = order(parts[k - 1] + parts[k], LAST)
             if k < len(ranks):
                 ranks[k] = order(parts[k] + parts[k + 1], LAST)
-        return [self.id_of[p] for p in parts]
+        return parts, cut
+
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether merging the text of two pieces anew gives the two."""
+        pieces = self.vocabulary.pieces
+        if not (self.in_turn[a] and self.in_turn[b]):
+            return self.merged(pieces[a] + pieces[b])[0] == [pieces[a], pieces[b]]
+        time, order = self.time, self.order.get
+        limit, also = LAST, False
+        while True:
+            met = order(pieces[a] + pieces[b], LAST)
+            # Of merges of one rank, also of pieces with equal scores, the left one comes first.
+            if met < limit or also and met == limit:
+                return False
+            if time[a] > time[b]:
+                limit, also, a = time[a], False, self.right[a]
+            elif (limit := time[b]) == -LAST:
+                return True
+            else:
+                also, b = True, self.left[b]
 
     def backtrack(self, text: str) -> list[int]:
         """Ids of a segment all of whose characters are pieces."""
         n = len(text)
-        longest = [NONE] * n
-        for end, (piece, length) in self.automaton.iter(text):
-            longest[end - length + 1] = piece
+        longest_from, longest = self.automaton.iter_long, []
+        if n > LONGEST_KEPT:  # every look-up copies the text
+            longest = [NONE] * n
+            for end, (piece, length) in self.automaton.iter(text):
+                longest[end - length + 1] = piece
         lengths, shorter, compatible = self.length, self.shorter, self.pairs
         failed, some_failed = bytearray(n // 8 + 1), False
         taken: list[int] = []
-        at, piece, before = 0, longest[0], NONE
+        at, piece, before = 0, longest[0] if longest else next(longest_from(text))[1][0], NONE
         while True:
             end = at + lengths[piece]
             if not (some_failed and failed[end >> 3] >> (end & 7) & 1) and (
@@ -129,7 +172,8 @@ class Codec:
                 taken.append(piece)
                 if end == n:
                     return taken
-                at, piece, before = end, longest[end], piece
+                at, before = end, piece
+                piece = longest[end] if longest else next(longest_from(text, end))[1][0]
                 continue
             piece = shorter[piece]
             if piece == NONE:
@@ -143,8 +187,8 @@ class Codec:
         """Ids of a segment and what they decode to."""
         if text[0] in self.letters:
             ids = tuple(self.backtrack(text))
-            # No byte pieces and no hidden ones among them.
-            return ids, "".join(map(self.vocabulary.pieces.__getitem__, ids)).replace(SPACE, " ")
+            # No byte pieces and no hidden ones among them; together they spell the segment.
+            return ids, text.replace(SPACE, " ")
         ids = tuple(self.byte_ids[b] for b in text.encode())
         return ids, self.spell(ids)
 
@@ -201,8 +245,7 @@ class Pairs(dict):
     def __missing__(self, key: tuple[int, int]) -> bool:
         known = self.older.get(key)
         if known is None:
-            pieces = self.codec.vocabulary.pieces
-            known = self.codec.merge(pieces[key[0]] + pieces[key[1]]) == [*key]
+            known = self.codec.compatible(*key)
         if len(self) >= MEMORY // 2:
             self.older = self.copy()
             self.clear()

@@ -413,6 +413,22 @@ def test_jaccard_near_copies(spark):
     assert len({w[2] for w in want}) > 41
 
 
+def test_pairs_without_merging(monkeypatch):
+    """Pairs are decided as merging them anew would, with (nearly) no text merged."""
+    codec = pieces.Codec(pieces.Vocabulary(piece_model()))
+    rng = random.Random(8)
+    ids = [i for i, ok in enumerate(codec.in_turn) if ok]
+    text = [codec.encode("".join(rng.choice("etaoinshrdlu ") for _ in range(300))) for _ in range(20)]
+    asked = [(rng.choice(ids), rng.choice(ids)) for _ in range(2000)] + list(codec.pairs)
+    names = codec.vocabulary.pieces
+    want = [codec.merged(names[a] + names[b])[0] == [names[a], names[b]] for a, b in asked]
+    assert text and {True, False} == set(want)
+    merged, calls = codec.merged, []
+    monkeypatch.setattr(codec, "merged", lambda t: calls.append(t) or merged(t))
+    assert [codec.compatible(a, b) for a, b in asked] == want
+    assert len(calls) < len(asked) // 20
+
+
 def test_jaccard_many_groups_in_one_bucket(spark, monkeypatch):
     """A bucket of very many groups is settled in few rounds, with all its links."""
     rng = random.Random(4)
