@@ -98,30 +98,31 @@ def with_normal_quantile(df: DataFrame, u: str, name: str) -> DataFrame:
 
     Built in steps, so every intermediate value is computed once per row; the last one
     passes through a generator, so that a later filter on it is not pushed into the steps.
-    A generator is not compiled, so it gets the finished value.
+    A generator is not compiled, so it gets the finished value.  Names that start with
+    ``__z_`` are taken by the steps.
     """
 
     def poly(coefs):
         total = F.lit(coefs[-1])
         for c in reversed(coefs[:-1]):
-            total = total * F.col("__t") + c
+            total = total * F.col("__z_t") + c
         return total
 
-    q = F.col("__q")
+    q = F.col("__z_q")
     root = F.sqrt(-F.log(F.least(F.col(u), F.lit(1.0) - F.col(u))))
     steps = (
-        df.withColumn("__q", F.col(u) - 0.5)
-        .withColumn("__r", F.when(F.abs(q) > 0.425, root))
-        .withColumn("__b", F.when(F.abs(q) <= 0.425, 0).when(F.col("__r") <= 5.0, 1).otherwise(2))
-        .withColumn("__t", F.when(F.col("__b") == 0, F.lit(0.180625) - q * q)
-                    .otherwise(F.col("__r") - F.when(F.col("__b") == 1, 1.6).otherwise(5.0)))
+        df.withColumn("__z_q", F.col(u) - 0.5)
+        .withColumn("__z_r", F.when(F.abs(q) > 0.425, root))
+        .withColumn("__z_b", F.when(F.abs(q) <= 0.425, 0).when(F.col("__z_r") <= 5.0, 1).otherwise(2))
+        .withColumn("__z_t", F.when(F.col("__z_b") == 0, F.lit(0.180625) - q * q)
+                    .otherwise(F.col("__z_r") - F.when(F.col("__z_b") == 1, 1.6).otherwise(5.0)))
     )
     sign = F.signum(q)
-    z = F.when(F.col("__b") == 0, q * poly(_CENTRE_NUM) / poly(_CENTRE_DEN)).when(
-        F.col("__b") == 1, sign * poly(_MID_NUM) / poly(_MID_DEN)).otherwise(
+    z = F.when(F.col("__z_b") == 0, q * poly(_CENTRE_NUM) / poly(_CENTRE_DEN)).when(
+        F.col("__z_b") == 1, sign * poly(_MID_NUM) / poly(_MID_DEN)).otherwise(
         sign * poly(_TAIL_NUM) / poly(_TAIL_DEN))
-    return steps.withColumn("__z", z).withColumn(name, F.explode(F.array("__z"))).drop(
-        "__q", "__r", "__b", "__t", "__z")
+    return steps.withColumn("__z_done", z).withColumn(name, F.explode(F.array("__z_done"))).drop(
+        "__z_q", "__z_r", "__z_b", "__z_t", "__z_done")
 
 
 # -- kernels and mean functions -------------------------------------------
