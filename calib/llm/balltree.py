@@ -4,7 +4,8 @@ Each shard has a ball tree: nodes with a centre and a radius, split at the media
 the direction between two distant points.  For a query q the inner products below a node
 are at most q.centre + |q| radius, and no more than any bound of the nodes above it.
 Leaves are visited from the highest bound down, until the next bound lies below the k-th
-score known so far; that score starts from the one other shards have found.
+score known so far.  Queries that start from a score other shards have found pass each
+leaf together, those whose bound lies below their score left out.
 
 Components become floor(scale * x) as whole numbers.  Products are exact while they stay
 below 2^53; larger ones are rounded as doubles are, and end at the limits of a long.
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calib.llm.search import search, usable
+from calib.llm.search import best_of, search, usable
 
 LEAF = 128
 MOST = float((1 << 63) - 1024)
@@ -63,12 +64,45 @@ def leaf_bounds(queries: np.ndarray, leaves: list) -> np.ndarray:
     return out
 
 
-def best_products(q_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, ids: np.ndarray,
+def best_products(leaves: list, q_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, ids: np.ndarray,
                   rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of query and row, and scores, of the k best rows (in id order) per query."""
-    n = len(queries)
-    leaves = build(rows)
     upper = leaf_bounds(queries, leaves)
+    known = np.flatnonzero(bounds > -np.inf)
+    others = np.flatnonzero(bounds == -np.inf)
+    parts = []
+    for at, way in ((known, _passed), (others, _ordered)):
+        if len(at):
+            q, place, score = way(leaves, upper[at], q_ids[at], queries[at], bounds[at], ids, rows, k)
+            parts.append((at[q], place, score))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _passed(leaves: list, upper: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray,
+            ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaf by leaf, all queries whose bound there reaches the score they start from."""
+    limit = bounds.copy()
+    q, place, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    for leaf, (at, _) in enumerate(leaves):
+        open_ = np.flatnonzero(upper[:, leaf] >= limit)
+        if not len(open_):
+            continue
+        found = queries[open_] @ rows[at].T
+        i, j = np.nonzero((found >= limit[open_][:, None]) & (ids[at][None, :] != q_ids[open_][:, None]))
+        q, place, score = (np.concatenate(x) for x in (
+            (q, open_[i]), (place, at[j]), (score, found[i, j])))
+        if len(q) > 2 * k * len(queries):
+            kept, last, full = best_of(q, place, score, k, True)
+            limit[full] = np.maximum(limit[full], score[last])
+            q, place, score = q[kept], place[kept], score[kept]
+    kept, _, _ = best_of(q, place, score, k, True)
+    return q[kept], place[kept], score[kept]
+
+
+def _ordered(leaves: list, upper: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray,
+             ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's leaves in order of its bounds."""
+    n = len(queries)
     order = np.argsort(-upper, 1, kind="stable")
     score = np.full((n, k), -np.inf)
     place = np.full((n, k), len(ids), np.int64)
@@ -105,6 +139,6 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int
             F.col(f"`{key}`").cast("long").alias("vec_id"),
             F.transform(f"`{vec}`", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
 
-    found = search(whole(vectors), whole(queries), k, best_products, largest=True)
+    found = search(whole(vectors), whole(queries), k, build, best_products, largest=True)
     held = F.greatest(F.least("score", F.lit(MOST)), F.lit(-MOST))
     return found.withColumn("score", held.cast("long"))

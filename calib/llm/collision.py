@@ -6,7 +6,9 @@ collides once for each window that holds it.  Virtual rehashing widens all windo
 the search radius; only the places that a wider window adds are counted.  A row whose
 collisions reach ``HITS`` is verified: its distance is computed on the original vectors.
 The search ends when the k-th distance found, or the one that another shard has found,
-is not beyond the radius; otherwise it goes on until every row has been verified.
+is not beyond the radius; otherwise it goes on until every row has been verified.  Where
+another shard's distance is known, the first radius is the one that reaches it: a wider
+window holds all that a narrower one holds, so no row is lost.
 
 A row at the radius lies in a window with probability 0.683; with 48 arrays it has 26
 collisions or more with probability 0.98, and a row at twice the radius with 0.02.
@@ -35,6 +37,8 @@ class Arrays:
     def __init__(self, rows: np.ndarray):
         n, dim = rows.shape
         self.n = n
+        self.squares = (rows ** 2).sum(1)
+        self.spread = float(np.sqrt(((rows - rows.mean(0)) ** 2).sum(1).mean()))
         self.lines = np.random.default_rng(SEED).normal(size=(dim, LINES))
         values = (rows @ self.lines).T
         self.order = np.argsort(values, 1, kind="stable")
@@ -56,20 +60,21 @@ class Arrays:
         return np.maximum(start, self.first), np.minimum(stop, self.first + self.n)
 
 
-def nearest(q_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, ids: np.ndarray,
+def nearest(arrays: Arrays, q_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, ids: np.ndarray,
             rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of query and row, and distances, of the k nearest rows found per query."""
-    arrays = Arrays(rows)
     order = arrays.order.ravel()
     centres = queries @ arrays.lines
-    spread = np.sqrt(((rows - rows.mean(0)) ** 2).sum(1).mean())
     out_q, out_r, out_d = [], [], []
     for i, q in enumerate(queries):
         hits = np.zeros(arrays.n, np.int64)
         seen = ids == q_ids[i]
         found = np.zeros(0, np.int64)
         dist = np.zeros(0)
-        radius = spread / 8 or 1.0
+        radius = arrays.spread / 8 if arrays.spread > 1e-300 else 1.0
+        while radius < bounds[i] < np.inf:
+            radius *= GROWTH
+        square, kth = q @ q, bounds[i]
         old = None
         while True:
             start, stop = arrays.window(centres[i], radius)
@@ -83,6 +88,11 @@ def nearest(q_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, ids: np.
             fresh = np.flatnonzero((hits >= HITS) & ~seen)
             if len(fresh):
                 seen[fresh] = True
+                # Rows surely beyond the k-th known, with room for rounding, are not measured exactly.
+                with np.errstate(over="ignore", invalid="ignore"):
+                    size = arrays.squares[fresh] + square
+                    beyond = size - 2 * (rows[fresh] @ q) - 1e-9 * size > kth * kth
+                fresh = fresh[~beyond]
                 found = np.concatenate([found, fresh])
                 dist = np.concatenate([dist, np.sqrt(((rows[fresh] - q) ** 2).sum(1))])
                 if len(found) > 4 * k:
@@ -109,4 +119,4 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, key:
             F.transform(f"`{vec}`", lambda x: x.cast("double")).alias("v")).where(
             F.exists("v", lambda x: x != 0))
 
-    return search(plain(vectors), plain(queries), k, nearest, largest=False)
+    return search(plain(vectors), plain(queries), k, Arrays, nearest, largest=False)

@@ -1,15 +1,17 @@
-"""Frame of the vector searches: shards of rows, blocks of queries, a shared k-th score.
+"""Frame of the vector searches: shards of rows, tasks that hold a few, a shared k-th score.
 
 Rows are dealt to shards by the hash of their id, so that equal or clustered vectors
-spread evenly; queries are packed into blocks.  Every block meets every shard in a task
-of its own.  In a first round each block searches one shard, and the k-th value found is
-a bound that all other shards start from in the second round; what a shard returns is
-then at most k rows per query, merged by query.
+spread evenly.  A task holds one or more shards, builds their indexes once, and then reads
+its queries as a stream of blocks; rows and queries reach it in one sorted shuffle, none
+through the driver.  In a first round each query searches the shard of its own id, and the
+k-th value found is a bound that it starts from in all other shards in the second round;
+what a task returns is then at most k rows per query, merged by query.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,14 @@ from calib.session import materialize
 
 SHARD_ROWS = 8192
 BLOCK_ROWS = 1024
+#: Shards that one task holds at most; tasks of a round, which more shards than both allow exceed.
+TASK_SHARDS = 8
+TASKS = 32
 
-#: (query ids, query vectors, bounds, row ids, row vectors, k) -> (query places, row places, scores)
-Task = Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: row vectors -> index of a shard
+Build = Callable[[np.ndarray], Any]
+#: (index, query ids, query vectors, bounds, row ids, row vectors, k) -> (query places, row places, scores)
+Find = Callable[..., tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def usable(vectors: DataFrame, vec: str) -> Column:
@@ -34,15 +41,31 @@ def usable(vectors: DataFrame, vec: str) -> Column:
         wide, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
 
 
-def _packed(rows: DataFrame, parts: int, group: str) -> DataFrame:
-    """(dim, group, ids, flat): rows (vec_id, v) dealt to ``parts`` groups by hash."""
-    dealt = rows.select("vec_id", "v", F.size("v").alias("dim"),
-                        F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias(group))
-    return dealt.groupBy("dim", group).agg(F.collect_list(F.struct("vec_id", "v")).alias("r")).select(
-        "dim", group, F.col("r.vec_id").alias("ids"), F.flatten("r.v").alias("flat"))
+def best_of(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int, largest: bool
+            ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the k best entries of each query, those that are a k-th, and its query."""
+    by = np.lexsort((ids, -score if largest else score, q))
+    starts = np.flatnonzero(np.r_[True, np.diff(q[by]) != 0]) if len(by) else by
+    rank = np.arange(len(by)) - np.repeat(starts, np.diff(np.r_[starts, len(by)]))
+    last = by[rank == k - 1]
+    return by[rank < k], last, q[last]
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int, task: Task, largest: bool) -> DataFrame:
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.RecordBatch]]:
+    """(dim, shard, rows): parts of a batch with one length of vectors and one shard."""
+    dim, shard = (np.asarray(batch.column(c)) for c in ("dim", "shard"))
+    cuts = np.flatnonzero((np.diff(dim) != 0) | (np.diff(shard) != 0)) + 1
+    for a, b in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows]):
+        if b > a:
+            yield int(dim[a]), int(shard[a]), batch.slice(int(a), int(b - a))
+
+
+def _matrix(parts: list[pa.RecordBatch], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    return (np.concatenate([np.asarray(p.column("vec_id")) for p in parts]),
+            np.concatenate([np.asarray(p.column("v").flatten()).reshape(-1, dim) for p in parts]))
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int, build: Build, find: Find, largest: bool) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best rows of each query.
 
     ``rows`` and ``queries`` hold (vec_id, v array<double>); a query never meets the rows
@@ -51,54 +74,70 @@ def search(rows: DataFrame, queries: DataFrame, k: int, task: Task, largest: boo
     """
     bounded_batches(rows.sparkSession)
     shards = max(1, -(-rows.count() // SHARD_ROWS))
-    blocks = max(1, -(-queries.count() // BLOCK_ROWS))
-    packed = materialize(_packed(rows, shards, "shard").repartition(shards, "dim", "shard"), "shards")
-    asked = materialize(_packed(queries, blocks, "block"), "blocks")
+    tasks = -(-shards // min(TASK_SHARDS, -(-shards // TASKS)))
+    # Few shards: queries are dealt to groups, and every group has its own copy of the rows.
+    groups = max(1, min(TASKS // tasks, -(-queries.count() // BLOCK_ROWS)))
     worst = float("-inf") if largest else float("inf")
 
-    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                dim = batch.column("dim")[i].as_py()
-                q_ids, q_flat, ids, flat, known, limits = (
-                    np.asarray(batch.column(c)[i].values) for c in (
-                        "q_ids", "q_flat", "ids", "flat", "known", "limits"))
-                bounds = np.full(len(q_ids), worst)
-                if len(known):
-                    by = np.argsort(known)
-                    at = np.minimum(np.searchsorted(known[by], q_ids), len(known) - 1)
-                    hit = known[by][at] == q_ids
-                    bounds[hit] = limits[by][at][hit]
-                by = np.argsort(ids, kind="stable")
-                q, r, score = task(q_ids, q_flat.reshape(-1, dim), bounds, ids[by],
-                                   flat.reshape(-1, dim)[by], k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q_ids[q]), pa.array(ids[by][r]), pa.array(score, pa.float64())],
-                    ["query_id", "vec_id", "score"])
-
-    def run(blocks_now: DataFrame) -> DataFrame:
-        met = blocks_now.join(packed, ["dim", "shard"])
-        return met.repartition(max(1, shards), "shard", "block").mapInArrow(
+    def answers(shard_indexes: list, asked: pa.RecordBatch, dim: int, at_home: bool) -> pa.RecordBatch:
+        q_ids, vectors = _matrix([asked], dim)
+        bounds, home = (np.array(asked.column(c)) for c in ("limit", "home"))
+        q, ids, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for shard, r_ids, r_vectors, index in shard_indexes:
+            ask = np.flatnonzero((home == shard) == at_home)
+            if not len(ask):
+                continue
+            more_q, more_r, more = find(index, q_ids[ask], vectors[ask], bounds[ask], r_ids, r_vectors, k)
+            q, ids, score = (np.concatenate(x) for x in (
+                (q, ask[more_q]), (ids, r_ids[more_r]), (score, more)))
+            kept, last, full = best_of(q, ids, score, k, largest)
+            bounds[full] = (np.maximum if largest else np.minimum)(bounds[full], score[last])
+            q, ids, score = q[kept], ids[kept], score[kept]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(q_ids[q]), pa.array(ids), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
+
+    def met(asked: DataFrame, parts: int, at_home: bool) -> DataFrame:
+        def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, now, of_now = [], None, []
+            for batch in batches:
+                for dim, shard, part in _runs(batch):
+                    if (dim, shard) != now:
+                        if of_now:
+                            ids, vectors = _matrix(of_now, now[0])
+                            held.append((now[1], ids, vectors, build(vectors)))
+                        if now is not None and dim != now[0]:
+                            held = []
+                        now, of_now = (dim, shard), []
+                    if shard < shards:
+                        of_now.append(part)
+                        continue
+                    for start in range(0, part.num_rows, BLOCK_ROWS):
+                        yield answers(held, part.slice(start, BLOCK_ROWS), dim, at_home)
+
+        shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
+        copies = F.sequence(F.lit(0), F.lit(parts - 1))
+        held_rows = rows.select("vec_id", "v", shard.alias("shard"), F.lit(None).cast("int").alias("home"),
+                                F.lit(None).cast("double").alias("limit"), F.explode(copies).alias("group")).withColumn(
+            "task", F.pmod("shard", F.lit(tasks)) * parts + F.col("group")).drop("group")
+        group = F.pmod(F.hash("vec_id"), F.lit(parts))
+        places = F.array(F.pmod(shard, F.lit(tasks))) if at_home else F.sequence(F.lit(0), F.lit(tasks - 1))
+        # Queries come behind the rows of all shards.
+        sent = asked.select("vec_id", "v", F.lit(shards).alias("shard"), shard.alias("home"), "limit",
+                            F.explode(places).alias("t")).withColumn(
+            "task", F.col("t") * parts + group).drop("t")
+        return held_rows.unionByName(sent).withColumn("dim", F.size("v")).repartitionById(
+            tasks * parts, F.col("task").cast("int")).sortWithinPartitions("dim", "shard", "vec_id").mapInArrow(
             emit, "query_id long, vec_id long, score double")
 
-    q = asked.select("dim", "block", F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
-    none = {"known": F.array().cast("array<long>"), "limits": F.array().cast("array<double>")}
-    home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
-    first = materialize(run(q.withColumns({**none, "shard": home})), "first")
-    found = first
+    found = met(queries.withColumn("limit", F.lit(worst)), 1, True)
     if shards > 1:
+        first = materialize(found, "first")
         kth = first.groupBy("query_id").agg(
-            (F.min if largest else F.max)("score").alias("limit"), F.count(F.lit(1)).alias("n")).where(
+            (F.min if largest else F.max)("score").alias("kth"), F.count(F.lit(1)).alias("n")).where(
             F.col("n") >= k)
-        limits = kth.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy(
-            "block").agg(F.collect_list(F.struct("query_id", "limit")).alias("l"))
-        rest = q.join(limits, "block", "left").select(
-            "dim", "block", "q_ids", "q_flat",
-            F.coalesce("l.query_id", none["known"]).alias("known"),
-            F.coalesce("l.limit", none["limits"]).alias("limits"),
-            F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).where(
-            F.col("shard") != home)
-        found = first.unionByName(run(rest))
+        limited = queries.join(kth.hint("merge"), F.col("vec_id") == F.col("query_id"), "left").select(
+            "vec_id", "v", F.coalesce("kth", F.lit(worst)).alias("limit"))
+        found = first.unionByName(met(limited, groups, False))
     order = Window.partitionBy("query_id").orderBy(
         F.desc("score") if largest else F.asc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
